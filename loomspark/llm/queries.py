@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import conversations as conv
-from loomspark.llm import splitting
+from loomspark.llm import packing, splitting, tokenizing
 from loomspark.session import table
 
 
@@ -39,7 +39,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_conversations": p3_conversations, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document under byte_bpe_50k, without special tokens."""
+    return tokenizing.encode_column(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document (or piece of an oversized one) with its container of 2,048 tokens of byte_bpe_50k."""
+    sizes = tokenizing.token_sizes(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "key")
+    return packing.fill_containers(sizes).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_conversations": p3_conversations,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+}
 
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ZW = r"\x{180e}\x{200b}-\x{200f}\x{2060}\x{feff}"

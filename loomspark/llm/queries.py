@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import conversations as conv
 from loomspark.llm import packing, splitting, tokenizing
+from loomspark.llm import quality as qual
 from loomspark.session import table
 
 
@@ -50,6 +51,18 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(sizes).withColumnRenamed("key", "doc_id")
 
 
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The quality figures of every document whose text isn't null or blank."""
+    # the list of function words is fixed; it doesn't grow with the data
+    words = [r["word"] for r in table(spark, d, "common_words").select("word").distinct().collect()]
+    return qual.quality(table(spark, d, "documents"), "doc_id", "text", words)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that aren't natural prose."""
+    return p8_quality(spark, d).where(~F.col("is_prose")).select("doc_id")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
@@ -57,6 +70,8 @@ QUERIES = {
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_quality": p8_quality,
 }
 
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -6,11 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import conversations as conv
-from loomspark.llm import packing, splitting, tokenizing
+from loomspark.llm import neighbours, packing, splitting, tokenizing
 from loomspark.llm import quality as qual
 from loomspark.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks of which one is among the other's 5 most similar, at a cosine of at least 0.85."""
+    return neighbours.similar_pairs(neighbours.usable_vectors(table(spark, d, "chunk_vectors")))
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar other chunks of every chunk that has a usable vector."""
+    n = neighbours.similar_vectors(neighbours.usable_vectors(table(spark, d, "chunk_vectors")))
+    return n.withColumn("cosine", F.round("cosine", 6))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The conversations that must be dropped."""
     return conv.broken_conversations(table(spark, d, "conversations"), table(spark, d, "conversation_turns"), table(spark, d, "role_aliases"))
@@ -64,6 +75,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
     "p5_found": p5_found,

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.unicode import is_blank
+from loomspark.session import stored
 
 CHUNK, FAN = 8192, 64
 #: Columns of a word's figures, which add up over a sentence and over a document.
@@ -201,21 +202,21 @@ class Vocabulary:
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple] = []
-        self.array = np.zeros((0, len(FIGURES) + 2), np.int64)
+        self.array = np.zeros((4096, len(FIGURES) + 2), np.int64)
 
     def id(self, t: str) -> int:
         token = Token.of(t)
         figures, closes, punct = word_figures(token.head, token.tail, token.length, token.letters, token.digits, token.symbols, self.common)
-        self.ids[t] = k = len(self.rows)
-        self.rows.append((*figures, int(closes), int(punct)))
+        self.ids[t] = k = len(self.ids)
+        if k == len(self.array):
+            self.array = np.concatenate([self.array, np.zeros_like(self.array)])
+        self.array[k] = (*figures, closes, punct)
         return k
 
     def lookup(self, tokens: list[str]) -> np.ndarray:
+        """The figures of the tokens, and whether each ends a sentence and ends with punctuation."""
         ids, new = self.ids, self.id
         found = [ids[t] if t in ids else new(t) for t in tokens]
-        if len(self.rows) > len(self.array):
-            self.array = np.concatenate([self.array, np.array(self.rows[len(self.array) :], np.int64)])
         out = self.array[found]
         if len(ids) > self.LIMIT:
             self.clear()
@@ -268,6 +269,29 @@ def state_of(text: str, vocabulary: Vocabulary) -> State:
     return State(lead, Token.of(tokens[0]), int(breaks[1]), run, Token.of(tokens[-1]), trail)
 
 
+def totals_of(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
+    """FIGURES and the characters in prose of whole texts (none of them blank), all at once: what ``state_of(t).totals()`` gives for each."""
+    n = len(FIGURES)
+    words: list[str] = []
+    behind, sizes = [], []
+    for t in texts:
+        tokens, breaks = _tokens(t)
+        words += tokens
+        breaks[-1] = 2  # a text's end closes its last line and its last sentence
+        behind.append(breaks[1:])
+        sizes.append(len(tokens))
+    figures, breaks, size = vocabulary.lookup(words), np.concatenate(behind), np.array(sizes)
+    rows = figures[:, :n].copy()
+    rows[:, _I["lines"]] = breaks > 0
+    rows[:, _I["lines_punct"]] = (breaks > 0) & (figures[:, n + 1] > 0)
+    ends = np.flatnonzero((figures[:, n] > 0) | (breaks > 1)) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    sentences = np.add.reduceat(rows, starts, axis=0)
+    sentences = np.concatenate([sentences, (sentences[:, 0] * prose_mask(sentences))[:, None]], axis=1)
+    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)[:-1]]))
+    return np.add.reduceat(sentences, first, axis=0)
+
+
 _STATS = ", ".join(f"{f} bigint" for f in (*FIGURES, "prose"))
 
 
@@ -278,24 +302,23 @@ def text_totals(docs: DataFrame, key: str, text: str, common_words: list[str], c
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(~is_blank("text"))
     n = F.ceil(F.length("text") / chunk).cast("int")
     chunks = rows.select("key", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))).alias("no", "part"))
-    zeros = [0] * (len(FIGURES) + 1)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(common)
         for batch in batches:
-            totals, states = [], []
-            for single, part in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s = state_of(part, vocabulary)
-                totals.append(s.totals(common) if single == 1 else zeros)
-                states.append(None if single == 1 else s.dumps())
-            t = np.array(totals, np.int64).reshape(-1, len(zeros))
+            if not batch.num_rows:
+                continue
+            whole = batch.column(1).to_numpy() == 1
+            parts = batch.column(3).to_pylist()
+            t = np.zeros((len(parts), len(FIGURES) + 1), np.int64)
+            if whole.any():
+                t[whole] = totals_of([p for p, w in zip(parts, whole, strict=True) if w], vocabulary)
+            states = [None if w else state_of(p, vocabulary).dumps() for p, w in zip(parts, whole, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(states, pa.string()), *(pa.array(t[:, i]) for i in range(len(zeros)))],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(states, pa.string()), *(pa.array(c) for c in t.T.copy())],
                 names=["key", "n", "no", "state", *FIGURES, "prose"],
             )
 
-    from loomspark.session import stored
-
     parts = stored(chunks.mapInArrow(partial, f"key {kind}, n int, no int, state string, {_STATS}"), "quality-parts")
     one = parts.where("n = 1").select("key", *FIGURES, "prose")
     states = parts.where("n > 1").select("key", "no", "state")

@@ -32,7 +32,7 @@ DIM, K = 64, 5
 #: Vectors a part should index, the most parts, and vectors of the sample for each part; so the sample has at most 16,384 vectors.
 PART_ROWS, MOST_PARTS, SAMPLE_PER_PART, MOST_SAMPLE = 3000, 512, 256, 16_384
 #: Parts that a query is sent to, rows of a block of queries and of a block of the index.
-PROBES, QUERY_BLOCK, INDEX_BLOCK = 6, 32_768, 8192
+PROBES, QUERY_BLOCK, INDEX_BLOCK = 16, 32_768, 8192
 GRAPH_K = 12
 
 
@@ -197,42 +197,59 @@ def fit_router(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS,
     return Router(x, targets, parts, seed=seed), parts
 
 
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest of each row; all that tie with the last are kept."""
+    k = min(k, s.shape[1])
+    bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    return np.nonzero(s >= bar[:, None] - 1e-6)
+
+
 def _search(table: pa.Table, dim: int, k: int, least: float) -> pa.Table:
-    """Within one cell: the k best of the indexed rows for every query, by cosine (at least ``least``); ties by key."""
+    """Within one cell: for every query its k best indexed rows, and for every indexed row its k best queries.
+
+    By cosine, at least ``least``; ties by key. A pair is thus found from
+    either side, which halves the loss of the routing at the same cost.
+    """
     query = table.column("is_query").to_numpy()
     keys = np.array(table.column("key").to_pylist(), object)
     x = matrix(table.column("vec"), dim)
-    q, d = x[query], x[~query]
-    qk, dk = keys[query], keys[~query]
-    order = np.argsort(dk)
-    d, dk = d[order], dk[order]
-    q32, d32 = q.astype(np.float32), d.astype(np.float32)
-    out_q, out_d, out_s = [], [], []
-    for i in range(0, len(q), 1024) if len(d) else ():
-        s = q32[i : i + 1024] @ d32.T
+    out: list[tuple] = []
+
+    def keep(me: np.ndarray, other: np.ndarray) -> None:
+        """Adds, of candidate pairs, the k best for each of ``me``."""
+        differ = keys[me] != keys[other]
+        me, other = me[differ], other[differ]
+        exact = np.round(np.einsum("ij,ij->i", x[me], x[other]), 12)
+        good = exact >= least
+        me, other, exact = me[good], other[good], exact[good]
+        if not len(me):
+            return
+        o = np.lexsort((place[other], -exact, me))
+        me, other, exact = me[o], other[o], exact[o]
+        first = np.concatenate([[True], me[1:] != me[:-1]])
+        top = np.arange(len(me)) - np.maximum.accumulate(np.where(first, np.arange(len(me)), 0)) < k
+        out.append((keys[me[top]], keys[other[top]], exact[top]))
+
+    place = np.empty(len(keys), np.int64)
+    place[np.argsort(keys)] = np.arange(len(keys))
+    rows, cols = np.flatnonzero(query), np.flatnonzero(~query)
+    x32 = x.astype(np.float32)
+    for i in range(0, len(rows), 1024) if len(cols) else ():
+        block = rows[i : i + 1024]
+        s = x32[block] @ x32[cols].T
         if least > -1:
             r, c = np.nonzero(s >= least - 1e-4)
+            keep(block[r], cols[c])
+            keep(cols[c], block[r])
         else:
-            # one more than k, as a row may meet itself; all that tie with the last are kept
-            kk = min(k + 1, s.shape[1])
-            bar = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-            r, c = np.nonzero(s >= bar[:, None] - 1e-6)
-        keep = qk[i + r] != dk[c]
-        r, c = r[keep], c[keep]
-        exact = np.round(np.einsum("ij,ij->i", q[i + r], d[c]), 12)
-        keep = exact >= least
-        r, c, exact = r[keep], c[keep], exact[keep]
-        o = np.lexsort((c, -exact, r))
-        r, c, exact = r[o], c[o], exact[o]
-        first = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.zeros(0, bool)
-        rank = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0)) if len(r) else r
-        top = rank < k
-        out_q.append(qk[i + r[top]])
-        out_d.append(dk[c[top]])
-        out_s.append(exact[top])
-    cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, object)
+            # one more than k, as a row may meet itself
+            r, c = _best(s, k + 1)
+            keep(block[r], cols[c])
+            c, r = _best(s.T, k + 1)
+            keep(cols[c], block[r])
+    cat = lambda i, kind: np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind)
     return pa.table(
-        {"query": pa.array(cat(out_q), pa.string()), "key": pa.array(cat(out_d), pa.string()), "cosine": pa.array(cat(out_s).astype(float), pa.float64())}
+        {"query": pa.array(cat(0, object), pa.string()), "key": pa.array(cat(1, object), pa.string()), "cosine": pa.array(cat(2, float), pa.float64())}
     )
 
 
@@ -243,8 +260,8 @@ def similar_vectors(
 
     Keys must be unique. Equal cosines are ordered by key. ``least`` leaves
     out less similar ones early. No vectors or a single one: no rows. The
-    answer is exact if one part is enough, else approximate: a neighbour is
-    missed if it is indexed outside the ``probes`` most probable parts.
+    answer is exact if one part is enough, else approximate: a pair is missed
+    if each of the two is indexed outside the other's ``probes`` parts.
     """
     spark = vectors.sparkSession
     members = stored(_classes(vectors), "vectors")
@@ -281,7 +298,7 @@ def similar_vectors(
         lambda t: _search(t, dim, k, least), "query string, key string, cosine double"
     )
     best = found.groupBy("query").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), F.col("key")))), 1, k).alias("best")
+        F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), F.col("key")))), 1, k).alias("best")
     )
     pairs = best.select("query", F.explode("best").alias("b")).select("query", F.col("b.key").alias("key"), (-F.col("b.c")).alias("cosine"))
     return _with_copies(members, pairs, k, least)

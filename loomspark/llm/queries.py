@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.llm import conversations as conv
 from loomspark.llm import neighbours, packing, splitting, tokenizing
+from loomspark.llm import near_duplicates as dups
 from loomspark.llm import quality as qual
 from loomspark.session import table
 
@@ -32,6 +33,20 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conv.sound_conversations(table(spark, d, "conversations"), table(spark, d, "conversation_turns"), table(spark, d, "role_aliases"))
 
 
+def _duplicates(spark: SparkSession, d: str) -> dups.NearDuplicates:
+    return dups.near_duplicates(dups.records_of(table(spark, d, "chunks"), table(spark, d, "documents")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of near-duplicate chunks and titles."""
+    return dups.key_pairs(_duplicates(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk and title that is long enough, with its class, its number of links and its group."""
+    return dups.groups(_duplicates(spark, d))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return splitting.records_of(table(spark, d, "source_items"), table(spark, d, "chunks"))
 
@@ -79,6 +94,8 @@ QUERIES = {
     "p1_neighbours": p1_neighbours,
     "p3_found": p3_found,
     "p3_conversations": p3_conversations,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
@@ -127,3 +144,29 @@ SELECT DISTINCT record_table, record_key FROM (
   UNION ALL SELECT 'chunks', {_HEX.format("chunk_id")}, chunk_text FROM chunks)
 WHERE len(regexp_extract_all(text, '[^{_WS}]+')) > 900""",
 }
+
+_JACCARD = """
+SELECT '{name}' AS record_table, a.k AS key_a, b.k AS key_b
+FROM (SELECT x.k AS ka, y.k AS kb, count(*) AS common
+      FROM {name}_s x JOIN {name}_s y ON x.s = y.s AND x.k < y.k GROUP BY 1, 2) p
+JOIN {name}_n a ON a.k = p.ka JOIN {name}_n b ON b.k = p.kb
+WHERE p.common * {d} >= (a.n + b.n - p.common) * {n}"""
+
+SQL["p4_found"] = rf"""
+WITH chunks_w AS (
+  SELECT k, regexp_extract_all(lower(chunk_text), '[\p{{L}}\p{{N}}]+') AS w
+  FROM (SELECT DISTINCT {_HEX.format("chunk_id")} AS k, chunk_text FROM chunks) WHERE k IS NOT NULL AND chunk_text IS NOT NULL),
+chunks_s AS MATERIALIZED (
+  SELECT DISTINCT k, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM chunks_w WHERE len(w) >= 25)),
+chunks_n AS MATERIALIZED (SELECT k, count(*) AS n FROM chunks_s GROUP BY k),
+documents_w AS (
+  SELECT k, array_to_string(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}]+'), ' ') AS t
+  FROM (SELECT DISTINCT {_HEX.format("document_id")} AS k, title FROM documents) WHERE k IS NOT NULL AND title IS NOT NULL),
+documents_s AS MATERIALIZED (
+  SELECT DISTINCT k, substr(t, i, 3) AS s FROM (SELECT k, t, unnest(range(1, len(t) - 1)) AS i FROM documents_w WHERE len(t) >= 30)),
+documents_n AS MATERIALIZED (SELECT k, count(*) AS n FROM documents_s GROUP BY k)
+{_JACCARD.format(name="chunks", n=3, d=5)}
+UNION ALL
+{_JACCARD.format(name="documents", n=13, d=20)}
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("integrity",)
+MODULES = ("integrity", "text")
 
 
 def collect() -> tuple[dict, dict]:

@@ -18,7 +18,6 @@ filters are upper bounds, and nothing is capped or sampled.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -39,8 +38,9 @@ WORD = regex.compile(r"[\p{L}\p{N}]+")
 BUCKETS = 1 << 16
 #: Records of a shingle above which it is cut into cells, and postings that a task should get.
 CELL, TASK = 60_000, 400_000
-#: Bits of a bitmap, and of the second one that records of more than LARGE shingles have besides.
-BITS, BIG_BITS, LARGE = 256, 1024, 192
+#: Bits of a bitmap; records of more than LARGE shingles have a second one of BIG_BITS, those of more than HUGE one of HUGE_BITS,
+#: whose halves, OR-combined, are one of BIG_BITS.
+BITS, BIG_BITS, HUGE_BITS, LARGE, HUGE = 256, 1024, 2048, 192, 800
 LEAF, FANOUT = 16, 8
 
 
@@ -53,10 +53,11 @@ class Kind:
     characters: bool
     least: int
     threshold: Fraction
+    bits: int = BITS
 
 
 CHUNKS = Kind("chunks", 3, False, 25, Fraction(3, 5))
-TITLES = Kind("documents", 3, True, 30, Fraction(13, 20))
+TITLES = Kind("documents", 3, True, 30, Fraction(13, 20), 128)
 
 
 class Shingler:
@@ -150,14 +151,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _bitmaps(row: np.ndarray, tok: np.ndarray, n: int, bits: int) -> np.ndarray:
+def _bitmaps(row: np.ndarray, tok: np.ndarray, n: int, bits: int, used: np.ndarray | int | None = None) -> np.ndarray:
+    """One bitmap of ``bits`` for each of n rows; ``used``: the power of two of bits that a token's row may set."""
     flags = np.zeros((n, bits), bool)
-    flags[row, (_mix(tok) >> np.uint64(64 - int(math.log2(bits)))).astype(np.int64)] = True
+    flags[row, ((_mix(tok) >> np.uint64(40)).astype(np.int64)) & ((bits if used is None else used) - 1)] = True
     return np.packbits(flags, axis=1).view(np.uint64)
 
 
-#: side 2: compare all with all; 0 and 1: only across.
-_POSTING = "tok bigint, cls bigint, size int, pos int, flags int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, big binary"
+#: ``about`` packs kind, side (2: compare all with all; 0 and 1: only across), size and position: kind * 4 + side, size, pos in 24 bits each.
+_POSTING = "tok bigint, cls bigint, about bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, big binary"
 
 
 def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, cell: int = CELL) -> DataFrame:
@@ -184,12 +186,13 @@ def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, cell:
             tok = lists.flatten().to_numpy().view(np.uint32).astype(np.int64)
             row = np.repeat(np.arange(len(fresh)), size)
             # bitmaps
-            bits = _bitmaps(row, tok, len(fresh), BITS)
+            bits = _bitmaps(row, tok, len(fresh), BITS, np.array([k.bits for k in kinds])[kind[row]])
             large = np.flatnonzero(size > LARGE)
+            huge = size[large] > HUGE
             to_large = np.full(len(fresh), -1)
             to_large[large] = np.arange(len(large))
             inside = to_large[row] >= 0
-            big = _bitmaps(to_large[row[inside]], tok[inside], len(large), BIG_BITS)
+            big = _bitmaps(to_large[row[inside]], tok[inside], len(large), HUGE_BITS)
             # the prefix, the rarest first
             often = counts[_bucket(kind[row], tok)]
             order = np.lexsort((tok, often, row))
@@ -207,10 +210,12 @@ def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, cell:
             row, pos, tok, mine, blocks = row[again], pos[again], tok[again], mine[again], blocks[again]
             lo, hi = np.minimum(mine, other), np.maximum(mine, other)
             side = np.where(lo == hi, 2, (mine == hi).astype(np.int64))
-            key = _mix(_mix((kind[row] << 40) | tok) ^ _mix((lo * blocks + hi).astype(np.uint64)) * (blocks > 1)).view(np.int64)
-            columns = [key, cls[row], size[row].astype(np.int32), pos.astype(np.int32), (kind[row] * 4 + side).astype(np.int32)]
+            key = (kind[row] << 40) | tok
+            key = np.where(blocks > 1, _mix(_mix(key) ^ _mix(lo * blocks + hi)).view(np.int64), key)
+            columns = [key, cls[row], ((kind[row] * 4 + side) << 48) | (size[row].astype(np.int64) << 24) | pos]
             words = [bits[row, w].view(np.int64) for w in range(BITS // 64)]
-            blobs = pa.array([r.tobytes() for r in big], pa.binary())
+            half = HUGE_BITS // 128
+            blobs = pa.array([r.tobytes() if h else (r[:half] | r[half:]).tobytes() for r, h in zip(big, huge, strict=True)], pa.binary())
             which = to_large[row]
             bigs = blobs.take(pa.array(which, mask=which < 0)) if len(large) else pa.nulls(len(row), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, *words)] + [bigs], names=[c.split()[0] for c in _POSTING.split(", ")])
@@ -276,6 +281,18 @@ class Forest:
             stack.append((level - 1, x[up], y[up]))
 
 
+def _second(size: np.ndarray, which: np.ndarray, big: pa.Array, order: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the rows of ``which``: where their wider bitmaps are, the bitmaps cut to ``bits``, and the tokens that these hide."""
+    rows = np.flatnonzero(which)
+    at = np.full(len(size), -1)
+    at[rows] = np.arange(len(rows))
+    maps = np.zeros((len(rows), bits // 64), np.uint64)
+    for i, blob in enumerate(big.take(pa.array(order[rows])).to_pylist()):
+        words = np.frombuffer(blob, np.uint64)
+        maps[i] = words if len(words) == maps.shape[1] else words[: maps.shape[1]] | words[maps.shape[1] :]
+    return at, maps, size[rows] - np.bitwise_count(maps).sum(1)
+
+
 def candidates(posts: list[np.ndarray], big: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of classes of one kind that no bound rules out: (smaller, larger)."""
     tok, cls, size, pos, side, bits = posts
@@ -292,11 +309,7 @@ def candidates(posts: list[np.ndarray], big: pa.Array, threshold: float) -> tupl
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     size, pos, side, bits = size[order].astype(np.int64), pos[order].astype(np.int64), side[order], bits[order]
     hidden, after = size - np.bitwise_count(bits).sum(1), size - pos
-    big_at = np.flatnonzero(size > LARGE)
-    to_big = np.full(len(order), -1)
-    to_big[big_at] = np.arange(len(big_at))
-    big_bits = np.frombuffer(b"".join(big.take(pa.array(order[big_at])).to_pylist()), np.uint64).reshape(-1, BIG_BITS // 64)
-    big_hidden = size[big_at] - np.bitwise_count(big_bits).sum(1)
+    second = [_second(size, size > LARGE, big, order, BIG_BITS), _second(size, size > HUGE, big, order, HUGE_BITS)]
     forest = Forest(tok, size, pos, bits)
     first, last = forest.levels[0][:2]
     share = threshold / (1 + threshold)
@@ -319,13 +332,14 @@ def candidates(posts: list[np.ndarray], big: pa.Array, threshold: float) -> tupl
                 common = common + np.bitwise_count(bits[ra, w][:, :, None] & bits[rb, w][:, None, :])
             m, x, y = np.nonzero(ok & (common >= need))
             x, y = ra[m, x], rb[m, y]
-            both = (to_big[x] >= 0) & (to_big[y] >= 0)
-            if both.any():
-                u, v = to_big[x[both]], to_big[y[both]]
-                most = np.minimum(big_hidden[u], big_hidden[v]) + np.bitwise_count(big_bits[u] & big_bits[v]).sum(1)
-                keep = np.ones(len(x), bool)
-                keep[both] = most >= share * (size[x[both]] + size[y[both]]) - 1e-6
-                x, y = x[keep], y[keep]
+            for at, maps, hides in second:
+                both = (at[x] >= 0) & (at[y] >= 0)
+                if both.any():
+                    u, v = at[x[both]], at[y[both]]
+                    most = np.minimum(hides[u], hides[v]) + np.bitwise_count(maps[u] & maps[v]).sum(1)
+                    keep = np.ones(len(x), bool)
+                    keep[both] = most >= share * (size[x[both]] + size[y[both]]) - 1e-6
+                    x, y = x[keep], y[keep]
             if len(x):
                 p, q = cls[x], cls[y]
                 found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1), axis=0))
@@ -345,12 +359,13 @@ def candidate_pairs(posts: DataFrame, kinds: tuple[Kind, ...], tasks: int) -> Da
         if not t.num_rows:
             return
         col = {c: t.column(c).combine_chunks() for c in names}
-        flags = col["flags"].to_numpy()
+        about = col["about"].to_numpy()
+        flags, size, pos = about >> 48, (about >> 24) & 0xFFFFFF, about & 0xFFFFFF
         bits = np.stack([col[f"b{w}"].to_numpy().view(np.uint64) for w in range(BITS // 64)], 1)
         for k, kind in enumerate(kinds):
             rows = np.flatnonzero(flags >> 2 == k)
             if len(rows):
-                arrays = [col[c].to_numpy()[rows] for c in names[:4]] + [flags[rows] & 3, bits[rows]]
+                arrays = [col["tok"].to_numpy()[rows], col["cls"].to_numpy()[rows], size[rows], pos[rows], flags[rows] & 3, bits[rows]]
                 a, b = candidates(arrays, col["big"].take(pa.array(rows)), float(kind.threshold))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])

@@ -11,13 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _rows(s: pd.Series) -> list:
     return [np.zeros(0) if x is None else np.asarray(x, np.float64) for x in s]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of two vectors; 0 if either is null, empty or zero. The product runs to the shorter length, the norms are whole."""
     out = np.zeros(len(a))

@@ -46,8 +46,7 @@ class ConnectorSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         kind = self.options.get("kind", "")
-        factory = self.options.get("factory")
-        if factory is None and kind not in _REGISTRY:
+        if kind not in _REGISTRY:
             raise ValueError(f"no connector of the kind {kind!r}; known: {registered()}")
         connector = _REGISTRY[kind](dict(self.options))
         if missing := connector.configured():

@@ -355,9 +355,10 @@ def candidate_pairs(posts: DataFrame, kinds: tuple[Kind, ...], tasks: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task's share of the postings: about TASK rows, as the number of tasks follows their number
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
+        t = pa.Table.from_batches(got)
         col = {c: t.column(c).combine_chunks() for c in names}
         about = col["about"].to_numpy()
         flags, size, pos = about >> 48, (about >> 24) & 0xFFFFFF, about & 0xFFFFFF

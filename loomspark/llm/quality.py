@@ -299,7 +299,8 @@ def text_totals(docs: DataFrame, key: str, text: str, common_words: list[str], c
     """(key, FIGURES..., prose) of the documents whose text isn't null or blank; keys must be unique."""
     common = frozenset(w.lower() for w in common_words)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(~is_blank("text"))
+    # line ends are made equal first, so that none is cut in two
+    rows = docs.select(F.col(key).alias("key"), F.regexp_replace(text, r"\r\n?", "\n").alias("text")).where(~is_blank("text"))
     n = F.ceil(F.length("text") / chunk).cast("int")
     chunks = rows.select("key", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))).alias("no", "part"))
 

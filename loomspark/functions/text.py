@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomspark.functions.unicode import SPACE, strip, token_count
+from loomspark.functions.unicode import SPACE, strip, token_count, words
 
 #: Lines that try to override the instructions, and lines that try to call tools (fixed patterns).
 TOOL_PATTERNS = (r"\btool\s*call\b", r"\bfunction\s*call\b", r"\bexecute\s+(command|tool|function)\b")
@@ -23,7 +23,7 @@ def col(c: Column | str) -> Column:
 
 def canonical(c: Column | str) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.regexp_replace(strip(c), f"[{SPACE}]+", " ")
+    return F.array_join(words(c), " ")
 
 
 def text_hash(c: Column | str) -> Column:
@@ -33,7 +33,7 @@ def text_hash(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """The runs of characters that aren't white space, in lower case; null gives an empty list."""
-    return F.coalesce(F.regexp_extract_all(F.lower(col(c)), F.lit(f"[^{SPACE}]+"), F.lit(0)), F.array().cast("array<string>"))
+    return F.coalesce(words(F.lower(col(c))), F.array().cast("array<string>"))
 
 
 def estimated_tokens(c: Column | str, factor: float = 1.33) -> Column:
@@ -60,9 +60,8 @@ def links(c: Column | str) -> Column:
 
 def truncated(c: Column | str, budget: int, marker: str = "...", factor: float = 1.33) -> Column:
     """The first words that a token budget allows, then a marker; shorter texts come out as they are."""
-    words = F.regexp_extract_all(col(c), F.lit(f"[^{SPACE}]+"), F.lit(0))
     n = max(1, int(budget / factor))
-    return F.when(F.size(words) <= n, col(c)).otherwise(F.concat(F.array_join(F.slice(words, 1, n), " "), F.lit(" " + marker)))
+    return F.when(F.size(words(c)) <= n, col(c)).otherwise(F.concat(F.array_join(F.slice(words(c), 1, n), " "), F.lit(" " + marker)))
 
 
 def embedding_input(path: Column | str, text: Column | str) -> Column:

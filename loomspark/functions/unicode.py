@@ -11,18 +11,34 @@ SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 ZERO_WIDTH = r"\x{180e}\x{200b}-\x{200f}\x{2060}\x{feff}"
 
 
+#: The same characters one by one.
+SPACES = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+ZERO_WIDTHS = "".join(map(chr, (0x180E, *range(0x200B, 0x2010), 0x2060, 0xFEFF)))
+
+
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def strip(c: Column | str) -> Column:
     """The text without white space at either end."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def is_blank(c: Column | str) -> Column:
     """True for null and for texts of white space and zero-width characters only."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c.isNull() | c.rlike(f"^[{SPACE}{ZERO_WIDTH}]*$")
+    return F.coalesce(F.btrim(_col(c), F.lit(SPACES + ZERO_WIDTHS)) == "", F.lit(True))
+
+
+def words(c: Column | str) -> Column:
+    """The maximal runs of characters that aren't white space; null stays null.
+
+    All white space is first made blanks: splitting at one plain character is
+    about ten times as fast as a regular expression over the Unicode class.
+    """
+    return F.array_remove(F.split(F.translate(_col(c), SPACES, " " * len(SPACES)), " "), "")
 
 
 def token_count(c: Column | str) -> Column:
-    """Maximal runs of characters that aren't white space; null counts as 0."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.regexp_count(c, F.lit(f"[^{SPACE}]+")), F.lit(0))
+    """The number of words; null counts as 0."""
+    return F.when(_col(c).isNull(), F.lit(0)).otherwise(F.size(words(c)))

@@ -15,12 +15,25 @@ from loomspark.config import DEFAULTS, Config
 from loomspark.functions.vectors import unit
 
 
-def lexical_overlap(query: Column, text: Column) -> Column:
-    """Sum over distinct query terms of the smaller count on either side, over the number of distinct query terms (arrays of terms)."""
-    terms = F.array_distinct(query)
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    common = F.aggregate(terms, F.lit(0), lambda s, t: s + F.least(count(query, t), count(text, t)))
-    return common / F.greatest(F.lit(1), F.size(terms))
+def term_counts(terms: Column) -> Column:
+    """The terms that occur more than once in an array, with their counts."""
+    again = F.filter(F.array_distinct(terms), lambda t: F.array_position(terms, t) < F.size(terms) - F.array_position(F.reverse(terms), t) + 1)
+    return F.transform(again, lambda t: F.struct(t.alias("t"), F.size(F.filter(terms, lambda x: x == t)).alias("n")))
+
+
+def lexical_overlap(query: Column, repeated: Column, text: Column) -> Column:
+    """Sum over distinct query terms of the smaller count on either side, over the number of distinct query terms.
+
+    ``query`` and ``text`` are arrays of terms, ``repeated`` the query's
+    ``term_counts``: most terms stand once in a query, and for these the sum
+    is the size of an intersection, which is hashed; only the repeated ones
+    are counted.
+    """
+    once = F.size(F.array_intersect(query, text))
+    more = F.aggregate(
+        repeated, F.lit(0), lambda s, r: s + F.greatest(F.lit(0), F.least(r["n"], F.size(F.filter(text, lambda x: x == r["t"]))) - 1)
+    )
+    return (once + more) / F.greatest(F.lit(1), F.size(F.array_distinct(query)))
 
 
 def minmax(c: Column, by: list[str]) -> Column:

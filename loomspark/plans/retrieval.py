@@ -70,9 +70,9 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
 def question_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Lexical overlap of each turn's text with the chunks that were retrieved for it."""
     t = trace(spark, d).select("query", "chunk").distinct()
-    q = turn_texts(spark, d).select("query", T.tokens("question").alias("q"))
+    q = turn_texts(spark, d).select("query", T.tokens("question").alias("q")).withColumn("r", R.term_counts(F.col("q")))
     c = chunk_rows(spark, d).where("text IS NOT NULL").select("chunk", T.tokens("text").alias("t"))
-    return t.join(q, "query").join(c, "chunk").select("query", "chunk", F.round(R.lexical_overlap(F.col("q"), F.col("t")), 6).alias("overlap"))
+    return t.join(q, "query").join(c, "chunk").select("query", "chunk", F.round(R.lexical_overlap(F.col("q"), F.col("r"), F.col("t")), 6).alias("overlap"))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -146,8 +146,11 @@ def expanded_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    c = chunk_rows(spark, d).where("text IS NOT NULL").select("chunk", "document", "ordinal", "path", "text")
-    return ranked(spark, d).select("query", "chunk", F.col("final").alias("score")).join(c, "chunk").withColumn("tokens", T.estimated_tokens("text"))
+    # counted and hashed once a chunk, before the join repeats it
+    c = chunk_rows(spark, d).where("text IS NOT NULL").select(
+        "chunk", "document", "ordinal", "path", T.estimated_tokens("text").alias("tokens"), T.text_hash("text").alias("hash")
+    )
+    return ranked(spark, d).select("query", "chunk", F.col("final").alias("score")).join(c, "chunk")
 
 
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +174,7 @@ def budget_select(spark: SparkSession, d: str) -> DataFrame:
 def redundancy_filter(spark: SparkSession, d: str) -> DataFrame:
     """Each turn's candidates without repeated texts and near copies of the same path."""
     rows = _sized(spark, d).join(_vectors(spark, d), "chunk", "left")
-    return C.redundancy_filter(rows.select("query", "chunk", "score", T.text_hash("text").alias("hash"), "path", "v"))
+    return C.redundancy_filter(rows.select("query", "chunk", "score", "hash", "path", "v"))
 
 
 def memory_boosts(spark: SparkSession, d: str) -> DataFrame:

@@ -207,3 +207,12 @@ def test_merge_into_is_idempotent(spark, tmp_path):
     b = spark.createDataFrame([("y", 3), ("z", 4)], "k string, v int")
     assert sinks.merge_into(spark, base, v, b, ["k"]) == sinks.merge_into(spark, base, v, b, ["k"]) == 2
     assert sorted(map(tuple, spark.read.parquet(f"{base}/v2").collect())) == [("x", 1), ("y", 3), ("z", 4)]
+
+
+def test_lexical_overlap_counts_repeats(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("abcd") for _ in range(rng.randrange(0, 7))], [rng.choice("abcde") for _ in range(rng.randrange(0, 9))]) for _ in range(80)]
+    df = spark.createDataFrame(rows, "q array<string>, t array<string>").withColumn("r", ranking.term_counts(F.col("q")))
+    for r in df.withColumn("o", ranking.lexical_overlap(F.col("q"), F.col("r"), F.col("t"))).collect():
+        want = sum(min(r["q"].count(x), r["t"].count(x)) for x in set(r["q"])) / max(1, len(set(r["q"])))
+        assert r["o"] == want

@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.unicode import SPACE, strip, token_count, words
 
-#: Lines that try to override the instructions, and lines that try to call tools (fixed patterns).
-TOOL_PATTERNS = (r"\btool\s*call\b", r"\bfunction\s*call\b", r"\bexecute\s+(command|tool|function)\b")
+#: Lines that try to call tools, lines that try to override instructions, what stands for a text of which
+#: nothing is left, and the mark of a truncated text.
+TOOL_PATTERNS = (
+    r"\b(use|run|execute|call)\b.{0,40}\b(shell|terminal|bash|powershell|python|tool|browser|curl|wget)\b",
+    r"\b(install|pip\s+install|apt\s+install|brew\s+install)\b",
+    r"\b(read|open|print)\b.{0,40}\b(/etc/passwd|\.env|secret|token|key)\b",
+)
 OVERRIDE_PATTERNS = (
-    r"ignore\s+(all\s+)?(previous|prior|above)\s+instructions",
-    r"disregard\s+(all\s+)?(previous|prior|above)",
-    r"system\s+prompt",
-    r"you\s+are\s+now\b",
+    r"ignore\s+(all\s+)?previous\s+instructions",
+    r"(reveal|show|print)\s+(the\s+)?system\s+prompt",
+    r"(you\s+are\s+now|act\s+as)\s+(a\s+)?system",
+    r"override\s+(safety|policy|guardrails?)",
 )
+NOTHING_LEFT = "[sanitized user request]"
+TRUNCATED = "\n[TRUNCATED_BY_TOKEN_BUDGET]"
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def col(c: Column | str) -> Column:
@@ -58,10 +66,10 @@ def links(c: Column | str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(r"\[[^\]]+\]\(([^)]+)\)"), F.lit(1))
 
 
-def truncated(c: Column | str, budget: int, marker: str = "...", factor: float = 1.33) -> Column:
+def truncated(c: Column | str, budget: int, marker: str = TRUNCATED, factor: float = 1.33) -> Column:
     """The first words that a token budget allows, then a marker; shorter texts come out as they are."""
     n = max(1, int(budget / factor))
-    return F.when(F.size(words(c)) <= n, col(c)).otherwise(F.concat(F.array_join(F.slice(words(c), 1, n), " "), F.lit(" " + marker)))
+    return F.when(F.size(words(c)) <= n, col(c)).otherwise(F.concat(F.array_join(F.slice(words(c), 1, n), " "), F.lit(marker)))
 
 
 def embedding_input(path: Column | str, text: Column | str) -> Column:
@@ -71,13 +79,18 @@ def embedding_input(path: Column | str, text: Column | str) -> Column:
 
 
 def sanitized(c: Column | str) -> Column:
-    """struct(text, n_tool, n_override): the text without lines that try to steer the model."""
-    lines = F.split(col(c), "\n")
-    hit = lambda line, ps: F.coalesce(line.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)), F.lit(False))
-    tool = F.filter(lines, lambda x: hit(x, TOOL_PATTERNS))
-    override = F.filter(lines, lambda x: ~hit(x, TOOL_PATTERNS) & hit(x, OVERRIDE_PATTERNS))
-    kept = strip(F.array_join(F.filter(lines, lambda x: ~hit(x, TOOL_PATTERNS + OVERRIDE_PATTERNS)), "\n"))
-    return F.struct(F.when(kept == "", F.lit("[removed]")).otherwise(kept).alias("text"), F.size(tool).alias("n_tool"), F.size(override).alias("n_override"))
+    """struct(text, n_tool, n_override): the text without blank lines and lines that try to steer the model.
+
+    A line that meets both kinds of patterns counts as one of the first kind.
+    A null or blank text gives an empty one.
+    """
+    lines = F.filter(F.split(col(c), LINE_END), lambda x: strip(x) != "")
+    meets = lambda line, ps: line.rlike("(?i)" + "|".join(f"(?:{p})" for p in ps))
+    tool = F.filter(lines, lambda x: meets(x, TOOL_PATTERNS))
+    override = F.filter(lines, lambda x: ~meets(x, TOOL_PATTERNS) & meets(x, OVERRIDE_PATTERNS))
+    kept = strip(F.array_join(F.filter(lines, lambda x: ~meets(x, TOOL_PATTERNS + OVERRIDE_PATTERNS)), "\n"))
+    text = F.when(strip(F.coalesce(col(c), F.lit(""))) == "", F.lit("")).when(kept == "", F.lit(NOTHING_LEFT)).otherwise(kept)
+    return F.struct(text.alias("text"), F.greatest(F.size(tool), F.lit(0)).alias("n_tool"), F.greatest(F.size(override), F.lit(0)).alias("n_override"))
 
 
 def stable_id(*parts: Column | str) -> Column:

@@ -142,10 +142,10 @@ SELECT turn_id, len(s) AS n_sentences, coalesce(list_max([length(x) FOR x IN s])
 FROM (SELECT DISTINCT turn_id, created_at, [{strip_sql("x")} FOR x IN string_split(regexp_replace({strip_sql("text")}, '([.!?])[{WS}]+', '\\1' || chr(1), 'g'), chr(1)) IF {strip_sql("x")} <> ''] AS s
       FROM conversation_turns WHERE text IS NOT NULL)""",
     "sanitized_turns": f"""
-SELECT DISTINCT turn_id, turn_index, CASE WHEN clean = '' THEN '[removed]' ELSE clean END AS clean, n_tool, n_override
-FROM (SELECT turn_id, turn_index, {strip_sql("array_to_string([x FOR x IN l IF NOT (" + _TOOL + " OR " + _OVER + ")], chr(10))")} AS clean,
+SELECT DISTINCT turn_id, turn_index, CASE WHEN len(l) = 0 THEN '' WHEN clean = '' THEN '{T.NOTHING_LEFT}' ELSE clean END AS clean, n_tool, n_override
+FROM (SELECT turn_id, turn_index, l, {strip_sql("array_to_string([x FOR x IN l IF NOT (" + _TOOL + " OR " + _OVER + ")], chr(10))")} AS clean,
              len([x FOR x IN l IF {_TOOL}]) AS n_tool, len([x FOR x IN l IF NOT {_TOOL} AND {_OVER}]) AS n_override
-      FROM (SELECT turn_id, turn_index, string_split(text, chr(10)) AS l FROM conversation_turns WHERE text IS NOT NULL))""",
+      FROM (SELECT turn_id, turn_index, [y FOR y IN string_split_regex(text, '{T.LINE_END}') IF {strip_sql("y")} <> ''] AS l FROM conversation_turns WHERE text IS NOT NULL))""",
     "stable_ids": f"""
 SELECT DISTINCT chunk_id, ordinal, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS stable_id
 FROM (SELECT chunk_id, ordinal, sha256(tenant_id || '|' || document_id || '|' || ordinal || '|' || {canonical_sql("chunk_text")}) AS h
@@ -154,7 +154,7 @@ FROM (SELECT chunk_id, ordinal, sha256(tenant_id || '|' || document_id || '|' ||
 SELECT DISTINCT chunk_id,
        sha256(CASE WHEN coalesce({strip_sql("chunk_path")}, '') = '' THEN chunk_text ELSE '[H] ' || {strip_sql("chunk_path")} || chr(10) || chunk_text END) AS input_hash,
        substr(chunk_text, 1, 200) AS snippet,
-       CASE WHEN len(w) <= 30 THEN chunk_text ELSE array_to_string(w[1:30], ' ') || ' ...' END AS short_text
+       CASE WHEN len(w) <= 30 THEN chunk_text ELSE array_to_string(w[1:30], ' ') || chr(10) || '[TRUNCATED_BY_TOKEN_BUDGET]' END AS short_text
 FROM (SELECT *, regexp_extract_all(chunk_text, '[^{WS}]+') AS w FROM chunks WHERE chunk_text IS NOT NULL)""",
     "normalized_markdown": f"""
 WITH {_LINES},

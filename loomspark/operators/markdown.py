@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomspark.config import DEFAULTS, Config
 from loomspark.functions.unicode import SPACE, strip, token_count
+from loomspark.session import stored
 
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -99,14 +100,17 @@ def heading_paths(rows: DataFrame, key: str) -> DataFrame:
 
 def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, block, kind, line_from, line_to, char_start, char_end, tokens): runs of lines of one kind, blank lines and headings left out."""
-    rows = typed_lines(df, key, text).where("kind NOT IN ('blank', 'heading')")
-    g = rows.groupBy(key, "b").agg(
+    return _blocks(typed_lines(df, key, text).withColumns({"w": F.length("t"), "n": token_count("t")}), key)
+
+
+def _blocks(typed: DataFrame, key: str) -> DataFrame:
+    g = typed.where("kind NOT IN ('blank', 'heading')").groupBy(key, "b").agg(
         F.first("kind").alias("kind"),
         F.min("line").alias("line_from"),
         F.max("line").alias("line_to"),
         F.min("at").alias("char_start"),
-        F.max(F.col("at") + F.length("t")).alias("char_end"),
-        F.sum(token_count("t")).alias("tokens"),
+        F.max(F.col("at") + F.col("w")).alias("char_end"),
+        F.sum("n").alias("tokens"),
     )
     return g.withColumn("block", F.row_number().over(Window.partitionBy(key).orderBy("b")) - 1)
 
@@ -120,9 +124,13 @@ def chunks(df: DataFrame, key: str, text: str, config: Config = DEFAULTS) -> Dat
     windows of the maximum with overlap are made. Offsets are code points of
     the text with \\n line ends.
     """
-    typed = typed_lines(df, key, text)
+    # four steps below read the lines; they are typed once
+    typed = stored(
+        typed_lines(df, key, text).select(key, "line", "at", "kind", "b", F.length("t").alias("w"), token_count("t").alias("n"), F.when(F.col("kind") == "heading", F.col("s")).alias("s")),
+        "markdown-lines",
+    )
     heads = heading_paths(typed, key).select(F.col(key).alias("_k"), F.col("line").alias("_h"), "path")
-    b = blocks(df, key, text)
+    b = _blocks(typed, key)
     above = F.max(F.when(F.col("_head"), F.col("line"))).over(Window.partitionBy(key).orderBy("line"))
     marks = typed.select(key, "line", (F.col("kind") == "heading").alias("_head")).withColumn("_h", above)
     b = (
@@ -199,7 +207,7 @@ def _lines_packed(b: DataFrame, typed: DataFrame, key: str, config: Config) -> D
         F.col(key).alias("_k"), "block", F.col("kind").alias("_kind"), "line_from", "line_to", "path"
     )
     rows = typed.join(big, (F.col(key) == F.col("_k")) & F.col("line").between(F.col("line_from"), F.col("line_to"))).select(
-        key, "block", "_kind", "path", "line_from", "line", "at", F.length("t").alias("w"), token_count("t").cast("bigint").alias("n")
+        key, "block", "_kind", "path", "line_from", "line", "at", "w", F.col("n").cast("bigint").alias("n")
     )
     arr = rows.groupBy(key, "block").agg(
         F.first("_kind").alias("kind"), F.first("path").alias("path"), F.first("line_from").alias("line_from"),

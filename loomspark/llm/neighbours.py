@@ -11,13 +11,15 @@
    task holds a whole part; the best of all blocks are merged per query.
 
 The sample, and with it the network, is bounded by documented parameters; the
-number of parts follows the number of vectors. All rows are indexed and all
-are queries. Equal vectors are one class: one of them is searched for, its
+number of parts follows the number of vectors; parts that stay too large get
+a router of their own, fitted in a task. All rows are indexed and all are
+queries. Equal vectors are one class: one of them is searched for, its
 copies are put back at the end.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ from loomspark.session import stored
 DIM, K = 64, 5
 #: Vectors a part should index, the most parts, and vectors of the sample for each part; so the sample has at most 16,384 vectors.
 PART_ROWS, MOST_PARTS, SAMPLE_PER_PART, MOST_SAMPLE = 3000, 512, 256, 16_384
+#: The same for the parts of a part, where a part still holds more than PART_ROWS: 16 MB of routers at most.
+MOST_SUBPARTS, MOST_SUBSAMPLE, SUBHIDDEN = 64, 4096, 64
 #: Parts that a query is sent to, rows of a block of queries and of a block of the index.
 PROBES, QUERY_BLOCK, INDEX_BLOCK = 16, 32_768, 8192
 GRAPH_K = 12
@@ -173,12 +177,47 @@ class Router:
                     w[i] -= rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-7)
         self.w = [p.astype(np.float32) for p in w]
 
+    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = np.maximum(x.astype(np.float32) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
+        z -= z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
     def top(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` most probable parts of each row, the most probable first."""
-        z = np.maximum(x.astype(np.float32) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
-        probes = min(probes, z.shape[1])
-        some = np.argpartition(-z, probes - 1, axis=1)[:, :probes]
-        return np.take_along_axis(some, np.argsort(-np.take_along_axis(z, some, 1), axis=1, kind="stable"), 1)
+        return _top(self.log_probabilities(x), probes)
+
+
+def _top(z: np.ndarray, probes: int) -> np.ndarray:
+    """Columns of the largest values of each row, the largest first."""
+    probes = min(probes, z.shape[1])
+    some = np.argpartition(-z, probes - 1, axis=1)[:, :probes]
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(z, some, 1), axis=1, kind="stable"), 1)
+
+
+class Routing:
+    """A router over all parts and, where parts are still too large, routers within them; parts are numbered through."""
+
+    def __init__(self, first: Router | None, within: dict[int, Router] | None = None):
+        self.first, self.within = first, within or {}
+
+    def top(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The most probable parts of each row by the product of both probabilities; -1 fills up what is missing."""
+        if self.first is None:
+            return np.zeros((len(x), 1), np.int64)
+        if not self.within:
+            return self.first.top(x, probes)
+        p = self.first.log_probabilities(x)
+        parts = _top(p, probes)
+        score = np.full((len(x), parts.shape[1], MOST_SUBPARTS), -np.inf)
+        for part in np.unique(parts):
+            row, at = np.nonzero(parts == part)
+            sub = self.within.get(int(part))
+            inner = sub.log_probabilities(x[row]) if sub else np.zeros((len(row), 1))
+            score[row, at, : inner.shape[1]] = p[row, part][:, None] + inner
+        flat = score.reshape(len(x), -1)
+        best = _top(flat, probes)
+        number = np.take_along_axis(parts, best // MOST_SUBPARTS, 1) * MOST_SUBPARTS + best % MOST_SUBPARTS
+        return np.where(np.isfinite(np.take_along_axis(flat, best, 1)), number, -1)
 
 
 def fit_router(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS, seed: int = 0) -> tuple[Router | None, int]:
@@ -191,10 +230,54 @@ def fit_router(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS,
     want = min(MOST_SAMPLE, parts * SAMPLE_PER_PART)
     rows = vectors.orderBy(F.xxhash64("key", F.lit(seed))).limit(want).select("vec").toArrow()
     x = matrix(rows.column(0), dim)
-    near = sample_graph(x, vectors.sparkSession)
+    return _trained(x, sample_graph(x, vectors.sparkSession), parts, seed), parts
+
+
+def _trained(x: np.ndarray, near: np.ndarray, parts: int, seed: int, **options) -> Router:
     part = balanced_parts(near, parts, seed)
-    targets = np.concatenate([part[:, None], part[near]], axis=1)
-    return Router(x, targets, parts, seed=seed), parts
+    return Router(x, np.concatenate([part[:, None], part[near]], axis=1), parts, seed=seed, **options)
+
+
+def fit_routing(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS, seed: int = 0) -> Routing:
+    """Routers for ``n`` vectors (key, vec): one, and one for each part that still holds more than ``part_rows``.
+
+    The routers of parts are fitted in Spark, a part a task, each on a
+    bounded sample of its rows.
+    """
+    router, parts = fit_router(vectors, n, dim, part_rows, seed)
+    if parts * part_rows >= n:
+        return Routing(router)
+    shared = vectors.sparkSession.sparkContext.broadcast(router)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                top = shared.value.top(matrix(b.column(1), dim), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.astype(np.int32))], names=["key", "vec", "part"])
+
+    at_home = stored(vectors.mapInArrow(home, "key string, vec binary, part int"), "parts")
+    sizes = at_home.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > part_rows)  # at most MOST_PARTS rows
+    by_hash = Window.partitionBy("part").orderBy(F.xxhash64("key", F.lit(seed)))
+    sample = at_home.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= MOST_SUBSAMPLE).join(F.broadcast(sizes), "part")
+
+    def fit(t: pa.Table) -> pa.Table:
+        subparts = 1
+        while subparts < MOST_SUBPARTS and subparts * part_rows < t.column("n")[0].as_py():
+            subparts *= 2
+        x = matrix(t.column("vec"), dim)
+        s = x.astype(np.float32) @ x.astype(np.float32).T
+        np.fill_diagonal(s, -9)
+        k = min(GRAPH_K, len(x) - 1)
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        r = _trained(x, near, subparts, seed, hidden=SUBHIDDEN)
+        return pa.table({"part": t.column("part")[:1], "router": pa.array([pickle.dumps(r.w)], pa.binary())})
+
+    within = {}
+    for row in sample.groupBy("part").applyInArrow(fit, "part int, router binary").toLocalIterator():
+        r = Router.__new__(Router)
+        r.w = pickle.loads(bytes(row["router"]))
+        within[row["part"]] = r
+    return Routing(router, within)
 
 
 def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,19 +350,19 @@ def similar_vectors(
     members = stored(_classes(vectors), "vectors")
     reps = members.where("key = cls").select("key", "vec")
     n = reps.count()
-    router, parts = fit_router(reps, n, dim, part_rows, seed)
-    shared = spark.sparkContext.broadcast(router)
+    shared = spark.sparkContext.broadcast(fit_routing(reps, n, dim, part_rows, seed))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            top = r.top(matrix(b.column(1), dim), probes) if r else np.zeros((b.num_rows, 1), np.int64)
+            top = r.top(matrix(b.column(1), dim), probes)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["key", "vec", "parts"])
 
     routed = stored(reps.mapInArrow(route, "key string, vec binary, parts array<int>"), "routed")
-    # at most MOST_PARTS rows
+    routed = routed.withColumn("parts", F.filter("parts", lambda p: p >= 0))
+    # at most MOST_PARTS * MOST_SUBPARTS rows
     held = {r["p"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}
     asked = {r["p"]: r["n"] for r in routed.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     sizes = spark.createDataFrame(

@@ -67,6 +67,18 @@ def test_recall_of_learned_parts(spark, monkeypatch):
     assert len(true) > 100 and len(pairs & true) / len(true) >= 0.97 and len(pairs - true) <= 0.03 * len(true)
 
 
+def test_parts_within_parts(spark, monkeypatch):
+    monkeypatch.setattr(N, "MOST_PARTS", 4)
+    x = clustered(2400, 3)
+    v = N.usable_vectors(spark.createDataFrame(rows_of(x), SCHEMA))
+    routing = N.fit_routing(v, len(x), 64, 150)
+    assert len(routing.within) == 4 and len(np.unique(routing.top(np.asarray(x, float), 1))) > 12
+    s, top = exact(x, 5)
+    pairs = {tuple(r) for r in N.similar_pairs(v, probes=8, part_rows=150).collect()}
+    true = {tuple(sorted((f"{i:08x}", f"{j:08x}"))) for i in range(len(x)) for j in top[i] if s[i, j] >= 0.85}
+    assert len(pairs & true) / len(true) >= 0.97
+
+
 def test_copies_and_small_tables(spark):
     x = np.concatenate([np.ones((40, 64), np.float32), np.eye(64, dtype=np.float32)[:3]])
     v = N.usable_vectors(spark.createDataFrame(rows_of(x) + rows_of(x)[:5], SCHEMA))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.functions.unicode import strip
+
 
 def hex_key(c: Column | str) -> Column:
     """The hexadecimal digits of a key in lower case; all other characters are removed.
@@ -13,4 +15,4 @@ def hex_key(c: Column | str) -> Column:
     but holds no hexadecimal digit gives the empty string.
     """
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.trim(c) != "", F.regexp_replace(F.lower(c), "[^0-9a-f]", ""))
+    return F.when(strip(c) != "", F.regexp_replace(F.lower(c), "[^0-9a-f]", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import tokens
+from loomspark.operators.bloom import blocks_for, bloom_table, with_maybe
 
 #: Weights of the parts of a record: title, labels and path, text (fixed values).
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -28,13 +29,16 @@ def all_terms(df: DataFrame, key: str, text: str) -> DataFrame:
 def match_all(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query, key): the records of ``index`` (key, terms) that hold all terms of a query of ``queries`` (query, terms).
 
-    Each query looks up the postings of its rarest term only and tests the
-    others within the record, so a frequent term costs nothing. Queries
-    without terms match nothing.
+    A Bloom filter of the queries' terms leaves only their postings. Each
+    query looks up its rarest term alone and tests the others within the
+    record, so a frequent term costs nothing. Queries without terms match
+    nothing.
     """
-    posts = index.select("key", F.explode("terms").alias("term"))
     wanted = queries.select("query", F.explode("terms").alias("term"))
-    frequency = posts.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    blocks = blocks_for(wanted.count())
+    every = index.select("key", F.explode("terms").alias("term"))
+    posts = with_maybe(every, "term", bloom_table(wanted.select("term"), "term", blocks), blocks).where("_maybe").select("key", "term")
+    frequency = posts.groupBy("term").agg(F.count("*").alias("df"))
     rarest = (
         wanted.join(frequency, "term", "left")
         .groupBy("query")
@@ -43,10 +47,11 @@ def match_all(queries: DataFrame, index: DataFrame) -> DataFrame:
         .select("query", F.col("r.term").alias("term"))
     )
     hits = rarest.join(posts, "term").select("query", "key")
+    held = posts.groupBy("key").agg(F.collect_set("term").alias("held"))
     return (
-        hits.join(queries.withColumnRenamed("terms", "_q"), "query")
-        .join(index, "key")
-        .where(F.size(F.array_except("_q", "terms")) == 0)
+        hits.join(queries.select("query", F.col("terms").alias("_q")), "query")
+        .join(held, "key")
+        .where(F.size(F.array_except("_q", "held")) == 0)
         .select("query", "key")
     )
 

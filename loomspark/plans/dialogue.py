@@ -11,7 +11,7 @@ from loomspark.functions.unicode import strip
 from loomspark.operators import dialogue as D
 from loomspark.plans.retrieval import hex_sql, trace
 from loomspark.plans.text import WS, strip_sql
-from loomspark.session import table
+from loomspark.session import small, table
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,7 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversation_turns").select(
         hex_key("conversation_id").alias("conversation"), F.col("turn_index").alias("idx"), F.lower(strip("role")).alias("label"), "text", F.col("created_at").alias("at")
     )
-    roles = table(spark, d, "role_aliases").select("label", "role_name").distinct()  # a fixed list
+    roles = table(spark, d, "role_aliases").select("label", "role_name").distinct()
     t = t.where("conversation IS NOT NULL AND idx IS NOT NULL").join(F.broadcast(roles), "label", "left")
     return t.groupBy("conversation", "idx").agg(F.min("role_name").alias("role"), F.min("text").alias("text"), F.min("at").alias("at"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.keys import hex_key
 from loomspark.operators import sync as S
 from loomspark.plans.retrieval import hex_sql
-from loomspark.session import table
+from loomspark.session import small, table
 
 _KEYS = ["tenant_id", "source_type", "external_ref"]
 
@@ -32,7 +32,7 @@ def tombstones(spark: SparkSession, d: str) -> DataFrame:
     """References that were delivered before the last complete month of their kind, but not in it."""
     rows = _deliveries(spark, d).where("fetched_at IS NOT NULL")
     last = rows.groupBy("source_type").agg(F.date_trunc("month", F.max("fetched_at")).alias("m"), F.count("*").alias("n"))
-    at = rows.join(F.broadcast(last), "source_type")  # a row for each kind of source
+    at = rows.join(small(last), "source_type")
     return S.tombstones(
         rows, at.where(F.col("fetched_at") >= F.col("m")), last.select("source_type", (F.col("n") > 1).alias("listing_complete")), _KEYS, "source_type"
     )

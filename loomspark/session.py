@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -86,3 +87,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{sc.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The side of a join, to be broadcast if it is found to have at most so many rows; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.keys import hex_key
 from loomspark.functions.unicode import is_blank, strip
+from loomspark.session import small
 
 #: Indexes between the starts of two fragments.
 SPAN = 256
@@ -33,9 +34,9 @@ def messages(turns: DataFrame, aliases: DataFrame) -> DataFrame:
     """(conv, idx, role, text, blank, h): the rows with a known spelling of everything.
 
     ``role`` is null if the label is unknown; all blank texts are equal (null).
-    Rows without a conversation key are left out. ``aliases`` is the fixed
-    list of role labels; it is reduced to one role for a label before it is
-    broadcast.
+    Rows without a conversation key are left out. ``aliases`` is the list
+    of role labels; it is reduced to one role for a label and broadcast if
+    its size allows.
     """
     roles = (
         aliases.select(F.lower(strip("label")).alias("_label"), "role_name")
@@ -52,7 +53,7 @@ def messages(turns: DataFrame, aliases: DataFrame) -> DataFrame:
     ).where(F.col("conv").isNotNull())
     text = F.when(~F.col("blank"), strip("_text"))
     return (
-        rows.join(F.broadcast(roles), "_label", "left")
+        rows.join(small(roles), "_label", "left")
         .select("conv", "idx", "role", text.alias("text"), "blank", F.col("_label"))
         .withColumn("h", F.xxhash64("idx", F.coalesce("role", "_label"), "text"))
         .drop("_label")

@@ -13,8 +13,8 @@
 The sample, and with it the network, is bounded by documented parameters; the
 number of parts follows the number of vectors; parts that stay too large get
 a router of their own, fitted in a task. All rows are indexed and all are
-queries. Equal vectors are one class: one of them is searched for, its
-copies are put back at the end.
+queries. Vectors of one direction are one class: one of them is searched for,
+its copies are put back at the end.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ def usable_vectors(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return good.mapInArrow(pack, "key string, vec binary")
 
 
+def with_direction(vectors: DataFrame, dim: int) -> DataFrame:
+    """Adds ``dir``, a hash of 128 bits of the unit vector to six decimals: copies have one direction, whatever their lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u = np.round(matrix(b.column(1), dim) * 1e6).astype("<i4")
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(r.tobytes()) for r in u], pa.binary())], names=["key", "vec", "dir"])
+
+    return vectors.select("key", "vec").mapInArrow(run, "key string, vec binary, dir binary")
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """The vectors of a binary column as unit rows; sums are in double precision."""
     x = np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dim).astype(np.float64)
@@ -280,11 +293,34 @@ def fit_routing(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS
     return Routing(router, within)
 
 
-def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(s: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k largest of each row; all that tie with the last are kept."""
     k = min(k, s.shape[1])
     bar = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-    return np.nonzero(s >= bar[:, None] - 1e-6)
+    return np.nonzero(s >= bar[:, None] - slack)
+
+
+def _close(x: np.ndarray, x32: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, column) and (column, row) that hold the k most similar of the first, at ``least`` or more, in single precision.
+
+    Where single precision can't tell many candidates apart, as in a large
+    group of near copies, the block is compared in double precision.
+    """
+    s = x32[rows] @ x32[cols].T
+    few = 16 * (k + 1)
+    if least > -1:
+        near = s >= least - 1e-4
+        if np.count_nonzero(near) <= few * len(rows):
+            r, c = np.nonzero(near)
+            yield rows[r], cols[c]
+            yield cols[c], rows[r]
+            return
+    for me, other, m in ((rows, cols, s), (cols, rows, s.T)):
+        # one more than k, as a row may meet itself
+        r, c = _best(m, k + 1, 1e-6)
+        if len(r) > few * len(me):
+            r, c = _best(x[me] @ x[other].T, k + 1, 1e-12)
+        yield me[r], other[c]
 
 
 def _search(table: pa.Table, dim: int, k: int, least: float) -> pa.Table:
@@ -318,18 +354,8 @@ def _search(table: pa.Table, dim: int, k: int, least: float) -> pa.Table:
     rows, cols = np.flatnonzero(query), np.flatnonzero(~query)
     x32 = x.astype(np.float32)
     for i in range(0, len(rows), 1024) if len(cols) else ():
-        block = rows[i : i + 1024]
-        s = x32[block] @ x32[cols].T
-        if least > -1:
-            r, c = np.nonzero(s >= least - 1e-4)
-            keep(block[r], cols[c])
-            keep(cols[c], block[r])
-        else:
-            # one more than k, as a row may meet itself
-            r, c = _best(s, k + 1)
-            keep(block[r], cols[c])
-            c, r = _best(s.T, k + 1)
-            keep(cols[c], block[r])
+        for me, other in _close(x, x32, rows[i : i + 1024], cols, k, least):
+            keep(me, other)
     cat = lambda i, kind: np.concatenate([o[i] for o in out]) if out else np.zeros(0, kind)
     return pa.table(
         {"query": pa.array(cat(0, object), pa.string()), "key": pa.array(cat(1, object), pa.string()), "cosine": pa.array(cat(2, float), pa.float64())}
@@ -347,7 +373,7 @@ def similar_vectors(
     if each of the two is indexed outside the other's ``probes`` parts.
     """
     spark = vectors.sparkSession
-    members = stored(_classes(vectors), "vectors")
+    members = stored(_classes(vectors, dim), "vectors")
     reps = members.where("key = cls").select("key", "vec")
     n = reps.count()
     shared = spark.sparkContext.broadcast(fit_routing(reps, n, dim, part_rows, seed))
@@ -387,12 +413,11 @@ def similar_vectors(
     return _with_copies(members, pairs, k, least)
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """Adds ``cls``, the smallest key among equal vectors (its own key where there is no copy)."""
-    copies = (
-        vectors.groupBy("vec").agg(F.min("key").alias("cls"), F.count("*").alias("_n")).where("_n > 1").select(F.col("vec").alias("_v"), "cls")
-    )
-    return vectors.join(copies, F.col("vec") == F.col("_v"), "left").select("key", "vec", F.coalesce("cls", "key").alias("cls"))
+def _classes(vectors: DataFrame, dim: int) -> DataFrame:
+    """Adds ``cls``, the smallest key among vectors of one direction (its own key where there is no copy)."""
+    v = with_direction(vectors, dim)
+    copies = v.groupBy("dir").agg(F.min("key").alias("cls"), F.count("*").alias("_n")).where("_n > 1").select(F.col("dir").alias("_d"), "cls")
+    return v.join(copies, F.col("dir") == F.col("_d"), "left").select("key", "vec", F.coalesce("cls", "key").alias("cls"))
 
 
 def _with_copies(members: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:

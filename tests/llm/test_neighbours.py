@@ -90,6 +90,22 @@ def test_copies_and_small_tables(spark):
     assert N.similar_vectors(empty, 5).count() == 0 and N.similar_pairs(v.limit(1)).count() == 0
 
 
+def test_a_third_of_near_copies_and_scaled_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "INDEX_BLOCK", 400)
+    rng = np.random.default_rng(6)
+    x = clustered(1800, 5)
+    x[:600] = x[0] + rng.standard_normal((600, 64)).astype(np.float32) * 1e-3
+    x[600:900] = x[600] * rng.uniform(0.1, 9, (300, 1))
+    v = N.usable_vectors(spark.createDataFrame(rows_of(x), SCHEMA))
+    s, top = exact(x, 5)
+    got = {}
+    for r in N.similar_vectors(v, 5, 0.85, probes=8, part_rows=300).collect():
+        got.setdefault(int(r["query"], 16), set()).add(int(r["key"], 16))
+    near = [len(got[i] & set(top[i])) for i in range(600)]
+    assert np.mean(near) > 4.8
+    assert all(got[i] <= set(range(600, 900)) and len(got[i]) == 5 for i in range(600, 900))
+
+
 @pytest.mark.parametrize("parts", [2, 8])
 def test_parts_are_balanced(parts):
     x = clustered(1000, 4)

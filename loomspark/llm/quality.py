@@ -27,6 +27,8 @@ from loomspark.functions.unicode import is_blank
 from loomspark.session import stored
 
 CHUNK, FAN = 8192, 64
+#: Chunks of a block.
+BLOCK = 128
 #: Columns of a word's figures, which add up over a sentence and over a document.
 FIGURES = ("nonspace", "letters", "digits", "symbols", "words", "word_chars", "common", "bullets", "odd", "lines", "lines_punct")
 PUNCTUATION = frozenset(".,;:!?…'\"()«»„“”‚‘’-–—")
@@ -301,8 +303,11 @@ def text_totals(docs: DataFrame, key: str, text: str, common_words: list[str], c
     kind = docs.schema[key].dataType.simpleString()
     # line ends are made equal first, so that none is cut in two
     rows = docs.select(F.col(key).alias("key"), F.regexp_replace(text, r"\r\n?", "\n").alias("text")).where(~is_blank("text"))
-    n = F.ceil(F.length("text") / chunk).cast("int")
-    chunks = rows.select("key", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))).alias("no", "part"))
+    # a substring is found by counting from the start, so a long text is cut into blocks of chunks before it is cut into chunks
+    block = chunk * BLOCK
+    cut = lambda c, size: F.transform(F.sequence(F.lit(0), F.ceil(F.length(c) / size).cast("int") - 1), lambda i: F.substring(c, i * size + 1, F.lit(size)))
+    blocks = rows.select("key", F.ceil(F.length("text") / chunk).cast("int").alias("n"), F.posexplode(cut("text", block)).alias("b", "text"))
+    chunks = blocks.select("key", "n", "b", F.posexplode(cut("text", chunk)).alias("i", "part")).select("key", "n", (F.col("b") * BLOCK + F.col("i")).alias("no"), "part")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(common)

@@ -20,7 +20,7 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
         hex_key("conversation_id").alias("conversation"), F.col("turn_index").alias("idx"), F.lower(strip("role")).alias("label"), "text", F.col("created_at").alias("at")
     )
     roles = table(spark, d, "role_aliases").select("label", "role_name").distinct()
-    t = t.where("conversation IS NOT NULL AND idx IS NOT NULL").join(F.broadcast(roles), "label", "left")
+    t = t.where("conversation IS NOT NULL AND idx IS NOT NULL").join(small(roles), "label", "left")
     return t.groupBy("conversation", "idx").agg(F.min("role_name").alias("role"), F.min("text").alias("text"), F.min("at").alias("at"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _REGISTRY: dict[str, Callable[[dict], "Connector"]] = {}
@@ -26,8 +27,22 @@ class Connector:
         raise NotImplementedError
 
 
-def register(name: str, factory: Callable[[dict], Connector]) -> None:
-    _REGISTRY[name] = factory
+def register(spark: SparkSession, kind: str, factory: Callable[[dict], Connector]) -> None:
+    """Makes ``spark.read.format(kind).load()`` read a connector; the factory gets the reader's options.
+
+    Spark plans and reads such a source in other processes, so the class
+    carries its factory with it.
+    """
+
+    class Source(ConnectorSource):
+        make = staticmethod(factory)
+
+        @classmethod
+        def name(cls) -> str:
+            return kind
+
+    _REGISTRY[kind] = factory
+    spark.dataSource.register(Source)
 
 
 def registered() -> list[str]:
@@ -35,22 +50,17 @@ def registered() -> list[str]:
 
 
 class ConnectorSource(DataSource):
-    """``spark.read.format("connector").option("kind", name).load()``: one partition for each page of the listing."""
+    """One partition for each page of a connector's listing; a connector that isn't configured is an error."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "connector"
+    make: Callable[[dict], Connector]
 
     def schema(self) -> str:
         return "external_ref string, title string, markdown string, url string, author string, modified string"
 
     def reader(self, schema) -> DataSourceReader:
-        kind = self.options.get("kind", "")
-        if kind not in _REGISTRY:
-            raise ValueError(f"no connector of the kind {kind!r}; known: {registered()}")
-        connector = _REGISTRY[kind](dict(self.options))
+        connector = self.make(dict(self.options))
         if missing := connector.configured():
-            raise ValueError(f"the connector {kind!r} isn't configured: {missing}")
+            raise ValueError(f"the connector {self.name()!r} isn't configured: {missing}")
         return ConnectorReader(connector)
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import ops
@@ -29,20 +30,27 @@ def test_html():
     assert to_markdown(None) == ""
 
 
-class Wiki(connector.Connector):
-    def pages(self):
-        return 3
-
-    def fetch_page(self, page):
-        for i in range(2):
-            yield (f"p{page}-{i}", f"title {i}", "text", None, None, None)
-
-
 def test_connector_source(spark):
-    connector.register("wiki", lambda options: Wiki())
-    spark.dataSource.register(connector.ConnectorSource)
-    df = spark.read.format("connector").option("kind", "wiki").load()
-    assert df.count() == 6 and df.rdd.getNumPartitions() == 3
+    class Wiki(connector.Connector):
+        def __init__(self, options):
+            self.space = options.get("space")
+
+        def configured(self):
+            return None if self.space else "space"
+
+        def pages(self):
+            return 3
+
+        def fetch_page(self, page):
+            for i in range(2):
+                yield (f"{self.space}{page}-{i}", f"title {i}", "text", None, None, None)
+
+    connector.register(spark, "wiki", Wiki)
+    assert connector.registered() == ["wiki"]
+    df = spark.read.format("wiki").option("space", "s").load()
+    assert sorted(r["external_ref"] for r in df.collect()) == [f"s{p}-{i}" for p in range(3) for i in range(2)] and df.rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="isn't configured: space"):
+        spark.read.format("wiki").load().count()
 
 
 def test_windowed_metrics_match_batch(spark, sf, tmp_path):

@@ -170,3 +170,15 @@ documents_n AS MATERIALIZED (SELECT k, count(*) AS n FROM documents_s GROUP BY k
 UNION ALL
 {_JACCARD.format(name="documents", n=13, d=20)}
 """
+
+SQL["p1_found"] = f"""
+WITH newest AS (
+  SELECT k, embedding AS e FROM (SELECT {_HEX.format("chunk_id")} AS k, embedding, updated_at FROM chunk_vectors WHERE trim(chunk_id) <> '')
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY updated_at DESC NULLS LAST, embedding DESC NULLS LAST) = 1),
+v AS MATERIALIZED (
+  SELECT k, CAST(e AS DOUBLE[]) AS e FROM newest
+  WHERE len(e) = 64 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+near AS (
+  SELECT a.k AS me, b.k AS other, round(list_cosine_similarity(a.e, b.e), 12) AS c FROM v a JOIN v b ON a.k <> b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.85),
+best AS (SELECT me, other FROM near QUALIFY row_number() OVER (PARTITION BY me ORDER BY c DESC, other) <= 5)
+SELECT DISTINCT least(me, other) AS chunk_id_a, greatest(me, other) AS chunk_id_b FROM best"""

@@ -7,7 +7,10 @@
    routes every vector of the collection to its most probable part, where the
    vector is indexed, and to several most probable parts, where it is
    compared exactly with all that is indexed there.
-3. Parts are split into blocks of rows, queries and index alike, so that no
+3. How many parts that takes is measured, not assumed: for a bounded sample
+   of queries the true neighbours are found by brute force, and the parts are
+   increased until the routing finds enough of them.
+4. Parts are split into blocks of rows, queries and index alike, so that no
    task holds a whole part; the best of all blocks are merged per query.
 
 The sample, and with it the network, is bounded by documented parameters; the
@@ -19,6 +22,7 @@ its copies are put back at the end.
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Iterator
 
@@ -36,9 +40,15 @@ DIM, K = 64, 5
 PART_ROWS, MOST_PARTS, SAMPLE_PER_PART, MOST_SAMPLE = 3000, 512, 256, 16_384
 #: The same for the parts of a part, where a part still holds more than PART_ROWS: 16 MB of routers at most.
 MOST_SUBPARTS, MOST_SUBSAMPLE, SUBHIDDEN = 64, 4096, 64
-#: Parts that a query is sent to, rows of a block of queries and of a block of the index.
+#: Parts that a query is sent to at least, rows of a block of queries and of a block of the index.
 PROBES, QUERY_BLOCK, INDEX_BLOCK = 16, 32_768, 8192
 GRAPH_K = 12
+#: Queries whose neighbours are found by brute force to choose the number of parts, the recall that these need (less two standard errors), and the growth of the number from try to try.
+MEASURED, RECALL, GROWTH = 1024, 0.9, 1.25
+#: Entries of the table of subparts that a router fills at once.
+ROUTED_AT_ONCE = 4_000_000
+
+log = logging.getLogger(__name__)
 
 
 def usable_vectors(vectors: DataFrame, dim: int = DIM) -> DataFrame:
@@ -219,6 +229,11 @@ class Routing:
             return np.zeros((len(x), 1), np.int64)
         if not self.within:
             return self.first.top(x, probes)
+        wide = min(probes, self.first.w[3].size) * MOST_SUBPARTS
+        step = max(1, ROUTED_AT_ONCE // wide)
+        return np.concatenate([self._within(x[i : i + step], probes) for i in range(0, len(x), step)])
+
+    def _within(self, x: np.ndarray, probes: int) -> np.ndarray:
         p = self.first.log_probabilities(x)
         parts = _top(p, probes)
         score = np.full((len(x), parts.shape[1], MOST_SUBPARTS), -np.inf)
@@ -293,6 +308,63 @@ def fit_routing(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS
     return Routing(router, within)
 
 
+def true_neighbours(vectors: DataFrame, dim: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, row of the query, neighbour): MEASURED vectors chosen by hash, and by brute force their k nearest others, a row for each."""
+    # another seed than the routers' samples have
+    chosen = vectors.orderBy(F.xxhash64("key", F.lit(seed + 1)), "key").limit(MEASURED).select("key", "vec").toArrow()
+    x = matrix(chosen.column("vec"), dim)
+    shared = vectors.sparkSession.sparkContext.broadcast((x.astype(np.float32), {key: i for i, key in enumerate(chosen.column("key").to_pylist())}))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, number = shared.value
+        cosine, vec = np.full((len(q), k), -9, np.float32), np.zeros((len(q), k, dim), np.float32)
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), "<f4").reshape(-1, dim)
+            keys = b.column(0).to_pylist()
+            for i in range(0, len(keys), 4096):
+                part = raw[i : i + 4096]
+                s = q @ matrix(b.column(1).slice(i, 4096), dim).astype(np.float32).T
+                for j, key in enumerate(keys[i : i + 4096]):
+                    if key in number:
+                        s[number[key], j] = -9
+                both = np.concatenate([cosine, s], axis=1)
+                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                cosine = np.take_along_axis(both, top, 1)
+                old = np.take_along_axis(vec, np.minimum(top, k - 1)[:, :, None], 1)
+                vec = np.where((top < k)[:, :, None], old, part[np.maximum(top - k, 0)])
+        row, at = np.nonzero(cosine > -9)
+        if len(row):
+            found = [pa.array(row.astype(np.int32)), pa.array(cosine[row, at]), pa.array([v.tobytes() for v in vec[row, at]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(found, names=["row", "cosine", "vec"])
+
+    found = vectors.select("key", "vec").mapInArrow(near, "row int, cosine float, vec binary")
+    first = Window.partitionBy("row").orderBy(F.col("cosine").desc(), "vec")
+    t = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("row", "vec").toArrow()  # at most MEASURED * k rows
+    return x, t.column("row").to_numpy(), matrix(t.column("vec"), dim)
+
+
+def found_share(routing: Routing, x: np.ndarray, row: np.ndarray, near: np.ndarray, probes: int) -> np.ndarray:
+    """For each query, the share of its true neighbours that meet it in a part, from either side."""
+    mine, other = routing.top(x, probes)[row], routing.top(near, probes)
+    met = (mine == other[:, :1]).any(1) | (other == mine[:, :1]).any(1)
+    return np.bincount(row, met, len(x)) / np.maximum(np.bincount(row, minlength=len(x)), 1)
+
+
+def choose_probes(routing: Routing, vectors: DataFrame, dim: int, k: int, seed: int = 0) -> tuple[int, float]:
+    """(probes, recall): the parts that a query is sent to, PROBES or as many more as the measured recall needs, up to all of them."""
+    if routing.first is None:
+        return 1, 1.0
+    x, row, near = true_neighbours(vectors, dim, k, seed)
+    every = routing.first.w[3].size * (MOST_SUBPARTS if routing.within else 1)
+    probes = min(PROBES, every)
+    while True:
+        share = found_share(routing, x, row, near, probes)
+        if probes == every or share.mean() - 2 * share.std() / np.sqrt(len(share)) >= RECALL:
+            log.info("%d of at most %d parts a query, recall@%d of %d queries %.3f", probes, every, k, len(x), share.mean())
+            return probes, float(share.mean())
+        probes = min(every, int(np.ceil(probes * GROWTH)))
+
+
 def _best(s: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k largest of each row; all that tie with the last are kept."""
     k = min(k, s.shape[1])
@@ -363,20 +435,24 @@ def _search(table: pa.Table, dim: int, k: int, least: float) -> pa.Table:
 
 
 def similar_vectors(
-    vectors: DataFrame, k: int = K, least: float = -2.0, dim: int = DIM, probes: int = PROBES, part_rows: int = PART_ROWS, seed: int = 0
+    vectors: DataFrame, k: int = K, least: float = -2.0, dim: int = DIM, probes: int | None = None, part_rows: int = PART_ROWS, seed: int = 0
 ) -> DataFrame:
     """(query, key, cosine, rank): the up to ``k`` most similar other keys of every key of ``vectors`` (key, vec).
 
     Keys must be unique. Equal cosines are ordered by key. ``least`` leaves
     out less similar ones early. No vectors or a single one: no rows. The
     answer is exact if one part is enough, else approximate: a pair is missed
-    if each of the two is indexed outside the other's ``probes`` parts.
+    if each of the two is indexed outside the other's ``probes`` parts. Without
+    ``probes`` there are as many as a measured recall of RECALL needs.
     """
     spark = vectors.sparkSession
     members = stored(_classes(vectors, dim), "vectors")
     reps = members.where("key = cls").select("key", "vec")
     n = reps.count()
-    shared = spark.sparkContext.broadcast(fit_routing(reps, n, dim, part_rows, seed))
+    routing = fit_routing(reps, n, dim, part_rows, seed)
+    if probes is None:
+        probes, _ = choose_probes(routing, reps, dim, k, seed)
+    shared = spark.sparkContext.broadcast(routing)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value

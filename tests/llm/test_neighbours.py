@@ -79,6 +79,28 @@ def test_parts_within_parts(spark, monkeypatch):
     assert len(pairs & true) / len(true) >= 0.97
 
 
+@pytest.mark.parametrize("most_parts", [512, 8])
+def test_recall_does_not_depend_on_the_number_of_parts(spark, monkeypatch, most_parts):
+    monkeypatch.setattr(N, "MOST_PARTS", most_parts)
+    x = np.random.default_rng(7).standard_normal((3000, 64)).astype(np.float32)  # no clusters
+    v = N.usable_vectors(spark.createDataFrame(rows_of(x), SCHEMA))
+    _, top = exact(x, 5)
+    got = {(r["query"], r["key"]) for r in N.similar_vectors(v, 5, part_rows=24).collect()}
+    want = {(f"{i:08x}", f"{j:08x}") for i in range(len(x)) for j in top[i]}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_true_neighbours(spark):
+    x = clustered(700, 8)
+    v = N.usable_vectors(spark.createDataFrame(rows_of(x), SCHEMA)).repartition(3)
+    queries, row, near = N.true_neighbours(v, 64, 5)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    me = (queries @ u.T).argmax(1)
+    got = sorted(zip(me[row], (near @ u.T).argmax(1)))
+    _, top = exact(x, 5)
+    assert got == sorted((i, j) for i in range(700) for j in top[i])
+
+
 def test_copies_and_small_tables(spark):
     x = np.concatenate([np.ones((40, 64), np.float32), np.eye(64, dtype=np.float32)[:3]])
     v = N.usable_vectors(spark.createDataFrame(rows_of(x) + rows_of(x)[:5], SCHEMA))

@@ -55,7 +55,11 @@ def word_figures(head: str, tail: str, length: int, letters: int, digits: int, s
 
 
 def prose_mask(s: np.ndarray) -> np.ndarray:
-    """Which sentences (rows of FIGURES) are prose."""
+    """Which sentences (rows of FIGURES) are prose.
+
+    A list without closing marks is one long run of words with few function
+    words, on however many lines it stands; single line breaks don't count.
+    """
     f = {name: s[:, i].astype(float) for name, i in _I.items()}
     words = np.maximum(f["words"], 1)
     return (
@@ -66,7 +70,7 @@ def prose_mask(s: np.ndarray) -> np.ndarray:
         & (f["words"] <= 80)
         & (f["odd"] <= 0.2 * words)
         & ((f["bullets"] < 2) | (f["words"] >= 9 * f["bullets"]))
-        & ((f["lines"] < 3) | (f["common"] >= 0.16 * words))
+        & ((f["words"] <= 20) | (f["common"] >= 0.12 * words))
     )
 
 

@@ -57,3 +57,13 @@ def test_very_long_text_in_many_chunks(spark):
     large = Q.text_totals(df, "k", "t", ["a"], chunk=1 << 20).first()
     assert small == large
     assert Q.text_totals(df.limit(0), "k", "t", ["a"]).count() == 0
+
+
+def test_line_breaks_do_not_change_sides():
+    common = frozenset("и в на с до за не должен".split())
+    prose = "Каждый дежурный инженер должен подписать внутренний журнал инцидентов после собрания местной группы. "
+    listed = "журнал доступа, Доре\nлимит хранилища, Зуко\nдоговор с поставщиком, Бадо\nкалендарь релизов, Вара\n" * 6
+    for text, is_prose in ((prose * 5, True), (listed, False)):
+        for gap in (" ", "\n"):
+            figures = Q.totals_of([gap.join(text.split())], Q.Vocabulary(common))[0]
+            assert (figures[-1] >= 0.5 * figures[0]) == is_prose, (text, gap)

@@ -5,12 +5,15 @@ capacity, goes to the driver. There a configuration linear program chooses
 how often each pattern (a multiset of lengths that fits) is used: fractional
 covering by multiplicative weights, where patterns are priced by a knapsack
 dynamic program; the fractions are rounded down and what is left is packed
-pattern by pattern, the largest fitting length first. Spark then ranks the
+pattern by pattern, the largest fitting length first. How full a rounded
+pattern must be to be kept is chosen by the total of containers. Spark then ranks the
 items of each length and looks up their container in the list of patterns.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +25,10 @@ CAPACITY = 2048
 #: the share of a length that a round covers at most, and the patterns that it adds at most.
 ROUNDS, EPSILON, STEP, WIDTH = 400, 0.1, 0.1, 64
 SALTS = 64
-#: A rounded pattern that is less full than this is left to the last step.
-FULL = 0.99
+#: Rounded patterns that are less full than this are left to the last step: each is tried, 0 keeps all of them.
+FULL = (0.99, 0.97, 0.95, 0.9, 0.8, 0.0)
+
+log = logging.getLogger(__name__)
 
 Pattern = tuple[int, dict[int, int]]
 
@@ -61,15 +66,26 @@ def fractional_cover(counts: dict[int, int], capacity: int, rounds: int = ROUNDS
     covered. Each round prices all patterns at once; of the lengths whose
     best pattern is worth nearly the optimum, each adds that pattern.
     """
+    return covered_and_bound(counts, capacity, rounds, epsilon)[0]
+
+
+def covered_and_bound(counts: dict[int, int], capacity: int, rounds: int = ROUNDS, epsilon: float = EPSILON) -> tuple[dict[tuple, float], int]:
+    """``fractional_cover``, and a number of containers that no packing goes below.
+
+    Prices at which no pattern is worth more than 1 bound the program from
+    below by the worth of all items; each round's prices, scaled, are such.
+    """
     lengths = np.array(sorted(counts), np.int64)
     n = np.array([counts[int(x)] for x in lengths], float)
     where = {int(x): i for i, x in enumerate(lengths)}
     covered = np.zeros(len(lengths))
     used: dict[tuple, float] = {}
+    bound = float((lengths * n).sum()) / capacity
     eta = np.log(len(lengths) + 1) / epsilon
     for _ in range(rounds):
         y = np.exp(-eta * (covered - covered.min())) / n
         best, took = price_patterns(y, lengths, capacity)
+        bound = max(bound, float((y * n).sum() / best[capacity]))
         forced = y + best[capacity - lengths]
         chosen: dict[tuple, float] = {}
         near = np.flatnonzero(forced >= (1 - epsilon) * best[capacity])
@@ -90,7 +106,7 @@ def fractional_cover(counts: dict[int, int], capacity: int, rounds: int = ROUNDS
     # as much volume as there is: where a length is covered more than once, rounding trims it
     volume = sum(x * sum(length * k for length, k in key) for key, x in used.items())
     scale = float((lengths * n).sum()) / volume
-    return {key: x * scale for key, x in used.items()}
+    return {key: x * scale for key, x in used.items()}, int(np.ceil(bound * (1 - 1e-9)))
 
 
 def largest_fit(left: dict[int, int], capacity: int) -> list[Pattern]:
@@ -131,13 +147,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
         return []
     if min(left) < 1 or max(left) > capacity:
         raise ValueError("lengths must lie between 1 and the capacity")
+    cover, bound = covered_and_bound(left, capacity)
+    tried = [_rounded(left, cover, capacity, full) for full in FULL]
+    best = min(tried, key=lambda out: sum(times for times, _ in out))
+    log.info("%d containers, at least %d are needed", sum(times for times, _ in best), bound)
+    return best
+
+
+def _rounded(counts: dict[int, int], cover: dict[tuple, float], capacity: int, full: float) -> list[Pattern]:
+    """The patterns of ``cover``, rounded down, that are full enough; the rest by ``largest_fit``."""
+    left = dict(counts)
     out: list[Pattern] = []
-    for key, x in sorted(fractional_cover(left, capacity).items(), key=lambda kv: (-kv[1], kv[0])):
+    for key, x in sorted(cover.items(), key=lambda kv: (-kv[1], kv[0])):
         times = int(x)
         # a length that has run out leaves its pattern; the others stay
         p = {length: min(k, left[length] // times) for length, k in key} if times else {}
         p = {length: k for length, k in p.items() if k}
-        if sum(length * k for length, k in p.items()) >= FULL * capacity:
+        if p and sum(length * k for length, k in p.items()) >= full * capacity:
             for length, k in p.items():
                 left[length] -= k * times
             out.append((times, p))

@@ -65,6 +65,13 @@ def test_plan_uses_the_program():
     assert check_plan({100: 7}, 100) == 7 and P.plan({}, 100) == []
 
 
+def test_patterns_that_are_not_quite_full_are_kept():
+    # largest fit takes 1114 + 702 first and needs 10,000; the program's patterns are 98 % full
+    counts = {1114: 6000, 702: 6000, 602: 6000, 302: 12_000}
+    assert check_plan(counts, 2048) <= 9300
+    assert P.covered_and_bound(counts, 2048)[1] <= 9000
+
+
 def test_containers(spark):
     rng = random.Random(4)
     sizes = [(i, rng.choice([0, 1, 5, 30, 60, 99, 100, 250, 1000, 7, 7, 7])) for i in range(1500)] + [(9001, None), (5, 30)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -89,26 +91,30 @@ def redundancy_filter(rows: DataFrame, config: Config = DEFAULTS) -> DataFrame:
 
     In order of score a row is dropped if its text's hash was kept, or if a
     kept row of the same path has a cosine of at least the threshold. What is
-    dropped changes later decisions, so a query's short list (at most the
-    expansion cap) is walked in order.
+    dropped changes later decisions, so a query's rows are streamed through a
+    task in order; its state is the kept rows of one query.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "chunk"], ascending=[False, True])
-        hashes: set = set()
-        kept: list[tuple] = []
-        out = []
-        for row in pdf.itertuples():
-            v = np.asarray(row.v if row.v is not None else [], float)
-            n = np.sqrt((v * v).sum()) if len(v) else 0.0
-            u = v / n if n > 0 else None
-            twin = row.hash in hashes or any(
-                p == row.path and u is not None and w is not None and len(w) == len(u) and float(w @ u) >= config.redundancy_threshold for p, w in kept
-            )
-            if not twin:
-                hashes.add(row.hash)
-                kept.append((row.path, u))
-                out.append((row.query, row.chunk))
-        return pd.DataFrame(out, columns=["query", "chunk"])
-
-    return rows.groupBy("query").applyInPandas(walk, "query string, chunk string")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        query, hashes, kept = object(), set(), {}
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                if row.query != query:
+                    query, hashes, kept = row.query, set(), {}
+                v = np.asarray(row.v if row.v is not None else [], float)
+                n = np.sqrt((v * v).sum()) if len(v) else 0.0
+                u = v / n if n > 0 else None
+                same = kept.setdefault(row.path, [])
+                twin = row.hash in hashes or (
+                    u is not None and any(len(w) == len(u) and float(w @ u) >= config.redundancy_threshold for w in same)
+                )
+                if not twin:
+                    hashes.add(row.hash)
+                    if u is not None:
+                        same.append(u)
+                    out.append((row.query, row.chunk))
+            yield pd.DataFrame(out, columns=["query", "chunk"])
+
+    ordered = rows.repartition("query").sortWithinPartitions("query", F.col("score").desc_nulls_last(), F.col("chunk").asc_nulls_last())
+    return ordered.mapInPandas(walk, "query string, chunk string")

@@ -135,6 +135,18 @@ def test_redundancy_filter(spark):
     assert {r["chunk"] for r in context.redundancy_filter(df).collect()} == {"a", "d", "e"}
 
 
+def test_redundancy_filter_streams_a_query(spark):
+    rows = [(q, f"c{i:02}", 1 - i / 99, f"h{i % 7}", "p", None) for q in ("q", "r") for i in range(40)]
+    df = spark.createDataFrame(rows, "query string, chunk string, score double, hash string, path string, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = context.redundancy_filter(df)
+        assert sorted(map(tuple, out.collect())) == [(q, f"c{i:02}") for q in ("q", "r") for i in range(7)]
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def brute_rate(events):
     kept, out = {}, {}
     for e, u, at in sorted(events, key=lambda x: (x[2], x[0])):

@@ -31,14 +31,15 @@ def broken(turns):
 
 
 def made(rng, n):
-    turns = []
+    turns, same = [], rng.random() < 0.3
     if rng.random() < 0.3:
         turns.append(("sys", "be brief"))
     for k in range(n):
-        turns.append((rng.choice(["user", " Human"]), f"q{k}"))
+        again = k % 2 if same else k  # a conversation that repeats itself makes matches of hashes ambiguous
+        turns.append((rng.choice(["user", " Human"]), f"q{again}"))
         if rng.random() < 0.1:
             turns.append(("sys", "note"))
-        turns.append((rng.choice(["bot", "ASSISTANT"]), f"a{k} "))
+        turns.append((rng.choice(["bot", "ASSISTANT"]), f"a{again} "))
     rows = [(i + 1, r, t) for i, (r, t) in enumerate(turns)]
     for _ in range(rng.choice([0, 0, 1])):
         k = rng.randrange(len(rows))
@@ -63,8 +64,8 @@ def made(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("span", [2, 3, 256])
-def test_against_plain_version(spark, span):
+@pytest.mark.parametrize(("span", "overlap"), [(2, 2), (3, 1), (4, 2), (256, 2)])
+def test_against_plain_version(spark, span, overlap):
     rng = random.Random(5)
     convs = {f"{k:04x}": made(rng, rng.randrange(1, 9)) for k in range(150)}
     rows = [(f"t{n}", c.upper() if n % 2 else "{" + c + "}", i, r, t, "clash", 1) for n, (c, ts) in enumerate(convs.items()) for i, r, t in ts]
@@ -74,8 +75,8 @@ def test_against_plain_version(spark, span):
     aliases = spark.createDataFrame(ALIASES, "label string, role_name string")
     want = {c for c, ts in convs.items() if broken(ts)} | {"eeee"}
     assert 20 < len(want) < 130
-    assert sorted(r[0] for r in C.broken_conversations(known, turns, aliases, span).collect()) == sorted(want)
-    whole = C.sound_conversations(known, turns, aliases, span).collect()
+    assert sorted(r[0] for r in C.broken_conversations(known, turns, aliases, span, overlap).collect()) == sorted(want)
+    whole = C.sound_conversations(known, turns, aliases, span, overlap).collect()
     assert {r["conversation_id"] for r in whole} == set(convs) - want
     for c in list(set(convs) - want)[:10]:
         mine = sorted((r["turn_index"], r["role"], r["exchange"]) for r in whole if r["conversation_id"] == c)
@@ -85,15 +86,34 @@ def test_against_plain_version(spark, span):
             assert (index, exchange) == (i + 1, asked)
 
 
-def test_one_long_conversation_and_empty_tables(spark):
-    n = 1500
-    rows = [("t", "aa", i + 1, "bot" if i % 2 else "user", f"x{i}", "c", 0) for i in range(n)]
+def test_long_conversations_and_empty_tables(spark):
+    n = 600
+    gone = {"aa": 0, "bb": 1, "cc": 64, "dd": 65, "ee": 66, "ff": n}  # the index that is missing; "ff" then ends with the user
+    rows = [("t", c, i + 1, "bot" if i % 2 else "user", f"x{i}", "c", 0) for c, k in gone.items() for i in range(n) if i + 1 != k]
     turns, aliases = spark.createDataFrame(rows, TURNS), spark.createDataFrame(ALIASES, "label string, role_name string")
-    known = spark.createDataFrame([("AA",)], "conversation_id string")
-    assert C.broken_conversations(known, turns, aliases, 64).count() == 0
+    known = spark.createDataFrame([(c.upper(),) for c in gone], "conversation_id string")
+    assert sorted(r[0] for r in C.broken_conversations(known, turns, aliases, 4).collect()) == sorted(set(gone) - {"aa"})
     assert C.sound_conversations(known, turns, aliases, 64).count() == n
-    for gap in (64, 65, 66, 1500):
-        assert C.broken_conversations(known, turns.where(f"turn_index <> {gap}"), aliases, 64).count() == 1
-    assert C.broken_conversations(known.limit(0), turns, aliases).count() == 0
-    assert C.broken_conversations(known, turns.limit(0), aliases).count() == 1
+    assert C.broken_conversations(known.limit(0), turns, aliases, 64).count() == 0
+    assert C.broken_conversations(known, turns.limit(0), aliases).count() == len(gone)
     assert C.sound_conversations(known, turns.limit(0), aliases).count() == 0
+
+
+def test_the_graph_decides(spark, monkeypatch):
+    """Without its edges no conversation of several fragments is whole; gaps and ambiguity show in the paths."""
+    rows = [("t", c, i + 1, "bot" if i % 2 else "user", t, "c", 0) for c, ts in {"aa": "abcdefgh", "bb": "abababab", "cc": "xy"}.items() for i, t in enumerate(ts)]
+    turns, aliases = spark.createDataFrame(rows, TURNS), spark.createDataFrame(ALIASES, "label string, role_name string")
+    known = spark.createDataFrame([("aa",), ("bb",), ("cc",)], "conversation_id string")
+    s = C.slots(C.messages(turns, aliases))
+    frags = C.fragments(s)
+    assert sorted((r["conv"], r["before"], r["frag"]) for r in C.overlaps(frags).collect()) == [(c, i, i + 1) for c in ("aa", "bb") for i in (0, 1)]
+    # of "bb", whose hashes all agree, the indexes tell the ends apart
+    assert frags.where("conv = 'bb'").select("prefix").distinct().count() == 2
+    gap = C.fragments(s.where("idx <> 4"))
+    assert C.overlaps(gap).where("conv = 'aa'").count() == 0 or C.along_paths(gap, C.overlaps(gap), ("n_own",)).where("conv = 'aa'").select("start").distinct().count() > 1
+    placed = C.along_paths(frags, C.overlaps(frags), ("n_own",)).where("conv = 'aa'")
+    assert sorted((r["frag"], r["start"], r["before_n_own"]) for r in placed.collect()) == [(0, 0, 0), (1, 0, 4), (2, 0, 6)]
+    assert C.broken_conversations(known, turns, aliases).count() == 0
+    edges = C.overlaps
+    monkeypatch.setattr(C, "overlaps", lambda frags: edges(frags).limit(0))
+    assert sorted(r[0] for r in C.broken_conversations(known, turns, aliases).collect()) == ["aa", "bb"]

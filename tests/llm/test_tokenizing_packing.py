@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,11 +69,35 @@ def test_plan_uses_the_program():
 def test_patterns_that_are_not_quite_full_are_kept():
     # largest fit takes 1114 + 702 first and needs 10,000; the program's patterns are 98 % full
     counts = {1114: 6000, 702: 6000, 602: 6000, 302: 12_000}
-    assert check_plan(counts, 2048) <= 9300
-    assert P.covered_and_bound(counts, 2048)[1] <= 9000
-
-
-def test_containers(spark):
+    assert check_plan(counts, 2048) <= 9050
+    assert 8900 <= P.plan(counts, 2048).bound <= 9000
+
+
+def test_the_program_packs_a_corpus():
+    """Lengths as scattered as those of documents, few items of each."""
+    rng = random.Random(3)
+    counts = Counter(min(2048, max(1, int(rng.lognormvariate(6, 1.1)))) for _ in range(11_000))
+    p = P.plan(counts)
+    greedy = sum(times for times, _ in P.largest_fit(dict(counts), 2048))
+    print(f"{p.containers} containers, bound {p.bound}, greedy {greedy}, by the program {p.program_share:.3f}")
+    assert p.program_share >= 0.9 and p.bound <= p.containers <= greedy
+
+
+def test_slots_lead_every_rank_to_its_container():
+    p = P.Plan([(3, {5: 2, 1: 1}), (2, {1: 4}), (1, {5: 1})])
+    widths, placed = P.slots(p)
+    found = Counter()
+    for length, n in ((5, 7), (1, 11)):
+        for rank in range(n):
+            hits = [(start + (rank - lo) // per) for x, block, lo, hi, per, start in placed if x == length and block == rank // dict(widths)[x] and lo <= rank < hi]
+            assert len(hits) == 1
+            found[hits[0], length] += 1
+    assert found == {(0, 5): 2, (1, 5): 2, (2, 5): 2, (5, 5): 1, (0, 1): 1, (1, 1): 1, (2, 1): 1, (3, 1): 4, (4, 1): 4}
+
+
+@pytest.mark.parametrize("ranked", [7, 100_000])
+def test_containers(spark, monkeypatch, ranked):
+    monkeypatch.setattr(P, "RANKED", ranked)
     rng = random.Random(4)
     sizes = [(i, rng.choice([0, 1, 5, 30, 60, 99, 100, 250, 1000, 7, 7, 7])) for i in range(1500)] + [(9001, None), (5, 30)]
     df = spark.createDataFrame([(k, n, "x", 1) for k, n in sizes], "key bigint, n_tokens bigint, container string, piece int")

@@ -1,7 +1,8 @@
 """References to records that do not exist (any more, or not yet).
 
-A broadcast Bloom filter of the parents' keys proves most dangling keys to be
-orphans without a shuffle. The references that pass the filter are verified
+A broadcast Bloom filter of the parents' keys, whose size follows their number
+up to a stated memory, proves most keys that never existed to be orphans
+without a shuffle. The references that pass the filter are verified
 by an exact anti-join against the lives of the parents. Hot keys are found
 with a mergeable heavy-hitter sketch and salted, so that no task gets all
 references of one key.
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.keys import hex_key
 from loomspark.operators.bloom import blocks_for, bloom_table, with_maybe
+from loomspark.session import stored
 
 #: The sketch tracks so many keys; a key with more than a TRACKED-th of the references is surely among them.
 TRACKED = 10_000
@@ -51,20 +53,22 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     ``died`` null or ``> at``. Adds ``proof``: 'filter' if the key was never
     seen, else 'join'. Rows come out as often as they go in. A reference
     without a time never holds. Empty parents: every reference is an orphan;
-    empty references: none.
+    empty references: none. Both sides are read once: the lives are written
+    without copies, the references with what the filter says of them.
     """
-    parents = parents.distinct()
-    blocks = blocks_for(parents.count())
-    tagged = with_maybe(refs, "ref_key", bloom_table(parents, "ref_key", blocks), blocks)
+    parents = stored(parents.distinct(), "lives")
+    keys = parents.agg(F.approx_count_distinct("ref_key")).first()[0]
+    blocks = blocks_for(keys)
+    tagged = stored(with_maybe(refs, "ref_key", bloom_table(parents, "ref_key", blocks), blocks), "tagged")
     sure = tagged.where(~F.col("_maybe")).select(*refs.columns, F.lit("filter").alias("proof"))
-    hot = hot_keys(refs, "ref_key")
+    maybe = tagged.where("_maybe").drop("_maybe")
+    hot = hot_keys(maybe, "ref_key")
     is_hot = F.col("ref_key").isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.pmod(F.xxhash64("row_key", "at"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    maybe = tagged.where("_maybe").drop("_maybe").withColumn("_salt", salt)
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = parents.withColumn("_salt", F.explode(salts)).withColumnRenamed("ref_key", "_key")
-    rest = maybe.join(
-        spread.withColumnRenamed("_salt", "_s"),
+    spread = parents.select(F.col("ref_key").alias("_key"), "born", "died", F.explode(salts).alias("_s"))
+    rest = maybe.withColumn("_salt", salt).join(
+        spread,
         (F.col("ref_key") == F.col("_key"))
         & (F.col("_salt") == F.col("_s"))
         & (F.col("born") <= F.col("at"))

@@ -59,34 +59,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a DataFrame through a reliable checkpoint.
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``;
-    only where nothing is set (tests, a laptop) a temporary one is used.
+    Only a local session (tests, a laptop) without that setting gets a
+    temporary folder; elsewhere executors would each write to their own disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a DataFrame through a reliable checkpoint in the shared folder."""
+    scratch(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a DataFrame once as Parquet in the shared scratch folder and read it back.
+    """Write a DataFrame once as Parquet in the shared folder and read it back.
 
     Like ``checkpointed``, but columnar and compressed: later steps read only
     the columns they use, and a lost executor loses nothing.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspark-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:

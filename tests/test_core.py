@@ -48,7 +48,21 @@ def test_bloom_has_no_false_negatives(spark):
     assert bloom.with_maybe(keys, "k", b, n).where("NOT _maybe").count() == 0
     others = spark.range(20000).select(F.concat(F.lit("x"), "id").alias("k"))
     assert bloom.with_maybe(others, "k", b, n).where("_maybe").count() < 1200
-    assert bloom.blocks_for(10**12) == bloom.MAX_BLOCKS
+    assert 8 * bloom.blocks_for(10**12) == bloom.FILTER_BYTES
+    assert bloom.bloom_table(keys.limit(0), "k", 16).count() == 1
+
+
+def test_bloom_selectivity(spark):
+    """What is let through, measured against the formula, at loads of 4, 12 and 40 keys a word; the README's figures are the formula's."""
+    n = 1 << 11
+    others = spark.range(20_000).select(F.concat(F.lit("x"), "id").alias("k"))
+    for load in (4, 12, 40):
+        keys = spark.range(load * n).select(F.concat(F.lit("k"), "id").alias("k"))
+        share = bloom.with_maybe(others, "k", bloom.bloom_table(keys, "k", n), n).where("_maybe").count() / 20_000
+        assert abs(share - bloom.let_through(load * n, n)) < 0.02
+    shares = [bloom.let_through(k, bloom.blocks_for(k)) for k in (10**6, 10**8, 10**9)]
+    print("let through at 1e6, 1e8, 1e9 keys:", shares)
+    assert shares[0] < 0.02 and shares[1] < 0.05 and shares[2] < 1
 
 
 REFS = "ref_table string, row_key string, ref_key string, at timestamp"

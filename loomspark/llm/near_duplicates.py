@@ -12,8 +12,11 @@ that it allows reaches the smallest overlap that the threshold demands. What
 is left at the leaves is verified on the whole texts.
 
 Work is spread by shingle; a shingle of very many records is cut into cells,
-pairs of blocks, so that no task gets all its records. No pair is lost: the
-filters are upper bounds, and nothing is capped or sampled.
+pairs of blocks, so that no task gets all its records. Which shingles these
+are is counted exactly. No pair is lost: the filters are upper bounds, and
+nothing is capped or sampled. For candidates a shingle is cut to 32 bits, but
+a set keeps its size: shingles that fall together stay apart as elements, so
+that a bound counts what a bitmap or a cut hides.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.keys import hex_key
 from loomspark.operators.bloom import blocks_for, bloom_table, with_maybe
-from loomspark.session import checkpointed, stored
+from loomspark.session import checkpointed, small, stored
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: Buckets of the shingle counts that order shingles by rarity; any order is correct.
-BUCKETS = 1 << 16
+#: Buckets of the counts that order shingles by rarity and tell which of them may be frequent; any order is correct.
+BUCKETS = 1 << 18
+#: Frequent shingles whose exact counts take part in that order, and rows of their list that are broadcast; a longer list is joined by shuffling.
+LISTED = 1_000_000
 #: Records of a shingle above which it is cut into cells, and postings that a task should get.
 CELL, TASK = 60_000, 400_000
 #: Bits of a bitmap; records of more than LARGE shingles have a second one of BIG_BITS, those of more than HUGE one of HUGE_BITS,
@@ -95,8 +100,9 @@ class Shingler:
 def shingled(records: DataFrame, kinds: tuple[Kind, ...], full: bool) -> DataFrame:
     """(kind, key, cls, toks) of the records (kind, key, text) that are long enough.
 
-    ``cls`` hashes the whole set. ``toks`` are the shingles, with 64 bits if
-    ``full``, else cut to 32 bits, which is enough to find candidates.
+    ``cls`` hashes the whole set with 128 bits. ``toks`` are the shingles,
+    with 64 bits if ``full``, else cut to 32 bits, which is enough to find
+    candidates; shingles that fall together then are listed as often.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,19 +113,19 @@ def shingled(records: DataFrame, kinds: tuple[Kind, ...], full: bool) -> DataFra
                 s = shingler.of(text, kinds[kind])
                 if s is not None:
                     kept.append(i)
-                    cls.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-                    sets.append(s.view(np.int64) if full else np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                    cls.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sets.append(s.view(np.int64) if full else (s >> np.uint64(32)).astype(np.uint32).view(np.int32))
             if not kept:
                 continue
             at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             toks = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets)))
             rows = pa.array(kept)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), b.column(1).take(rows), pa.array(np.array(cls, np.uint64).view(np.int64)), toks],
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(cls, pa.binary()), toks],
                 names=["kind", "key", "cls", "toks"],
             )
 
-    return records.mapInArrow(run, f"kind int, key string, cls bigint, toks array<{'bigint' if full else 'int'}>")
+    return records.mapInArrow(run, f"kind int, key string, cls binary, toks array<{'bigint' if full else 'int'}>")
 
 
 def records_of(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -131,10 +137,6 @@ def records_of(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(kind, tok):
-    return (np.int64(kind) * BUCKETS) + (tok & np.int64(BUCKETS - 1))
-
-
 def shingle_counts(sets: DataFrame, n_kinds: int) -> np.ndarray:
     """How many records have a shingle of each bucket; the table has n_kinds * BUCKETS entries, whatever the data."""
     bucket = F.col("kind") * BUCKETS + F.col("tok").bitwiseAND(F.lit(BUCKETS - 1))
@@ -144,6 +146,23 @@ def shingle_counts(sets: DataFrame, n_kinds: int) -> np.ndarray:
     return out
 
 
+def frequent_shingles(sets: DataFrame, counts: np.ndarray, cell: int = CELL) -> DataFrame | None:
+    """(kind, tok, n): the shingles that more than ``cell`` records have, counted exactly; None if there can't be any.
+
+    Only shingles of a bucket that holds as many are counted one by one.
+    """
+    heavy = np.flatnonzero(counts > cell)
+    if not len(heavy):
+        return None
+    bucket = F.col("kind") * BUCKETS + F.col("tok").bitwiseAND(F.lit(BUCKETS - 1))
+    every = sets.select("kind", F.explode("toks").alias("tok"))
+    if len(heavy) < len(counts) // 2:
+        buckets = sets.sparkSession.createDataFrame(pa.table({"b": pa.array(heavy)}))  # fewer than the buckets
+        every = every.join(F.broadcast(buckets), bucket == F.col("b"))
+    found = stored(every.groupBy("kind", "tok").agg(F.count("*").alias("n")).where(F.col("n") > cell), "frequent")
+    return None if found.isEmpty() else found
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -158,21 +177,38 @@ def _bitmaps(row: np.ndarray, tok: np.ndarray, n: int, bits: int, used: np.ndarr
     return np.packbits(flags, axis=1).view(np.uint64)
 
 
-#: ``about`` packs kind, side (2: compare all with all; 0 and 1: only across), size and position: kind * 4 + side, size, pos in 24 bits each.
-_POSTING = "tok bigint, cls bigint, about bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, big binary"
+#: A class is (c0, c1), its 128 bits; ``about`` holds size and position, 32 bits each.
+_POSTING = "kind int, tok bigint, c0 bigint, c1 bigint, about bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, big binary"
+
+
+def _halves(cls: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(cls.to_pylist()), "<i8").reshape(-1, 2)
 
 
-def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, cell: int = CELL) -> DataFrame:
-    """The rarest shingles of each class with its signature: as many as the threshold needs, at least one of which a similar class shares."""
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, frequent: DataFrame | None = None) -> DataFrame:
+    """The rarest shingles of each class with its signature: as many as the threshold needs, at least one of which a similar class shares.
+
+    Rare are those whose bucket is; frequent shingles, in the order of their exact counts, come last.
+    """
+    n_kinds = len(kinds)
+    if frequent is None:
+        known = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    else:
+        top = frequent.orderBy(F.col("n").desc(), "kind", "tok").limit(LISTED).toArrow()
+        ids = (top.column("kind").to_numpy().astype(np.int64) << 40) | (top.column("tok").to_numpy().astype(np.int64) & 0xFFFFFFFF)
+        order = np.argsort(ids)
+        known = (ids[order], top.column("n").to_numpy()[order])
+    shared = sets.sparkSession.sparkContext.broadcast((counts, *known))
+    num, den = (np.array([getattr(k.threshold, x) for k in kinds], np.int64) for x in ("numerator", "denominator"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        seen: set[tuple[int, int]] = set()
+        counts, ids, exact = shared.value
+        buckets = len(counts) // n_kinds
+        seen: set[tuple[int, bytes]] = set()
         for b in batches:
-            kind, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
+            kind = b.column(0).to_numpy()
             fresh = []
-            for i, k in enumerate(zip(kind.tolist(), cls.tolist(), strict=True)):
+            for i, k in enumerate(zip(kind.tolist(), b.column(1).to_pylist(), strict=True)):
                 if k not in seen:
                     seen.add(k)
                     fresh.append(i)
@@ -180,9 +216,10 @@ def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, cell:
                 seen.clear()
             if not fresh:
                 continue
-            lists = b.column(2).take(pa.array(fresh))
-            kind, cls = kind[fresh].astype(np.int64), cls[fresh]
-            size = np.diff(lists.offsets.to_numpy())
+            chosen = pa.array(fresh)
+            lists = b.column(2).take(chosen)
+            kind, cls = kind[fresh].astype(np.int64), _halves(b.column(1).take(chosen))
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             tok = lists.flatten().to_numpy().view(np.uint32).astype(np.int64)
             row = np.repeat(np.arange(len(fresh)), size)
             # bitmaps
@@ -194,25 +231,20 @@ def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, cell:
             inside = to_large[row] >= 0
             big = _bitmaps(to_large[row[inside]], tok[inside], len(large), HUGE_BITS)
             # the prefix, the rarest first
-            often = counts[_bucket(kind[row], tok)]
-            order = np.lexsort((tok, often, row))
+            key = (kind[row] << 40) | tok
+            often = counts[kind[row] * buckets + (tok & (buckets - 1))]
+            listed = np.zeros(len(key), bool)
+            if len(ids):
+                at = np.minimum(np.searchsorted(ids, key), len(ids) - 1)
+                listed = ids[at] == key
+                often = np.where(listed, exact[at], often)
+            order = np.lexsort((tok, often, listed, row))
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
             pos = np.arange(len(tok)) - start[row]
-            need = np.array([s - -(-s * kinds[k].threshold.numerator // kinds[k].threshold.denominator) + 1 for s, k in zip(size.tolist(), kind.tolist(), strict=True)])
+            need = size - -(-size * num[kind] // den[kind]) + 1
             keep = pos < need[row]
-            row, pos = row[keep], pos[keep]
-            tok, often = tok[order][keep], often[order][keep]
-            # cells of shingles that are too frequent: the block of a class meets every block once
-            blocks = np.maximum(1, -(-often // cell))
-            mine = (_mix(cls[row]) >> np.uint64(33)).astype(np.int64) % blocks
-            again = np.repeat(np.arange(len(row)), blocks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            row, pos, tok, mine, blocks = row[again], pos[again], tok[again], mine[again], blocks[again]
-            lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-            side = np.where(lo == hi, 2, (mine == hi).astype(np.int64))
-            key = (kind[row] << 40) | tok
-            key = np.where(blocks > 1, _mix(_mix(key) ^ _mix(lo * blocks + hi)).view(np.int64), key)
-            columns = [key, cls[row], ((kind[row] * 4 + side) << 48) | (size[row].astype(np.int64) << 24) | pos]
+            row, pos, key = row[keep], pos[keep], key[order][keep]
+            columns = [kind[row].astype(np.int32), key, cls[row, 0], cls[row, 1], (size[row] << 32) | pos]
             words = [bits[row, w].view(np.int64) for w in range(BITS // 64)]
             half = HUGE_BITS // 128
             blobs = pa.array([r.tobytes() if h else (r[:half] | r[half:]).tobytes() for r, h in zip(big, huge, strict=True)], pa.binary())
@@ -223,6 +255,32 @@ def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, cell:
     return sets.select("kind", "cls", "toks").mapInArrow(run, _POSTING)
 
 
+def in_cells(posts: DataFrame, frequent: DataFrame | None, cell: int = CELL) -> DataFrame:
+    """Adds ``side`` and cuts the postings of frequent shingles into cells, each of which gets a ``tok`` of its own.
+
+    The classes of a shingle fall into blocks of about ``cell``, and the block
+    of a class meets every block once. ``side`` 2: compare all with all; 0
+    and 1: only across. Postings of other shingles are as many as before,
+    however many records there are.
+    """
+    if frequent is None:
+        return posts.withColumn("side", F.lit(2))
+    tok = F.call_function("shiftleft", F.col("kind").cast("bigint"), F.lit(40)).bitwiseOR(F.col("tok").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    cut = small(frequent.select(tok.alias("tok"), F.ceil(F.col("n") / cell).alias("blocks")), LISTED)
+    wide = (
+        posts.join(cut, "tok", "left")
+        .withColumn("mine", F.pmod(F.xxhash64("c0", "c1"), F.coalesce("blocks", F.lit(1))))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("blocks", F.lit(1)) - 1)))
+    )
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    return wide.withColumns(
+        {
+            "side": F.when(lo == hi, 2).otherwise((F.col("mine") == hi).cast("int")),
+            "tok": F.when(F.col("blocks") > 1, F.xxhash64("tok", lo, hi)).otherwise(F.col("tok")),
+        }
+    ).drop("blocks", "mine", "other")
+
+
 class Forest:
     """The trees of many groups at once: rows sorted by (group, size), leaves of LEAF rows, FANOUT nodes below a node."""
 
@@ -296,7 +354,7 @@ def _second(size: np.ndarray, which: np.ndarray, big: pa.Array, order: np.ndarra
 def candidates(posts: list[np.ndarray], big: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of classes of one kind that no bound rules out: (smaller, larger)."""
     tok, cls, size, pos, side, bits = posts
-    order = np.lexsort((cls, size, tok))
+    order = np.lexsort((pos, cls, size, tok))
     tok, cls = tok[order], cls[order]
     # one row for each class and shingle, shingles of one class only left out
     new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])])
@@ -351,27 +409,33 @@ def candidates(posts: list[np.ndarray], big: pa.Array, threshold: float) -> tupl
 
 def candidate_pairs(posts: DataFrame, kinds: tuple[Kind, ...], tasks: int) -> DataFrame:
     """(kind, a, b): distinct pairs of classes that the signature trees leave."""
-    names = [c.split()[0] for c in _POSTING.split(", ")]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a task's share of the postings: about TASK rows, as the number of tasks follows their number
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        col = {c: t.column(c).combine_chunks() for c in names}
-        about = col["about"].to_numpy()
-        flags, size, pos = about >> 48, (about >> 24) & 0xFFFFFF, about & 0xFFFFFF
+        col = {c: t.column(c).combine_chunks() for c in t.column_names}
+        tok, kind, side = (col[c].to_numpy() for c in ("tok", "kind", "side"))
+        size, pos = col["about"].to_numpy() >> 32, col["about"].to_numpy() & 0xFFFFFFFF
         bits = np.stack([col[f"b{w}"].to_numpy().view(np.uint64) for w in range(BITS // 64)], 1)
-        for k, kind in enumerate(kinds):
-            rows = np.flatnonzero(flags >> 2 == k)
+        # classes are numbered in the order of their 128 bits, which is the same in every task
+        cls = np.stack([col["c0"].to_numpy(), col["c1"].to_numpy()], 1)
+        order = np.lexsort((cls[:, 1], cls[:, 0]))
+        new = np.concatenate([[True], (cls[order][1:] != cls[order][:-1]).any(1)])
+        number = np.empty(len(cls), np.int64)
+        number[order] = np.cumsum(new) - 1
+        name = np.ascontiguousarray(cls[order][new], "<i8").view("V16").ravel()
+        for k, of in enumerate(kinds):
+            rows = np.flatnonzero(kind == k)
             if len(rows):
-                arrays = [col["tok"].to_numpy()[rows], col["cls"].to_numpy()[rows], size[rows], pos[rows], flags[rows] & 3, bits[rows]]
-                a, b = candidates(arrays, col["big"].take(pa.array(rows)), float(kind.threshold))
+                arrays = [tok[rows], number[rows], size[rows], pos[rows], side[rows], bits[rows]]
+                a, b = candidates(arrays, col["big"].take(pa.array(rows)), float(of.threshold))
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+                    out = [pa.array([x.tobytes() for x in name[i]], pa.binary()) for i in (a, b)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k, np.int32)), *out], names=["kind", "a", "b"])
 
-    return posts.repartition(tasks, "tok").mapInArrow(run, "kind int, a bigint, b bigint").distinct()
+    return posts.repartition(tasks, "tok").mapInArrow(run, "kind int, a binary, b binary").distinct()
 
 
 @dataclass
@@ -391,8 +455,9 @@ def near_duplicates(records: DataFrame, kinds: tuple[Kind, ...] = (CHUNKS, TITLE
     """
     sets = stored(shingled(records, kinds, full=False), "shingles")
     counts = shingle_counts(sets, len(kinds))
+    frequent = frequent_shingles(sets, counts, cell)
     tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) * 2 // 5 // task))
-    pairs = stored(candidate_pairs(postings(sets, kinds, counts, cell), kinds, tasks), "candidates")
+    pairs = stored(candidate_pairs(in_cells(postings(sets, kinds, counts, frequent), frequent, cell), kinds, tasks), "candidates")
     members = sets.select("kind", "key", "cls").distinct()
     return NearDuplicates(members, verified(records, members, pairs, kinds))
 
@@ -425,7 +490,11 @@ def named(kinds: tuple[Kind, ...]):
 
 
 def key_pairs(found: NearDuplicates, kinds: tuple[Kind, ...] = (CHUNKS, TITLES)) -> DataFrame:
-    """(record_table, key_a, key_b): the links between classes and the copies within them, spelled out for the keys; smaller key first."""
+    """(record_table, key_a, key_b): the links between classes and the copies within them, spelled out for the keys; smaller key first.
+
+    The output itself has all pairs of copies; a class of very many is a
+    skewed key of a join of (kind, cls), which adaptive execution splits.
+    """
     m = found.members
     left = m.select("kind", F.col("cls").alias("a"), F.col("key").alias("ka"))
     right = m.select("kind", F.col("cls").alias("b"), F.col("key").alias("kb"))
@@ -468,7 +537,7 @@ def groups(found: NearDuplicates, kinds: tuple[Kind, ...] = (CHUNKS, TITLES)) ->
         found.members.join(degree, ["kind", "cls"], "left")
         .join(labels, ["kind", "cls"], "left")
         .select(
-            named(kinds).alias("record_table"), F.col("key").alias("record_key"), F.col("cls").alias("class_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("g", "cls").alias("group_id"),
+            named(kinds).alias("record_table"), F.col("key").alias("record_key"), F.lower(F.hex("cls")).alias("class_id"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"), F.lower(F.hex(F.coalesce("g", "cls"))).alias("group_id"),
         )
     )

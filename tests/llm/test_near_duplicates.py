@@ -96,3 +96,60 @@ def test_repeated_words_and_long_texts(spark):
     records = [(0, "a", "x " * 30), (0, "b", "X, " * 50), (0, "c", long), (0, "d", long + " more words here"), (0, "e", long[: len(long) // 3])]
     got = {tuple(r) for r in D.key_pairs(D.near_duplicates(frame(spark, records), SMALL), SMALL).collect()}
     assert got == {("chunks", "a", "b"), ("chunks", "c", "d")}
+
+
+def test_postings_do_not_grow_with_the_corpus(spark, monkeypatch):
+    """However many records share the buckets, only a shingle that is frequent itself is cut into cells."""
+    monkeypatch.setattr(D, "BUCKETS", 16)
+    for n in (60, 240):
+        own = [(0, f"k{i}", " ".join(f"w{i}x{j}" for j in range(30))) for i in range(n)]
+        sets = D.shingled(frame(spark, own), SMALL, full=False)
+        counts = D.shingle_counts(sets, 2)
+        assert counts.max() > 20 and D.frequent_shingles(sets, counts, 20) is None
+        posts = D.in_cells(D.postings(sets, SMALL, counts), None, 20)
+        assert posts.count() == n * (28 - 17 + 1)
+    shared = own + [(0, f"s{i}", "the same standard paragraph of all " + " ".join(f"v{i}x{j}" for j in range(24))) for i in range(50)]
+    sets = D.shingled(frame(spark, shared), SMALL, full=False)
+    counts = D.shingle_counts(sets, 2)
+    frequent = D.frequent_shingles(sets, counts, 20)
+    assert sorted(r["n"] for r in frequent.collect()) == [50] * 4
+    # frequent shingles come last in the order, so none of them is needed
+    assert D.in_cells(D.postings(sets, SMALL, counts, frequent), frequent, 20).where("side <> 2").count() == 0
+
+
+def test_shingles_that_fall_together_lose_no_pair(spark, monkeypatch):
+    """With hashes of which only a few bits differ, sizes and bounds still hold."""
+    whole = D.Shingler.of
+
+    def cut(self, text, kind):
+        s = whole(self, text, kind)
+        return None if s is None else D.np.unique((s & D.np.uint64(0xFFFFFFFF)) | ((s >> D.np.uint64(58)) << D.np.uint64(32)))
+
+    records = corpus(random.Random(9), 60)
+    monkeypatch.setattr(D.Shingler, "of", cut)
+    kinds = {0: SMALL[0], 1: SMALL[1]}
+    mine = [(k, key, set(x.tolist())) for k, key, t in records if (x := cut(D.Shingler(), t, kinds[k])) is not None]
+    want = {
+        (kinds[k].name, *sorted((a, b))) for (k, a, x), (m, b, y) in combinations(mine, 2)
+        if k == m and a != b and Fraction(len(x & y), len(x | y)) >= kinds[k].threshold
+    }
+    pairs, members = candidates_of(spark, records)
+    assert len(want) > 20 and all(tuple(sorted((a, b))) in pairs or members[a] == members[b] for _, a, b in want)
+
+
+def candidates_of(spark, records):
+    """Candidate pairs as keys, computed in this process, where the patched hashes hold."""
+    np = D.np
+    shingler, rows = D.Shingler(), []
+    for k, key, t in records:
+        s = shingler.of(t, SMALL[k])
+        if s is not None:
+            rows.append((k, key, D.xxhash.xxh3_128_digest(s.tobytes()), (s >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()))
+    sets = spark.createDataFrame(rows, "kind int, key string, cls binary, toks array<int>")
+    counts = D.shingle_counts(sets, 2)
+    members = {r[1]: r[2] for r in rows}
+    keys = {}
+    for k, c in members.items():
+        keys.setdefault(bytes(c), []).append(k)
+    got = D.candidate_pairs(D.in_cells(D.postings(sets, SMALL, counts), None), SMALL, 2).collect()
+    return {tuple(sorted((a, b))) for r in got for a in keys[bytes(r["a"])] for b in keys[bytes(r["b"])]}, members

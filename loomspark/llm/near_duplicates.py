@@ -38,7 +38,7 @@ from loomspark.session import checkpointed, small, stored
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 #: Buckets of the counts that order shingles by rarity and tell which of them may be frequent; any order is correct.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: Frequent shingles whose exact counts take part in that order, and rows of their list that are broadcast; a longer list is joined by shuffling.
 LISTED = 1_000_000
 #: Records of a shingle above which it is cut into cells, and postings that a task should get.
@@ -242,8 +242,11 @@ def postings(sets: DataFrame, kinds: tuple[Kind, ...], counts: np.ndarray, frequ
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
             pos = np.arange(len(tok)) - start[row]
             need = size - -(-size * num[kind] // den[kind]) + 1
-            keep = pos < need[row]
-            row, pos, key = row[keep], pos[keep], key[order][keep]
+            key = key[order]
+            # of elements that fall together, next to each other here, the first stands for all
+            again = np.concatenate([[False], (row[1:] == row[:-1]) & (key[1:] == key[:-1])])
+            keep = (pos < need[row]) & ~again
+            row, pos, key = row[keep], pos[keep], key[keep]
             columns = [kind[row].astype(np.int32), key, cls[row, 0], cls[row, 1], (size[row] << 32) | pos]
             words = [bits[row, w].view(np.int64) for w in range(BITS // 64)]
             half = HUGE_BITS // 128
@@ -354,7 +357,7 @@ def _second(size: np.ndarray, which: np.ndarray, big: pa.Array, order: np.ndarra
 def candidates(posts: list[np.ndarray], big: pa.Array, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of classes of one kind that no bound rules out: (smaller, larger)."""
     tok, cls, size, pos, side, bits = posts
-    order = np.lexsort((pos, cls, size, tok))
+    order = np.lexsort((cls, size, tok))
     tok, cls = tok[order], cls[order]
     # one row for each class and shingle, shingles of one class only left out
     new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])])
@@ -421,7 +424,10 @@ def candidate_pairs(posts: DataFrame, kinds: tuple[Kind, ...], tasks: int) -> Da
         bits = np.stack([col[f"b{w}"].to_numpy().view(np.uint64) for w in range(BITS // 64)], 1)
         # classes are numbered in the order of their 128 bits, which is the same in every task
         cls = np.stack([col["c0"].to_numpy(), col["c1"].to_numpy()], 1)
-        order = np.lexsort((cls[:, 1], cls[:, 0]))
+        order = np.argsort(cls[:, 0], kind="stable")
+        half = cls[order]
+        if ((half[1:, 0] == half[:-1, 0]) & (half[1:, 1] != half[:-1, 1])).any():
+            order = np.lexsort((cls[:, 1], cls[:, 0]))
         new = np.concatenate([[True], (cls[order][1:] != cls[order][:-1]).any(1)])
         number = np.empty(len(cls), np.int64)
         number[order] = np.cumsum(new) - 1

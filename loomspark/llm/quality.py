@@ -5,17 +5,20 @@ a chunk are a state that can be merged with its neighbour's: what is complete
 inside the chunk is summed; its first and last word, which may go on in the
 neighbouring chunks, and its first and last sentence stay open. Merging joins
 the word and the sentence that meet at the boundary. States are merged in a
-tree of fan-in FAN, so that no task sees more than FAN states of a document.
+tree of fan-in FAN, so that no task sees more than FAN states of a document;
+a document of one chunk is finished where its state is made. Sums of words
+are runs (``Runs``), many at once: all chunks of a batch, or one merge.
 
 Sentences end at closing punctuation or an empty line. A sentence counts as
-prose by its words: enough function words, mostly letters, no row of bullets, few words that can't be spoken.
+prose by its words: enough function words of the given list, mostly letters,
+no row of bullets. Texts of a language without a list are thus not prose.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,13 +33,29 @@ CHUNK, FAN = 8192, 64
 #: Chunks of a block.
 BLOCK = 128
 #: Columns of a word's figures, which add up over a sentence and over a document.
-FIGURES = ("nonspace", "letters", "digits", "symbols", "words", "word_chars", "common", "bullets", "odd", "lines", "lines_punct")
+FIGURES = ("nonspace", "letters", "digits", "symbols", "words", "word_chars", "common", "bullets", "lines", "lines_punct")
 PUNCTUATION = frozenset(".,;:!?…'\"()«»„“”‚‘’-–—")
 CLOSERS = "\"'”»“’)]*_"
+#: Characters that an open token keeps at its ends; a longer word is no function word, and its last characters tell how it ends.
 HEAD, TAIL = 48, 12
-#: Five consonants in a row, which words of a language seldom have.
-_HARSH = re.compile(r"[^\W\d_aeiouyäöüаеёиоуыэюяії]{5}")
 _I = {name: i for i, name in enumerate(FIGURES)}
+_N = len(FIGURES)
+
+
+@dataclass(frozen=True)
+class ProseRule:
+    """When a sentence is prose (parameters): words, the share of function words in it and in a long one, letters, and words for each bullet."""
+
+    least_words: int = 3
+    most_words: int = 80
+    common_share: float = 0.075
+    long_words: int = 20
+    long_common_share: float = 0.12
+    letter_share: float = 0.68
+    words_per_bullet: int = 9
+
+
+RULE = ProseRule()
 
 
 def word_figures(head: str, tail: str, length: int, letters: int, digits: int, symbols: int, common: frozenset) -> tuple:
@@ -48,29 +67,26 @@ def word_figures(head: str, tail: str, length: int, letters: int, digits: int, s
     number = length <= 4 and letters == 0 and digits > 0
     bullet = (letters == 0 and digits == 0 and length <= 3) or (number and bare[-1:] in ".)")
     return (
-        (length, letters, digits, symbols, int(is_word), letters if is_word else 0, int(core in common), int(bullet), int(bool(core) and _HARSH.search(core) is not None), 0, 0),
+        (length, letters, digits, symbols, int(is_word), letters if is_word else 0, int(core in common), int(bullet), 0, 0),
         closes and not bullet and (letters > 0 or digits > 0),
         tail[-1:] in PUNCTUATION,
     )
 
 
-def prose_mask(s: np.ndarray) -> np.ndarray:
+def prose_mask(s: np.ndarray, rule: ProseRule = RULE) -> np.ndarray:
     """Which sentences (rows of FIGURES) are prose.
 
     A list without closing marks is one long run of words with few function
     words, on however many lines it stands; single line breaks don't count.
     """
-    f = {name: s[:, i].astype(float) for name, i in _I.items()}
-    words = np.maximum(f["words"], 1)
+    words, common, bullets = (s[:, _I[name]] for name in ("words", "common", "bullets"))
     return (
-        (f["words"] >= 3)
-        & (f["common"] >= 1)
-        & (f["common"] >= 0.075 * words)
-        & (f["letters"] >= 0.68 * np.maximum(f["nonspace"], 1))
-        & (f["words"] <= 80)
-        & (f["odd"] <= 0.2 * words)
-        & ((f["bullets"] < 2) | (f["words"] >= 9 * f["bullets"]))
-        & ((f["words"] <= 20) | (f["common"] >= 0.12 * words))
+        (words >= rule.least_words)
+        & (words <= rule.most_words)
+        & (common >= 1)
+        & (common >= np.where(words > rule.long_words, rule.long_common_share, rule.common_share) * words)
+        & (s[:, _I["letters"]] >= rule.letter_share * s[:, _I["nonspace"]])
+        & ((bullets < 2) | (words >= rule.words_per_bullet * bullets))
     )
 
 
@@ -89,6 +105,11 @@ class Token:
         punct = sum(c in PUNCTUATION for c in t)
         return cls(t[:HEAD], t[-TAIL:], len(t), letters, alnum - letters, len(t) - alnum - punct)
 
+    def figures(self, common: frozenset) -> np.ndarray:
+        """The figures of the complete token, whether it ends a sentence and whether it ends with punctuation."""
+        figures, closes, punct = word_figures(self.head, self.tail, self.length, self.letters, self.digits, self.symbols, common)
+        return np.array((*figures, closes, punct), np.int64)
+
     def joined(self, o: Token) -> Token:
         return Token(
             (self.head + o.head)[:HEAD] if self.length < HEAD else self.head,
@@ -100,37 +121,103 @@ class Token:
         return [self.head, self.tail, self.length, self.letters, self.digits, self.symbols]
 
 
-class Run:
-    """Complete tokens in a row: the sentence open at the left, the sums of closed ones, the one open at the right."""
+class Runs:
+    """Complete tokens in a row, of n stretches at once: the sentence open at the left, the sums of closed ones and of their prose, the one open at the right.
+
+    A stretch that isn't broken has no sentence's end inside; all of it is ``left``.
+    """
 
     __slots__ = ("broken", "closed", "left", "prose", "right")
 
-    def __init__(self, left=None, closed=None, prose=0, right=None, broken=False):
-        zero = [0] * len(FIGURES)
-        self.left, self.closed, self.right = left or list(zero), closed or list(zero), right or list(zero)
-        self.prose, self.broken = int(prose), broken
-
-    def plus(self, o: Run) -> Run:
-        add = lambda a, b: [x + y for x, y in zip(a, b, strict=True)]
-        if not self.broken:
-            return Run(add(self.left, o.left), o.closed, o.prose, o.right, o.broken)
-        if not o.broken:
-            return Run(self.left, self.closed, self.prose, add(self.right, o.left), True)
-        middle = add(self.right, o.left)
-        prose = middle[0] if prose_mask(np.array([middle]))[0] else 0
-        return Run(self.left, add(add(self.closed, middle), o.closed), self.prose + prose + o.prose, o.right, True)
+    def __init__(self, left: np.ndarray, closed: np.ndarray, prose: np.ndarray, right: np.ndarray, broken: np.ndarray):
+        self.left, self.closed, self.prose, self.right, self.broken = left, closed, prose, right, broken
+
+    @classmethod
+    def empty(cls, n: int, broken: bool = False) -> Runs:
+        zero = np.zeros((n, _N), np.int64)
+        return cls(zero, zero, np.zeros(n, np.int64), zero, np.full(n, broken))
+
+    @classmethod
+    def single(cls, figures: np.ndarray, newlines: np.ndarray, there: np.ndarray | None = None) -> Runs:
+        """Of one token each (rows of figures, closes, punct) and the gap behind it; empty where it isn't ``there``."""
+        left = figures[:, :_N].copy()
+        left[:, _I["lines"]] = newlines > 0
+        left[:, _I["lines_punct"]] = (newlines > 0) & (figures[:, _N + 1] > 0)
+        broken = (figures[:, _N] > 0) | (newlines > 1)
+        if there is not None:
+            left, broken = left * there[:, None], broken & there
+        zero = np.zeros_like(left)
+        return cls(left, zero, np.zeros(len(left), np.int64), zero, broken)
+
+    @classmethod
+    def of(cls, figures: np.ndarray, breaks: np.ndarray, size: np.ndarray) -> Runs:
+        """Of stretches that stand one after the other: tokens (rows of figures, closes, punct), line breaks behind each, tokens of each stretch."""
+        out = cls.empty(len(size))
+        full = np.flatnonzero(size)
+        if not len(full):
+            return out
+        rows = figures[:, :_N].copy()
+        rows[:, _I["lines"]] = breaks > 0
+        rows[:, _I["lines_punct"]] = (breaks > 0) & (figures[:, _N + 1] > 0)
+        closes = (figures[:, _N] > 0) | (breaks > 1)
+        opens = np.concatenate([[True], closes[:-1]])
+        begin = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+        opens[begin] = True
+        starts = np.flatnonzero(opens)
+        sentences = np.add.reduceat(rows, starts, axis=0)
+        at = np.searchsorted(starts, begin)
+        is_left = np.zeros(len(starts), bool)
+        is_left[at] = True
+        ends = np.concatenate([starts[1:], [len(rows)]]) - 1
+        is_last = np.concatenate([is_left[1:], [True]])
+        is_right = is_last & ~closes[ends] & ~is_left
+        inner = ~is_left & ~is_right
+        whose = full[np.cumsum(is_left) - 1]
+        out.left, out.right = out.left.copy(), out.right.copy()
+        out.left[full] = sentences[is_left]
+        out.right[whose[is_right]] = sentences[is_right]
+        out.closed = out.closed.copy()
+        out.closed[full] = np.add.reduceat(sentences * inner[:, None], at, axis=0)
+        out.prose[full] = np.add.reduceat(sentences[:, 0] * (inner & prose_mask(sentences)), at)
+        out.broken = np.bincount(whose[closes[ends]], minlength=len(size)) > 0
+        return out
+
+    def plus(self, o: Runs) -> Runs:
+        a, b = self.broken[:, None], o.broken[:, None]
+        middle = self.right + o.left
+        whole = middle * (a & b)  # the sentence that meets at the boundary, closed on either side
+        return Runs(
+            np.where(a, self.left, self.left + o.left),
+            self.closed + o.closed + whole,
+            self.prose + o.prose + whole[:, 0] * prose_mask(whole),
+            np.where(b, o.right, middle * a),
+            self.broken | o.broken,
+        )
 
     def dump(self) -> list:
-        return [self.left, self.closed, self.prose, self.right, self.broken]
+        return [x[0].tolist() for x in (self.left, self.closed, self.prose, self.right, self.broken)]
+
+    @classmethod
+    def load(cls, d: list) -> Runs:
+        return cls(*(np.array([x]) for x in d))
+
+    def row(self, i: int) -> Runs:
+        return Runs(*(x[i : i + 1] for x in (self.left, self.closed, self.prose, self.right, self.broken)))
+
+
+def finished(first: np.ndarray, gap: np.ndarray, runs: Runs, last: np.ndarray, has_last: np.ndarray) -> np.ndarray:
+    """FIGURES and the characters in prose of n texts, once nothing comes before or after: first token, gap behind it, what is between, last token."""
+    n = len(first)
+    end = np.ones(n, np.int64)
+    edge = Runs.empty(n, broken=True)
+    whole = Runs.single(first, np.where(has_last, gap, end)).plus(runs).plus(Runs.single(last, end, has_last))
+    out = edge.plus(whole).plus(edge)
+    return np.concatenate([out.closed, out.prose[:, None]], axis=1)
 
 
-def single_run(token: Token, newlines: int, common: frozenset) -> Run:
+def single_run(token: Token, newlines: int, common: frozenset) -> Runs:
     """The run of one complete token and the gap behind it."""
-    figures, closes, punct = word_figures(token.head, token.tail, token.length, token.letters, token.digits, token.symbols, common)
-    figures = list(figures)
-    if newlines:
-        figures[_I["lines"]], figures[_I["lines_punct"]] = 1, int(punct)
-    return Run(left=figures, broken=bool(closes or newlines > 1))
+    return Runs.single(token.figures(common)[None], np.array([newlines]))
 
 
 class State:
@@ -144,7 +231,7 @@ class State:
 
     __slots__ = ("first", "gap", "last", "lead", "run", "trail")
 
-    def __init__(self, lead: int, first: Token | None, gap: int, run: Run, last: Token | None, trail: int):
+    def __init__(self, lead: int, first: Token | None, gap: int, run: Runs, last: Token | None, trail: int):
         self.lead, self.first, self.gap, self.run, self.last, self.trail = lead, first, gap, run, last, trail
 
     def dumps(self) -> str:
@@ -155,13 +242,13 @@ class State:
     def loads(cls, s: str) -> State:
         lead, first, gap, run, last, trail = json.loads(s)
         t = lambda x: Token(*x) if x else None
-        return cls(lead, t(first), gap, Run(*run), t(last), trail)
+        return cls(lead, t(first), gap, Runs.load(run), t(last), trail)
 
     def merged(self, o: State, common: frozenset) -> State:
         """This stretch followed by ``o``. ``last`` is None if the stretch has a single token, ``first`` None if it has none."""
         if self.first is None:
             if o.first is None:
-                return State(self.lead + o.lead, None, 0, Run(), None, self.trail + o.trail)
+                return State(self.lead + o.lead, None, 0, Runs.empty(1), None, self.trail + o.trail)
             return State(self.lead + max(o.lead, 0), o.first, o.gap, o.run, o.last, o.trail)
         if o.first is None:
             return State(self.lead, self.first, self.gap, self.run, self.last, max(self.trail, 0) + o.trail)
@@ -178,23 +265,21 @@ class State:
         # a token goes on across the boundary
         token = (self.last or self.first).joined(o.first)
         if self.last is None and o.last is None:
-            return State(self.lead, token, 0, Run(), None, o.trail)
+            return State(self.lead, token, 0, Runs.empty(1), None, o.trail)
         if self.last is None:
             return State(self.lead, token, o.gap, o.run, o.last, o.trail)
         if o.last is None:
             return State(self.lead, self.first, self.gap, self.run, token, o.trail)
         return State(self.lead, self.first, self.gap, self.run.plus(single_run(token, o.gap, common)).plus(o.run), o.last, o.trail)
 
-    def totals(self, common: frozenset) -> list[int]:
-        """FIGURES and the characters in prose, once nothing comes before or after."""
-        run = Run()
-        if self.first is not None:
-            end = 1 if self.last is None else self.gap
-            run = single_run(self.first, end, common).plus(self.run)
-            if self.last is not None:
-                run = run.plus(single_run(self.last, 1, common))
-        whole = Run(broken=True).plus(run).plus(Run(broken=True))
-        return [*whole.closed, whole.prose]
+    @staticmethod
+    def totals(states: list[State], common: frozenset) -> np.ndarray:
+        """FIGURES and the characters in prose of texts that hold a token."""
+        none = Token("", "", 0, 0, 0, 0)
+        figures = lambda tokens: np.array([t.figures(common) for t in tokens])
+        run = Runs(*(np.concatenate([getattr(x.run, name) for x in states]) for name in ("left", "closed", "prose", "right", "broken")))
+        has_last = np.array([x.last is not None for x in states])
+        return finished(figures([x.first for x in states]), np.array([x.gap for x in states]), run, figures([x.last or none for x in states]), has_last)
 
 
 class Vocabulary:
@@ -211,12 +296,10 @@ class Vocabulary:
         self.array = np.zeros((4096, len(FIGURES) + 2), np.int64)
 
     def id(self, t: str) -> int:
-        token = Token.of(t)
-        figures, closes, punct = word_figures(token.head, token.tail, token.length, token.letters, token.digits, token.symbols, self.common)
         self.ids[t] = k = len(self.ids)
         if k == len(self.array):
             self.array = np.concatenate([self.array, np.zeros_like(self.array)])
-        self.array[k] = (*figures, closes, punct)
+        self.array[k] = Token.of(t).figures(self.common)
         return k
 
     def lookup(self, tokens: list[str]) -> np.ndarray:
@@ -242,60 +325,41 @@ def _tokens(text: str) -> tuple[list[str], np.ndarray]:
     return [t for t in flat if t != _BREAK], breaks
 
 
-def run_of(figures: np.ndarray, breaks: np.ndarray) -> Run:
-    """The run of complete tokens (rows of figures, closes, punct) with the line breaks behind each."""
-    if not len(figures):
-        return Run()
-    n = len(FIGURES)
-    rows = figures[:, :n].copy()
-    rows[:, _I["lines"]] = breaks > 0
-    rows[:, _I["lines_punct"]] = (breaks > 0) & (figures[:, n + 1] > 0)
-    ends = np.flatnonzero((figures[:, n] > 0) | (breaks > 1)) + 1
-    if not len(ends):
-        return Run(left=rows.sum(0).tolist())
-    starts = np.concatenate([[0], ends])
-    last_empty = starts[-1] == len(rows)
-    sums = np.add.reduceat(rows, starts[:-1] if last_empty else starts, axis=0)
-    right = [0] * n if last_empty else sums[-1].tolist()
-    closed = sums[1:] if last_empty else sums[1:-1]
-    return Run(sums[0].tolist(), closed.sum(0).tolist(), int(closed[prose_mask(closed), 0].sum()) if len(closed) else 0, right, True)
-
-
-def state_of(text: str, vocabulary: Vocabulary) -> State:
-    """The state of one chunk."""
-    tokens, breaks = _tokens(text)
-    if not tokens:
-        n = int(breaks.sum())
-        return State(n, None, 0, Run(), None, n)
-    lead = int(breaks[0]) if text[0].isspace() else -1
-    trail = int(breaks[-1]) if text[-1].isspace() else -1
-    if len(tokens) == 1:
-        return State(lead, Token.of(tokens[0]), 0, Run(), None, trail)
-    run = run_of(vocabulary.lookup(tokens[1:-1]), breaks[2:-1]) if len(tokens) > 2 else Run()
-    return State(lead, Token.of(tokens[0]), int(breaks[1]), run, Token.of(tokens[-1]), trail)
-
-
-def totals_of(texts: list[str], vocabulary: Vocabulary) -> np.ndarray:
-    """FIGURES and the characters in prose of whole texts (none of them blank), all at once: what ``state_of(t).totals()`` gives for each."""
-    n = len(FIGURES)
-    words: list[str] = []
-    behind, sizes = [], []
-    for t in texts:
-        tokens, breaks = _tokens(t)
-        words += tokens
-        breaks[-1] = 2  # a text's end closes its last line and its last sentence
-        behind.append(breaks[1:])
-        sizes.append(len(tokens))
-    figures, breaks, size = vocabulary.lookup(words), np.concatenate(behind), np.array(sizes)
-    rows = figures[:, :n].copy()
-    rows[:, _I["lines"]] = breaks > 0
-    rows[:, _I["lines_punct"]] = (breaks > 0) & (figures[:, n + 1] > 0)
-    ends = np.flatnonzero((figures[:, n] > 0) | (breaks > 1)) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    sentences = np.add.reduceat(rows, starts, axis=0)
-    sentences = np.concatenate([sentences, (sentences[:, 0] * prose_mask(sentences))[:, None]], axis=1)
-    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)[:-1]]))
-    return np.add.reduceat(sentences, first, axis=0)
+class Chunks:
+    """The states of many chunks at once; ``tokens`` holds every chunk's tokens, ``figures`` what they count for."""
+
+    def __init__(self, texts: list[str], vocabulary: Vocabulary):
+        self.texts, self.tokens, self.breaks = texts, [], []
+        for t in texts:
+            tokens, breaks = _tokens(t)
+            self.tokens.append(tokens)
+            self.breaks.append(breaks)
+        size = np.array([len(t) for t in self.tokens], np.int64)
+        figures = vocabulary.lookup([t for tokens in self.tokens for t in tokens])
+        behind = np.concatenate([b[1:] for b in self.breaks]) if texts else np.zeros(0, np.int64)
+        start = np.cumsum(size) - size
+        place = np.arange(len(figures)) - np.repeat(start, size)
+        inside = (place > 0) & (place < np.repeat(size, size) - 1)
+        self.size, self.runs = size, Runs.of(figures[inside], behind[inside], np.maximum(size - 2, 0))
+        self.figures, self.behind, self.start = figures, behind, start
+
+    def totals(self, rows: np.ndarray) -> np.ndarray:
+        """Of the chunks in ``rows``, which are whole texts and hold a token."""
+        first, last = self.start[rows], self.start[rows] + self.size[rows] - 1
+        r = self.runs
+        some = Runs(r.left[rows], r.closed[rows], r.prose[rows], r.right[rows], r.broken[rows])
+        return finished(self.figures[first], self.behind[first], some, self.figures[last], self.size[rows] > 1)
+
+    def state(self, i: int) -> State:
+        text, tokens, breaks = self.texts[i], self.tokens[i], self.breaks[i]
+        if not tokens:
+            n = int(breaks.sum())
+            return State(n, None, 0, Runs.empty(1), None, n)
+        lead = int(breaks[0]) if text[0].isspace() else -1
+        trail = int(breaks[-1]) if text[-1].isspace() else -1
+        if len(tokens) == 1:
+            return State(lead, Token.of(tokens[0]), 0, Runs.empty(1), None, trail)
+        return State(lead, Token.of(tokens[0]), int(breaks[1]), self.runs.row(i), Token.of(tokens[-1]), trail)
 
 
 _STATS = ", ".join(f"{f} bigint" for f in (*FIGURES, "prose"))
@@ -319,11 +383,10 @@ def text_totals(docs: DataFrame, key: str, text: str, common_words: list[str], c
             if not batch.num_rows:
                 continue
             whole = batch.column(1).to_numpy() == 1
-            parts = batch.column(3).to_pylist()
-            t = np.zeros((len(parts), len(FIGURES) + 1), np.int64)
-            if whole.any():
-                t[whole] = totals_of([p for p, w in zip(parts, whole, strict=True) if w], vocabulary)
-            states = [None if w else state_of(p, vocabulary).dumps() for p, w in zip(parts, whole, strict=True)]
+            chunks = Chunks(batch.column(3).to_pylist(), vocabulary)
+            t = np.zeros((len(whole), _N + 1), np.int64)
+            t[whole] = chunks.totals(np.flatnonzero(whole))
+            states = [None if w else chunks.state(i).dumps() for i, w in enumerate(whole)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(states, pa.string()), *(pa.array(c) for c in t.T.copy())],
                 names=["key", "n", "no", "state", *FIGURES, "prose"],
@@ -342,8 +405,9 @@ def text_totals(docs: DataFrame, key: str, text: str, common_words: list[str], c
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            t = [State.loads(x).totals(common) for x in pdf["state"]]
-            yield pd.DataFrame({"key": pdf["key"]} | {f: [x[i] for x in t] for i, f in enumerate((*FIGURES, "prose"))})
+            if len(pdf):
+                t = State.totals([State.loads(x) for x in pdf["state"]], common)
+                yield pd.DataFrame({"key": pdf["key"]} | {f: t[:, i] for i, f in enumerate((*FIGURES, "prose"))})
 
     most = parts.agg(F.max("n")).first()[0] or 1
     while most > 1:

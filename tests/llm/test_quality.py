@@ -17,16 +17,36 @@ PIECES = st.lists(st.sampled_from(["the ", "Word", ". ", "\n", "\n\n", "\r\n", "
 @given(PIECES, st.integers(1, 9), st.randoms())
 def test_merging_is_associative(parts, size, rng):
     text = "".join(parts)
-    states = [Q.state_of(text[i : i + size], V) for i in range(0, len(text), size)]
+    cut = [text[i : i + size] for i in range(0, len(text), size)]
+    chunks = Q.Chunks(cut, V)
+    states = [chunks.state(i) for i in range(len(cut))]
     while len(states) > 1:
         i = rng.randrange(len(states) - 1)
         a = Q.State.loads(states[i].dumps())
         states[i : i + 2] = [a.merged(states[i + 1], COMMON)]
     # a line break of two characters that is cut in two counts twice, as it may not know its other half
-    if "\r\n" not in text:
-        assert states[0].totals(COMMON) == Q.state_of(text, V).totals(COMMON)
-        if text.split():
-            assert Q.totals_of([text], V)[0].tolist() == states[0].totals(COMMON)
+    if "\r\n" not in text and text.split():
+        whole = Q.Chunks(["", "a b.", text, "x"], V)
+        got = Q.State.totals(states, COMMON)[0].tolist()
+        assert got == Q.State.totals([whole.state(2)], COMMON)[0].tolist() == whole.totals(Q.np.array([2]))[0].tolist() == plain(text)
+
+
+def plain(text):
+    """The totals, token by token."""
+    total, sentence = [0] * (len(Q.FIGURES) + 1), Q.np.zeros(len(Q.FIGURES), int)
+    lines = text.replace("\x00", "�").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    words = [(i, w) for i, line in enumerate(lines) for w in line.split()]
+    for k, (i, w) in enumerate(words):
+        after = words[k + 1][0] - i if k + 1 < len(words) else 2
+        figures = Q.Token.of(w).figures(COMMON)
+        row = figures[:-2].copy()
+        row[-2:] = (after > 0, after > 0 and figures[-1])
+        sentence = sentence + row
+        if figures[-2] or after > 1:
+            prose = int(sentence[0]) if Q.prose_mask(sentence[None])[0] else 0
+            total = [a + int(b) for a, b in zip(total, [*sentence, prose], strict=True)]
+            sentence = sentence * 0
+    return total
 
 
 PROSE = "What should you do when the system is not in the list? The owner of it should not wait before that, so you and the team can start.\n"
@@ -65,5 +85,5 @@ def test_line_breaks_do_not_change_sides():
     listed = "журнал доступа, Доре\nлимит хранилища, Зуко\nдоговор с поставщиком, Бадо\nкалендарь релизов, Вара\n" * 6
     for text, is_prose in ((prose * 5, True), (listed, False)):
         for gap in (" ", "\n"):
-            figures = Q.totals_of([gap.join(text.split())], Q.Vocabulary(common))[0]
+            figures = Q.Chunks([gap.join(text.split())], Q.Vocabulary(common)).totals(Q.np.array([0]))[0]
             assert (figures[-1] >= 0.5 * figures[0]) == is_prose, (text, gap)

@@ -2,7 +2,9 @@
 
 1. From a bounded sample of the vectors a graph of nearest neighbours is made
    (in Spark, in blocks) and cut into balanced parts: recursive bisection at
-   the median of a smooth vector on the graph, refined by balanced swaps.
+   the median of a smooth vector on the graph, with balanced swaps, then
+   refined among all parts at once: nodes go where their neighbours are, while
+   the parts keep their sizes.
 2. A small network learns the part of a vector and of its neighbours. It
    routes every vector of the collection to its most probable part, where the
    vector is indexed, and to several most probable parts, where it is
@@ -37,14 +39,18 @@ from loomspark.session import stored
 
 DIM, K = 64, 5
 #: Vectors a part should index, the most parts, and vectors of the sample for each part; so the sample has at most 16,384 vectors.
-PART_ROWS, MOST_PARTS, SAMPLE_PER_PART, MOST_SAMPLE = 3000, 512, 256, 16_384
+PART_ROWS, MOST_PARTS, SAMPLE_PER_PART, MOST_SAMPLE = 700, 512, 256, 16_384
 #: The same for the parts of a part, where a part still holds more than PART_ROWS: 16 MB of routers at most.
 MOST_SUBPARTS, MOST_SUBSAMPLE, SUBHIDDEN = 64, 4096, 64
 #: Parts that a query is sent to at least, rows of a block of queries and of a block of the index.
-PROBES, QUERY_BLOCK, INDEX_BLOCK = 16, 32_768, 8192
-GRAPH_K = 12
-#: Queries whose neighbours are found by brute force to choose the number of parts, the recall that these need (less two standard errors), and the growth of the number from try to try.
-MEASURED, RECALL, GROWTH = 1024, 0.9, 1.25
+PROBES, QUERY_BLOCK, INDEX_BLOCK = 2, 32_768, 8192
+#: Neighbours of a node of the graph, and those among them whose parts are a vector's labels.
+GRAPH_K, LABELS = 32, 12
+#: Rounds of the refinement among all parts, and of the scaling in each of them that keeps the sizes.
+REFINED, SCALED = 12, 6
+#: Queries whose neighbours are found by brute force to choose the number of parts, the recall that these need (less two
+#: standard errors), that of neighbours above a stated similarity, and the growth of the number from try to try.
+MEASURED, RECALL, CLOSE_RECALL, GROWTH = 1024, 0.9, 0.995, 1.125
 #: Entries of the table of subparts that a router fills at once.
 ROUTED_AT_ONCE = 4_000_000
 
@@ -165,6 +171,31 @@ def balanced_parts(near: np.ndarray, parts: int, seed: int = 0) -> np.ndarray:
     return part
 
 
+def refined_parts(near: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of about equal sizes that cut fewer edges than ``part``, or ``part`` itself.
+
+    Every node has a share in each part, which it averages with its
+    neighbours' and sharpens; then the shares are scaled so that all parts
+    weigh the same and every node 1. Memory: nodes times parts floats.
+    """
+    n, k = near.shape
+    share = np.zeros((n, parts), np.float32)
+    share[np.arange(n), part] = 1
+    for _ in range(REFINED):
+        mixed = share.copy()
+        for j in range(k):
+            mixed += share[near[:, j]]
+        mixed /= mixed.sum(1, keepdims=True)
+        mixed *= mixed
+        for _ in range(SCALED):
+            mixed /= mixed.sum(0) * np.float32(parts / n) + np.float32(1e-9)
+            mixed /= mixed.sum(1, keepdims=True) + np.float32(1e-12)
+        share = mixed
+    new = share.argmax(1)
+    kept = lambda q: (q[near] == q[:, None]).mean()
+    return new if kept(new) > kept(part) else part
+
+
 class Router:
     """A network with one hidden layer from a vector to the probability of each part."""
 
@@ -262,8 +293,8 @@ def fit_router(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS,
 
 
 def _trained(x: np.ndarray, near: np.ndarray, parts: int, seed: int, **options) -> Router:
-    part = balanced_parts(near, parts, seed)
-    return Router(x, np.concatenate([part[:, None], part[near]], axis=1), parts, seed=seed, **options)
+    part = refined_parts(near, balanced_parts(near, parts, seed), parts)
+    return Router(x, np.concatenate([part[:, None], part[near[:, :LABELS]]], axis=1), parts, seed=seed, **options)
 
 
 def fit_routing(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS, seed: int = 0) -> Routing:
@@ -308,8 +339,8 @@ def fit_routing(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS
     return Routing(router, within)
 
 
-def true_neighbours(vectors: DataFrame, dim: int, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(queries, row of the query, neighbour): MEASURED vectors chosen by hash, and by brute force their k nearest others, a row for each."""
+def true_neighbours(vectors: DataFrame, dim: int, k: int, least: float = -2.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, row of the query, neighbour): MEASURED vectors chosen by hash, and by brute force their k nearest others at ``least`` or more, a row for each."""
     # another seed than the routers' samples have
     chosen = vectors.orderBy(F.xxhash64("key", F.lit(seed + 1)), "key").limit(MEASURED).select("key", "vec").toArrow()
     x = matrix(chosen.column("vec"), dim)
@@ -332,7 +363,7 @@ def true_neighbours(vectors: DataFrame, dim: int, k: int, seed: int = 0) -> tupl
                 cosine = np.take_along_axis(both, top, 1)
                 old = np.take_along_axis(vec, np.minimum(top, k - 1)[:, :, None], 1)
                 vec = np.where((top < k)[:, :, None], old, part[np.maximum(top - k, 0)])
-        row, at = np.nonzero(cosine > -9)
+        row, at = np.nonzero((cosine > -9) & (cosine >= least))
         if len(row):
             found = [pa.array(row.astype(np.int32)), pa.array(cosine[row, at]), pa.array([v.tobytes() for v in vec[row, at]], pa.binary())]
             yield pa.RecordBatch.from_arrays(found, names=["row", "cosine", "vec"])
@@ -344,23 +375,32 @@ def true_neighbours(vectors: DataFrame, dim: int, k: int, seed: int = 0) -> tupl
 
 
 def found_share(routing: Routing, x: np.ndarray, row: np.ndarray, near: np.ndarray, probes: int) -> np.ndarray:
-    """For each query, the share of its true neighbours that meet it in a part, from either side."""
+    """For each query that has any, the share of its true neighbours that meet it in a part, from either side."""
     mine, other = routing.top(x, probes)[row], routing.top(near, probes)
     met = (mine == other[:, :1]).any(1) | (other == mine[:, :1]).any(1)
-    return np.bincount(row, met, len(x)) / np.maximum(np.bincount(row, minlength=len(x)), 1)
+    n = np.bincount(row, minlength=len(x))
+    return (np.bincount(row, met, len(x)) / np.maximum(n, 1))[n > 0]
+
 
+def choose_probes(routing: Routing, vectors: DataFrame, dim: int, k: int, least: float = -2.0, seed: int = 0) -> tuple[int, float]:
+    """(probes, recall): the parts that a query is sent to, PROBES or as many more as the measured recall needs, up to all of them.
 
-def choose_probes(routing: Routing, vectors: DataFrame, dim: int, k: int, seed: int = 0) -> tuple[int, float]:
-    """(probes, recall): the parts that a query is sent to, PROBES or as many more as the measured recall needs, up to all of them."""
+    What is measured are the neighbours that are asked for: where ``least``
+    leaves out the others, these are closer and need fewer parts, and more of
+    them must be found.
+    """
     if routing.first is None:
         return 1, 1.0
-    x, row, near = true_neighbours(vectors, dim, k, seed)
+    x, row, near = true_neighbours(vectors, dim, k, least, seed)
+    enough = RECALL if least <= -1 else CLOSE_RECALL
+    if not len(row):
+        return PROBES, 1.0
     every = routing.first.w[3].size * (MOST_SUBPARTS if routing.within else 1)
     probes = min(PROBES, every)
     while True:
         share = found_share(routing, x, row, near, probes)
-        if probes == every or share.mean() - 2 * share.std() / np.sqrt(len(share)) >= RECALL:
-            log.info("%d of at most %d parts a query, recall@%d of %d queries %.3f", probes, every, k, len(x), share.mean())
+        if probes == every or share.mean() - 2 * share.std() / np.sqrt(len(share)) >= enough:
+            log.info("%d of at most %d parts a query, recall@%d of %d queries %.3f", probes, every, k, len(share), share.mean())
             return probes, float(share.mean())
         probes = min(every, int(np.ceil(probes * GROWTH)))
 
@@ -443,7 +483,8 @@ def similar_vectors(
     out less similar ones early. No vectors or a single one: no rows. The
     answer is exact if one part is enough, else approximate: a pair is missed
     if each of the two is indexed outside the other's ``probes`` parts. Without
-    ``probes`` there are as many as a measured recall of RECALL needs.
+    ``probes`` there are as many as a measured recall of RECALL needs, or of
+    CLOSE_RECALL among neighbours at ``least`` or more.
     """
     spark = vectors.sparkSession
     members = stored(_classes(vectors, dim), "vectors")
@@ -451,7 +492,7 @@ def similar_vectors(
     n = reps.count()
     routing = fit_routing(reps, n, dim, part_rows, seed)
     if probes is None:
-        probes, _ = choose_probes(routing, reps, dim, k, seed)
+        probes, _ = choose_probes(routing, reps, dim, k, least, seed)
     shared = spark.sparkContext.broadcast(routing)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,5 +132,22 @@ def test_a_third_of_near_copies_and_scaled_copies(spark, monkeypatch):
 def test_parts_are_balanced(parts):
     x = clustered(1000, 4)
     _, near = exact(x, 8)
-    size = np.bincount(N.balanced_parts(near, parts), minlength=parts)
+    part = N.balanced_parts(near, parts)
+    size = np.bincount(part, minlength=parts)
     assert size.max() - size.min() <= np.log2(parts) + 1
+    better = N.refined_parts(near, part, parts)
+    size = np.bincount(better, minlength=parts)
+    assert size.max() <= 1.6 * len(x) / parts and size.min() >= 0.5 * len(x) / parts
+    assert (better[near] == better[:, None]).mean() >= (part[near] == part[:, None]).mean()
+
+
+def test_few_parts_find_close_neighbours(spark):
+    """Neighbours above a similarity need fewer parts than all; either recall is measured."""
+    x = clustered(4000, 11)
+    v = N.usable_vectors(spark.createDataFrame(rows_of(x), SCHEMA))
+    routing = N.fit_routing(v, len(x), 64, 150)
+    parts = routing.first.w[3].size
+    every, recall = N.choose_probes(routing, v, 64, 5)
+    close, close_recall = N.choose_probes(routing, v, 64, 5, 0.85)
+    print(f"{parts} parts: {every} parts a query, recall {recall:.3f}; at 0.85 or more {close}, recall {close_recall:.3f}")
+    assert close <= every < parts and recall >= N.RECALL and close_recall >= N.CLOSE_RECALL

@@ -30,8 +30,8 @@ from loomspark.functions.unicode import is_blank
 from loomspark.session import stored
 
 CHUNK, FAN = 8192, 64
-#: Chunks of a block.
-BLOCK = 128
+#: Chunks of a block, and chunks whose words are looked up at once.
+BLOCK, AT_ONCE = 128, 512
 #: Columns of a word's figures, which add up over a sentence and over a document.
 FIGURES = ("nonspace", "letters", "digits", "symbols", "words", "word_chars", "common", "bullets", "lines", "lines_punct")
 PUNCTUATION = frozenset(".,;:!?…'\"()«»„“”‚‘’-–—")
@@ -379,9 +379,7 @@ def text_totals(docs: DataFrame, key: str, text: str, common_words: list[str], c
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(common)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             whole = batch.column(1).to_numpy() == 1
             chunks = Chunks(batch.column(3).to_pylist(), vocabulary)
             t = np.zeros((len(whole), _N + 1), np.int64)

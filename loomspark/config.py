@@ -16,6 +16,12 @@ class Config:
     top_k: int = 5
     neighbour_window: int = 1
     expansion_cap: int = 12
+    expansion_base: int = 8
+    expansion_docs: int = 4
+    extra_total: int = 12
+    extra_per_document: int = 6
+    fetch_lexical: int = 20
+    fetch_vector: int = 20
     redundancy_threshold: float = 0.92
     min_gain: float = 0.01
     max_context_tokens: int = 65_536

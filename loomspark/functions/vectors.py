@@ -1,8 +1,7 @@
 """Vector arithmetic on array columns.
 
-Spark has no built-in vector functions. Single pairs use array lambdas;
-whole columns of pairs use an Arrow-batched function, which is many times
-faster.
+Spark has no built-in vector functions; whole columns of pairs go through an
+Arrow-batched function.
 """
 
 from __future__ import annotations
@@ -14,31 +13,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _rows(s: pd.Series) -> list:
-    return [np.zeros(0) if x is None else np.asarray(x, np.float64) for x in s]
-
-
 @F.pandas_udf(T.DoubleType())
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of two vectors; 0 if either is null, empty or zero. The product runs to the shorter length, the norms are whole."""
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(_rows(a), _rows(b), strict=True)):
-        n = min(len(x), len(y))
-        norm = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
-        if n and norm > 0:
-            out[i] = (x[:n] * y[:n]).sum() / norm
+    none = np.zeros(0)
+    xs, ys = ([none if v is None else v for v in c] for c in (a, b))
+    sizes = np.array([(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]).reshape(-1, 2)
+    out = np.zeros(len(sizes))
+    # pairs of equal lengths are multiplied together
+    for m, n in np.unique(sizes, axis=0):
+        if not min(m, n):
+            continue
+        rows = np.flatnonzero((sizes == (m, n)).all(1))
+        x, y = (np.array([c[i] for i in rows], np.float64) for c in (xs, ys))
+        k = min(m, n)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))
+        out[rows] = np.where(norm > 0, np.einsum("ij,ij->i", x[:, :k], y[:, :k]) / np.where(norm > 0, norm, 1), 0)
     return pd.Series(out)
 
 
-def l2(a: Column | str, b: Column | str) -> Column:
-    """Euclidean distance of two vectors of one length."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
-
-
-def distance_score(d: Column) -> Column:
-    return 1 / (1 + d)
-
-
 def unit(c: Column) -> Column:
     """From [-1, 1] to [0, 1], clipped."""
     return (F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)) + 1) / 2

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.config import DEFAULTS, Config
+from loomspark.functions.text import estimated_tokens, truncated
+from loomspark.functions.unicode import token_count
 from loomspark.functions.vectors import cosine
 
 
@@ -53,6 +55,64 @@ def expanded(ranked: DataFrame, chunks: DataFrame, config: Config = DEFAULTS) ->
     return both.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= config.expansion_cap).drop("_r", "base")
 
 
+def expanded_by_document(ranked: DataFrame, chunks: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """(query, chunk, document, ordinal, score, is_base, document_rank): the best candidates and neighbours of the best one of each chosen document.
+
+    The documents of the first ``expansion_base`` candidates are ordered by
+    their best score (ties: document); the first ``expansion_docs`` are
+    chosen. A chosen document adds the chunks around its best candidate that
+    aren't there yet, in order of ordinal and chunk, at most
+    ``extra_per_document``, and all together at most ``extra_total`` in the
+    order of the documents. The score of what is added decays.
+    """
+    base = ranked.where(F.col("rank") <= config.expansion_base)
+    best = Window.partitionBy("query", "document").orderBy(F.col("score").desc(), "ordinal", "chunk")
+    anchors = base.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "document"))
+    anchors = anchors.withColumn("document_rank", rank).where(F.col("document_rank") <= config.expansion_docs)
+    around = anchors.select(
+        "query", "document", "document_rank", "score", F.explode(F.sequence(F.col("ordinal") - config.neighbour_window, F.col("ordinal") + config.neighbour_window)).alias("ordinal")
+    )
+    near = around.join(chunks.select("document", "ordinal", "chunk"), ["document", "ordinal"]).join(base.select("query", "chunk"), ["query", "chunk"], "left_anti")
+    in_doc = F.row_number().over(Window.partitionBy("query", "document").orderBy("ordinal", "chunk"))
+    near = near.withColumn("_d", in_doc).where(F.col("_d") <= config.extra_per_document)
+    in_all = F.row_number().over(Window.partitionBy("query").orderBy("document_rank", "ordinal", "chunk"))
+    near = near.withColumn("_a", in_all).where(F.col("_a") <= config.extra_total)
+    added = near.select("query", "chunk", "document", "ordinal", (F.col("score") * config.decay_score).alias("score"), F.lit(False).alias("is_base"))
+    both = base.select("query", "chunk", "document", "ordinal", "score", F.lit(True).alias("is_base")).unionByName(added)
+    ranks = anchors.select("query", "document", "document_rank")
+    return both.join(ranks, ["query", "document"], "left").select("query", "chunk", "document", "ordinal", "score", "is_base", "document_rank")
+
+
+def assembled_context(rows: DataFrame, max_tokens: int, margin: int, factor: float = DEFAULTS.words_to_tokens) -> DataFrame:
+    """(query, chunk, text, tokens, truncated): the context of each query within ``max_tokens`` less the margin.
+
+    Rows (query, chunk, score, text): those of the lowest score (ties:
+    smallest chunk) are dropped until the rest fits. Where nothing fits, the
+    best one (ties: smallest chunk) stays, cut to the budget and marked.
+    """
+    budget = max(0, max_tokens - margin)
+    sized = rows.withColumn("tokens", estimated_tokens("text", factor))
+    kept = context_budget(sized, budget).where("kept")
+    text = F.when(F.col("truncated"), truncated("text", budget, factor=factor)).otherwise(F.col("text"))
+    return kept.select("query", "chunk", text.alias("text"), "truncated").withColumn("tokens", estimated_tokens("text", factor))
+
+
+def context_log(rows: DataFrame, context: DataFrame, factor: float = DEFAULTS.words_to_tokens) -> DataFrame:
+    """(query, n_before, n_dropped, initial_tokens, final_tokens, trimmed_tokens, words_before, words_after, truncated) of a context and what it came from."""
+    before = rows.groupBy("query").agg(
+        F.count("*").alias("n_before"), F.sum(estimated_tokens("text", factor)).alias("initial_tokens"), F.sum(token_count("text")).alias("words_before")
+    )
+    after = context.groupBy("query").agg(
+        F.count("*").alias("_n"), F.sum("tokens").alias("final_tokens"), F.sum(token_count("text")).alias("words_after"), F.bool_or("truncated").alias("truncated")
+    )
+    # what is cut down to fit was dropped first
+    return before.join(after, "query").select(
+        "query", "n_before", (F.col("n_before") - F.when(F.col("truncated"), 0).otherwise(F.col("_n"))).alias("n_dropped"), "initial_tokens", "final_tokens",
+        F.greatest(F.lit(0), F.col("initial_tokens") - F.col("final_tokens")).alias("trimmed_tokens"), "words_before", "words_after", "truncated",
+    )
+
+
 def context_budget(rows: DataFrame, budget: int) -> DataFrame:
     """Adds ``kept``: rows (query, chunk, score, tokens) whose lowest ones are dropped until the rest fits; the best stays anyway (truncated later)."""
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("chunk").desc())
@@ -70,10 +130,14 @@ def budget_select(rows: DataFrame, budget: int, config: Config = DEFAULTS) -> Da
     cosine with an earlier row exceeds the threshold by, reaches the least
     gain, and if the running total of tokens fits; the first that fails ends
     the selection. So the selection is a prefix, and the largest cosine is
-    over all earlier rows: a self-join of the query's own short list.
+    over all earlier rows. Rows beyond the budget or below the least gain by
+    score alone can't pass and are cut first: what is then compared pairwise
+    is what fits into a context.
     """
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "document", "ordinal", "chunk")
-    r = rows.withColumn("r", F.row_number().over(order))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.withColumn("r", F.row_number().over(order)).withColumn("_fits", F.sum("tokens").over(upto) <= budget)
+    r = r.where(F.col("_fits") & (F.round("score", 9) >= config.min_gain)).drop("_fits")
     left = r.select("query", "r", F.col("v").alias("_v"))
     right = r.select(F.col("query").alias("_q"), F.col("r").alias("_e"), F.col("v").alias("_w"))
     worst = left.join(right, (F.col("query") == F.col("_q")) & (F.col("_e") < F.col("r"))).groupBy("query", "r").agg(
@@ -81,7 +145,7 @@ def budget_select(rows: DataFrame, budget: int, config: Config = DEFAULTS) -> Da
     )
     gain = F.col("score") - F.greatest(F.lit(0.0), F.coalesce("most_similar", F.lit(0.0)) - config.redundancy_threshold)
     run = order.rowsBetween(Window.unboundedPreceding, 0)
-    ok = (F.round(gain, 9) >= config.min_gain) & (F.sum("tokens").over(run) <= budget)
+    ok = F.round(gain, 9) >= config.min_gain
     out = r.join(worst, ["query", "r"], "left").withColumn("_ok", ok)
     return out.withColumn("_all", F.bool_and("_ok").over(run)).where("_all").select("query", "chunk", "r", "score", "tokens")
 

@@ -21,9 +21,11 @@ def postings(df: DataFrame, key: str, parts: dict[str, tuple[str, object]]) -> D
     return out.groupBy(key, "term", "part").agg(F.count("*").alias("n"))
 
 
-def all_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, terms): the distinct terms of each record, in lower case."""
-    return df.select(key, F.array_distinct(tokens(text)).alias("terms"))
+def weighted_terms(df: DataFrame, key: str, parts: list[tuple[str, object]]) -> DataFrame:
+    """(key, pos, term, weight) of the parts (weight class, array of terms) one after the other; positions run through."""
+    weighed = lambda terms, w: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
+    every = F.concat(*(weighed(terms, WEIGHTS[weight]) for weight, terms in parts))
+    return df.select(F.col(key).alias("key"), F.posexplode(every).alias("pos", "t")).select("key", "pos", "t.term", "t.weight")
 
 
 def match_all(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -56,23 +58,38 @@ def match_all(queries: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def cover_rank(matches: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query, key, score): matches scored by the shortest stretch of the text that holds all terms of the query.
+def cover_rank(matches: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query, key, score): matches scored by the density of the covers of all query terms.
 
-    For each place where the query's last missing term appears, the stretch
-    reaches back to the latest occurrence of every other term; its score is
-    the number of terms over its length, and the score of a record is the
-    largest one. Positions are windows over (query, key).
+    ``terms`` (key, pos, term, weight). A cover is a stretch from a term to
+    another that holds all terms of the query and no shorter cover. It counts
+    as the number of hits in it over the sum of their inverse weights, divided
+    by 1 + the number of other words in it; a record's score is the sum over
+    its covers. The hits of one record are folded once in order; the state is
+    the latest hit of each term.
     """
-    at = texts.select("key", F.posexplode(tokens("text")).alias("pos", "term"))
-    want = queries.select("query", F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    hits = matches.join(want, "query").join(at, ["key", "term"])
-    upto = Window.partitionBy("query", "key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.aggregate(
-        F.collect_list(F.struct("term", "pos")).over(upto),
-        F.create_map().cast("map<string,int>"),
-        lambda m, x: F.map_zip_with(m, F.create_map(x["term"], x["pos"]), lambda k, a, b: F.coalesce(b, a)),
+    want = queries.select("query", F.posexplode("terms").alias("i", "term"), F.size("terms").alias("n"))
+    hits = matches.join(want, "query").join(terms, ["key", "term"])
+    listed = hits.groupBy("query", "key", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "i", (1 / F.col("weight")).alias("inv")))).alias("hits"))
+    never = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("at"), F.lit(0.0).alias("before"))
+    start = F.struct(
+        F.array_repeat(never, F.col("n")).alias("last"), F.lit(-1).alias("begun"), F.lit(0.0).alias("score"), F.lit(0).alias("at"), F.lit(0.0).alias("inv")
     )
-    seen = hits.withColumn("last", F.map_values(last))
-    cover = seen.where(F.size("last") == F.col("n")).withColumn("len", F.col("pos") - F.array_min("last") + 1)
-    return cover.groupBy("query", "key").agg(F.max(F.col("n") / F.col("len")).alias("score"))
+
+    def step(acc, x):
+        here = F.struct(x["pos"].alias("pos"), (acc["at"] + 1).alias("at"), acc["inv"].alias("before"))
+        moved = F.transform(acc["last"], lambda old, i: F.when(i == x["i"], here).otherwise(old))
+
+        def scored(last, first):
+            n, inv = acc["at"] + 1 - first["at"] + 1, acc["inv"] + x["inv"] - first["before"]
+            cover = F.try_divide(n / inv, 1 + (x["pos"] - first["pos"]) - (n - 1))
+            new = first["pos"] > acc["begun"]
+            return F.struct(
+                last.alias("last"), F.greatest(first["pos"], acc["begun"]).alias("begun"), (acc["score"] + F.when(new, cover).otherwise(0.0)).alias("score"),
+                (acc["at"] + 1).alias("at"), (acc["inv"] + x["inv"]).alias("inv"),
+            )
+
+        # a one-element array gives its element a name, so that it is computed once
+        return F.transform(F.transform(F.array(moved), lambda m: F.struct(m.alias("m"), F.array_min(m).alias("f"))), lambda y: scored(y["m"], y["f"]))[0]
+
+    return listed.select("query", "key", F.aggregate("hits", start, step, lambda a: a["score"]).alias("score"))

@@ -15,25 +15,21 @@ from loomspark.config import DEFAULTS, Config
 from loomspark.functions.vectors import unit
 
 
-def term_counts(terms: Column) -> Column:
-    """The terms that occur more than once in an array, with their counts."""
-    again = F.filter(F.array_distinct(terms), lambda t: F.array_position(terms, t) < F.size(terms) - F.array_position(F.reverse(terms), t) + 1)
-    return F.transform(again, lambda t: F.struct(t.alias("t"), F.size(F.filter(terms, lambda x: x == t)).alias("n")))
+def term_overlap(pairs: DataFrame, questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, chunk, overlap) of every pair: the sum over the question's distinct terms of the smaller count on either side, over their number.
 
-
-def lexical_overlap(query: Column, repeated: Column, text: Column) -> Column:
-    """Sum over distinct query terms of the smaller count on either side, over the number of distinct query terms.
-
-    ``query`` and ``text`` are arrays of terms, ``repeated`` the query's
-    ``term_counts``: most terms stand once in a query, and for these the sum
-    is the size of an intersection, which is hashed; only the repeated ones
-    are counted.
+    ``questions`` (query, terms) and ``texts`` (chunk, terms), arrays; pairs
+    without either have no row, a question without terms has 0. Terms are
+    counted once a question and once a text and meet in a join, so the cost
+    is linear in the texts.
     """
-    once = F.size(F.array_intersect(query, text))
-    more = F.aggregate(
-        repeated, F.lit(0), lambda s, r: s + F.greatest(F.lit(0), F.least(r["n"], F.size(F.filter(text, lambda x: x == r["t"]))) - 1)
+    q = questions.select("query", F.explode("terms").alias("term")).groupBy("query", "term").agg(F.count("*").alias("_q"))
+    t = texts.select("chunk", F.explode("terms").alias("term")).groupBy("chunk", "term").agg(F.count("*").alias("_t"))
+    both = pairs.join(questions.select("query", F.size(F.array_distinct("terms")).alias("_n")), "query").join(texts.select("chunk"), "chunk")
+    common = pairs.join(q, "query").join(t, ["chunk", "term"]).groupBy("query", "chunk").agg(F.sum(F.least("_q", "_t")).alias("_common"))
+    return both.join(common, ["query", "chunk"], "left").select(
+        "query", "chunk", (F.coalesce("_common", F.lit(0)) / F.greatest(F.lit(1), "_n")).alias("overlap")
     )
-    return (once + more) / F.greatest(F.lit(1), F.size(F.array_distinct(query)))
 
 
 def minmax(c: Column, by: list[str]) -> Column:
@@ -85,44 +81,69 @@ def memory_boosts(trace: DataFrame, conversation: str, config: Config = DEFAULTS
     )
 
 
-def vector_topk(queries: DataFrame, data: DataFrame, k: int, query_block: int = 1024, data_block: int = 8192, blocks: tuple[int, int] | None = None) -> DataFrame:
+def boosted(ranked: DataFrame, boosts: DataFrame, keys: list[str], config: Config = DEFAULTS) -> DataFrame:
+    """``ranked`` (query, chunk, final, ...) with ``boosts`` (keys, boost) added to ``final``, at most the cap, and ranked again.
+
+    Adds boost (0 where there is none) and replaces final and rank; order: final descending, then the chunk.
+    """
+    capped = F.least(F.lit(config.boost_cap), F.coalesce("boost", F.lit(0.0)))
+    out = ranked.drop("rank").join(boosts, keys, "left").withColumn("boost", capped)
+    out = out.withColumn("final", F.round(F.col("final") + F.col("boost"), 9))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("final").desc(), "chunk")))
+
+
+def vector_topk(queries: DataFrame, data: DataFrame, k: int, by: str | None = None, query_block: int = 1024, data_block: int = 8192, blocks: tuple[int, int] | None = None) -> DataFrame:
     """(query, id, distance, rank): for each of a stated set of queries its k nearest rows of all data, by Euclidean distance.
 
     ``queries`` (query, v) and ``data`` (id, v) are cut into blocks by hash;
     a task compares one block of each and keeps k rows a query, so neither
-    side is broadcast or gathered. Null vectors are left out; vectors of
+    side is broadcast or gathered. With ``by`` (a tenant, say) only rows of
+    the query's own group are compared. Null vectors are left out; vectors of
     another length than the query's are no neighbours; ties go to the
     smaller id.
     """
     queries, data = queries.where("v IS NOT NULL"), data.where("v IS NOT NULL")
     nq, nd = blocks or (max(1, -(-queries.count() // query_block)), max(1, -(-data.count() // data_block)))
+    group = (F.col(by) if by else F.lit(0)).alias("g")
     q = queries.select(
-        F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("db"),
+        group, F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("db"),
         F.lit(True).alias("is_query"), F.col("query").alias("id"), F.col("v").cast("array<double>").alias("v"),
     )
     d = data.select(
-        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(nd)).cast("int").alias("db"),
+        group, F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(nd)).cast("int").alias("db"),
         F.lit(False).alias("is_query"), "id", F.col("v").cast("array<double>").alias("v"),
     )
+    kind = data.schema["id"].dataType.simpleString()
 
     def search(t: pa.Table) -> pa.Table:
-        ids, isq = t.column("id").to_numpy(), t.column("is_query").to_numpy()
-        vs = [np.asarray(v, np.float64) for v in t.column("v").to_pylist()]
-        out: list[tuple] = []
-        for size in {len(v) for v, f in zip(vs, isq, strict=True) if f}:
-            rows = np.array([len(v) == size for v in vs])
-            qi, di = np.flatnonzero(rows & isq), np.flatnonzero(rows & ~isq)
+        ids, isq = np.array(t.column("id").to_pylist()), t.column("is_query").to_numpy()
+        lists = t.column("v").combine_chunks()
+        start, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        size = np.diff(start)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(size[isq]):
+            qi, di = np.flatnonzero((size == n) & isq), np.flatnonzero((size == n) & ~isq)
             if not len(di):
                 continue
             di = di[np.argsort(ids[di])]
-            x = np.stack([vs[i] for i in di])
-            for i in qi:
-                dist = np.round(np.sqrt(((x - vs[i]) ** 2).sum(1)), 9)
-                for j in np.argsort(dist, kind="stable")[:k]:
-                    out.append((ids[i], ids[di[j]], dist[j]))
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"query": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "distance": pa.array(cols[2], pa.float64())})
-
-    found = q.unionByName(d).groupBy("qb", "db").applyInArrow(search, "query bigint, id bigint, distance double")
+            x, y = (flat[start[i][:, None] + np.arange(n)] for i in (qi, di))
+            # squares by a matrix product choose a few rows, whose distances are then computed exactly
+            sx, sy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+            for i in range(0, len(qi), 256):
+                near = sx[i : i + 256, None] + sy - 2 * x[i : i + 256] @ y.T
+                least = np.partition(near, min(k, len(di)) - 1, axis=1)[:, min(k, len(di)) - 1]
+                slack = 1e-7 * (1 + sx[i : i + 256] + sy.max())
+                row, col = np.nonzero(near <= (least + slack)[:, None])
+                dist = np.round(np.sqrt(((x[i + row] - y[col]) ** 2).sum(1)), 9)
+                order = np.lexsort((col, dist, row))
+                row, col, dist = row[order], col[order], dist[order]
+                first = np.concatenate([[True], row[1:] != row[:-1]])
+                top = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)) < k
+                out.append((ids[qi[i + row[top]]], ids[di[col[top]]], dist[top]))
+        cat = [np.concatenate([o[j] for o in out]) if out else [] for j in range(3)]
+        id_type = t.schema.field("id").type
+        return pa.table({"query": pa.array(cat[0], id_type), "id": pa.array(cat[1], id_type), "distance": pa.array(cat[2], pa.float64())})
+
+    found = q.unionByName(d).groupBy("g", "qb", "db").applyInArrow(search, f"query {kind}, id {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

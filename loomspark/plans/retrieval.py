@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.config import DEFAULTS
 from loomspark.functions import text as T
 from loomspark.functions.keys import hex_key
 from loomspark.functions.vectors import cosine
@@ -13,11 +14,11 @@ from loomspark.operators import grounding as G
 from loomspark.operators import lexical as L
 from loomspark.operators import ranking as R
 from loomspark.operators.sync import latest
-from loomspark.plans.text import WS
-from loomspark.session import table
+from loomspark.plans.text import WS, words_sql
+from loomspark.session import stored, table
 
 #: Context sizes that make the budgets bite on short lists.
-CONTEXT_TOKENS = 512
+CONTEXT_TOKENS, CONTEXT_MARGIN = 512, 256
 
 
 def trace(spark: SparkSession, d: str) -> DataFrame:
@@ -70,9 +71,9 @@ def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
 def question_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Lexical overlap of each turn's text with the chunks that were retrieved for it."""
     t = trace(spark, d).select("query", "chunk").distinct()
-    q = turn_texts(spark, d).select("query", T.tokens("question").alias("q")).withColumn("r", R.term_counts(F.col("q")))
-    c = chunk_rows(spark, d).where("text IS NOT NULL").select("chunk", T.tokens("text").alias("t"))
-    return t.join(q, "query").join(c, "chunk").select("query", "chunk", F.round(R.lexical_overlap(F.col("q"), F.col("r"), F.col("t")), 6).alias("overlap"))
+    q = turn_texts(spark, d).select("query", T.tokens("question").alias("terms"))
+    c = chunk_rows(spark, d).where("text IS NOT NULL").select("chunk", T.tokens("text").alias("terms"))
+    return R.term_overlap(t, q, c).withColumn("overlap", F.round("overlap", 6))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -108,14 +109,76 @@ def fts_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fts_rank(spark: SparkSession, d: str) -> DataFrame:
-    """The same matches with their cover-density score."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), _document_text().alias("text"))
-    index = docs.select("key", F.array_distinct(T.tokens("text")).alias("terms"))
+    """The same matches with their cover-density score: titles weigh most, then labels, then texts."""
+    docs = table(spark, d, "documents")
+    index = docs.select(F.col("doc_id").alias("key"), F.array_distinct(T.tokens(_document_text())).alias("terms"))
     q = _titles(spark, d)
-    s = L.cover_rank(L.match_all(q, index), q, docs)
+    labels = F.coalesce(F.array_join("labels", " "), F.lit(""))
+    terms = L.weighted_terms(docs, "doc_id", [("A", T.tokens("title")), ("B", T.tokens(labels)), ("C", T.tokens("text"))])
+    s = L.cover_rank(L.match_all(q, index), q, terms)
     return s.select("query", "key", F.round("score", 6).alias("score"))
 
 
+def _owned(spark: SparkSession, d: str) -> DataFrame:
+    """(tenant, chunk, document, ordinal, title, labels, path, text): chunks with their document, where both belong to one tenant."""
+    t = table(spark, d, "chunks").select(hex_key("chunk_id").alias("chunk"), hex_key("tenant_id").alias("tenant"), "indexed_at", "deleted_at").where("chunk IS NOT NULL")
+    owner = latest(t.distinct(), ["chunk"], F.col("indexed_at").desc_nulls_last(), F.col("deleted_at").desc_nulls_first()).select("chunk", "tenant")
+    docs = table(spark, d, "documents").select(
+        hex_key("document_id").alias("document"), hex_key("tenant_id").alias("tenant"), "doc_id", "title", F.coalesce(F.array_join("labels", " "), F.lit("")).alias("labels")
+    )
+    docs = docs.where("document IS NOT NULL AND tenant IS NOT NULL").groupBy("document", "tenant").agg(
+        F.min("doc_id").alias("doc_id"), F.min_by("title", "doc_id").alias("title"), F.min_by("labels", "doc_id").alias("labels")
+    )
+    return chunk_rows(spark, d).where("text IS NOT NULL").join(owner, "chunk").join(docs, ["document", "tenant"])
+
+
+def _fetched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(query, chunk, lex, vec) and the chunks they come from: the union of the best lexical and vector candidates of each question, in its own tenant.
+
+    Questions are the titles of all documents whose id is divisible by 50,
+    with the vector of their first chunk that has one. The tenant is part of
+    every key that a question and a chunk meet in.
+    """
+    owned = stored(_owned(spark, d), "owned")
+    vectors = owned.select("tenant", "chunk", "document", "ordinal", "doc_id").join(_vectors(spark, d), "chunk")
+    asked = owned.where("doc_id % 50 = 0").groupBy("doc_id", "tenant").agg(F.min("title").alias("title")).select(
+        F.col("doc_id").alias("query"), "tenant", F.array_distinct(T.tokens("title")).alias("terms")
+    )
+    scoped = lambda terms: F.transform(terms, lambda t: F.concat_ws("/", "tenant", t))
+    q = asked.where(F.size("terms") > 0).select("query", scoped(F.col("terms")).alias("terms"))
+    parts = [("A", scoped(T.tokens("title"))), ("B", scoped(T.tokens("labels"))), ("B", scoped(T.tokens(F.coalesce("path", F.lit(""))))), ("C", scoped(T.tokens("text")))]
+    index = owned.select(F.col("chunk").alias("key"), F.array_distinct(F.concat(*(p for _, p in parts))).alias("terms"))
+    lexical = L.cover_rank(L.match_all(q, index), q, L.weighted_terms(owned, "chunk", parts))
+    top = F.row_number().over(Window.partitionBy("query").orderBy(F.round("score", 9).desc(), "key"))
+    lexical = lexical.withColumn("_r", top).where(F.col("_r") <= DEFAULTS.fetch_lexical).select("query", F.col("key").alias("chunk"), F.col("score").alias("lex"))
+    first = vectors.where("doc_id % 50 = 0").groupBy(F.col("doc_id").alias("query"), "tenant").agg(F.min_by("v", F.struct("ordinal", "chunk")).alias("v"))
+    # a query is known by its number, a row by its chunk; both are strings in the search
+    near = R.vector_topk(first.withColumn("query", F.col("query").cast("string")), vectors.select(F.col("chunk").alias("id"), "tenant", "v"), DEFAULTS.fetch_vector, by="tenant")
+    near = near.select(F.col("query").cast("bigint").alias("query"), F.col("id").alias("chunk"), (1 / (1 + F.col("distance"))).alias("vec"))
+    return lexical.join(near, ["query", "chunk"], "full"), vectors.select("chunk", "document", "ordinal", "tenant")
+
+
+def candidate_fetch(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid candidates of each question within its tenant: lexical and vector search, united, hydrated and ranked."""
+    both, hydrated = _fetched(spark, d)
+    r = R.hybrid_rank(both.join(hydrated, "chunk"), "query", "chunk", "lex", "vec")
+    return r.select(
+        "query", "tenant", "chunk", "document", "ordinal", F.round(F.coalesce("lex", F.lit(0.0)), 6).alias("lex"), F.round(F.coalesce("vec", F.lit(0.0)), 6).alias("vec"),
+        F.round("final", 6).alias("final"),
+    )
+
+
+def boosted_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each turn with what recent use of the same chunk in the conversation adds, ranked again."""
+    t = trace(spark, d)
+    b = _boosts(t)
+    # a chunk that turns of a conversation cite under several documents has its boost under each
+    where = t.where("conversation IS NOT NULL").groupBy("query", "chunk").agg(F.min("conversation").alias("conversation"), F.min("cited_document").alias("document"))
+    r = ranked(spark, d).select("query", "chunk", "final", "rank").join(where, ["query", "chunk"], "left")
+    out = R.boosted(r, b, ["conversation", "document", "chunk"])
+    return out.select("query", "chunk", F.round("boost", 6).alias("boost"), F.round("final", 6).alias("final"), "rank")
+
+
 def fts_postings(spark: SparkSession, d: str) -> DataFrame:
     """Documents and occurrences of each term in titles (A), labels (B) and texts (C)."""
     p = L.postings(
@@ -177,12 +240,29 @@ def redundancy_filter(spark: SparkSession, d: str) -> DataFrame:
     return C.redundancy_filter(rows.select("query", "chunk", "score", "hash", "path", "v"))
 
 
-def memory_boosts(spark: SparkSession, d: str) -> DataFrame:
-    """What recently used chunks of a conversation are worth."""
-    t = trace(spark, d).where("conversation IS NOT NULL AND at IS NOT NULL").select(
+def _boosts(t: DataFrame) -> DataFrame:
+    t = t.where("conversation IS NOT NULL AND at IS NOT NULL").select(
         "conversation", F.col("cited_document").alias("document"), "chunk", "used", "at", F.concat_ws("/", "query", F.lpad(F.col("pos").cast("string"), 6, "0"), "chunk").alias("tie")
     )
-    return R.memory_boosts(t, "conversation").withColumn("boost", F.round("boost", 6))
+    return R.memory_boosts(t, "conversation")
+
+
+def memory_boosts(spark: SparkSession, d: str) -> DataFrame:
+    """What recently used chunks of a conversation are worth."""
+    return _boosts(trace(spark, d)).withColumn("boost", F.round("boost", 6))
+
+
+def expand_doc_neighbour(spark: SparkSession, d: str) -> DataFrame:
+    """The best candidates of each turn, with the neighbours of the best one of each chosen document."""
+    c = chunk_rows(spark, d).where("document IS NOT NULL AND ordinal IS NOT NULL").select("chunk", "document", "ordinal")
+    return C.expanded_by_document(_anchored(spark, d), c).withColumn("score", F.round("score", 6))
+
+
+def context_with_margin(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each turn's candidates in a context of few tokens with a margin: dropped, kept, cut."""
+    c = chunk_rows(spark, d).where("text IS NOT NULL").select("chunk", "text")
+    rows = ranked(spark, d).select("query", "chunk", F.col("final").alias("score")).join(c, "chunk")
+    return C.context_log(rows, C.assembled_context(rows, CONTEXT_TOKENS, CONTEXT_MARGIN))
 
 
 def citation_grounding(spark: SparkSession, d: str) -> DataFrame:
@@ -220,7 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         candidate_scores, hybrid_rank, question_overlap, vector_topk, topic_resets, fts_match, fts_rank, fts_postings, neighbour_chunks, expanded_context,
-        context_budget, budget_select, redundancy_filter, memory_boosts, citation_grounding, answer_support, missing_vectors, hydrated_counts,
+        candidate_fetch, boosted_rank, expand_doc_neighbour, context_with_margin, context_budget, budget_select, redundancy_filter, memory_boosts, citation_grounding, answer_support, missing_vectors, hydrated_counts,
     )
 }
 
@@ -285,6 +365,29 @@ vectors AS MATERIALIZED (
   QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY updated_at DESC NULLS LAST, v DESC) = 1)"""
 _DOCTEXT = "concat_ws(' ', title, array_to_string(labels, ' '), text)"
 
+
+
+def cover_sql(matches: str) -> str:
+    """CTEs from ``hits0`` (query, key, pos, term, w) of the relation ``matches`` (query, key, n) to ``covers`` (query, key, score)."""
+    return f"""
+hits AS MATERIALIZED (
+  SELECT h.*, m.n, row_number() OVER k AS at, sum(CAST(1 AS DOUBLE) / w) OVER k AS inv
+  FROM hits0 h JOIN {matches} m ON m.query = h.query AND m.key = h.key WINDOW k AS (PARTITION BY h.query, h.key ORDER BY pos)),
+latest AS (
+  SELECT h.query, h.key, h.pos, h.n, l.term, max(l.pos) AS last FROM hits h JOIN hits l ON h.query = l.query AND h.key = l.key AND l.pos <= h.pos GROUP BY ALL),
+ends AS (SELECT query, key, pos, min(last) AS begun FROM latest GROUP BY query, key, pos, n HAVING count(*) = n),
+cover AS (SELECT query, key, begun, min(pos) AS ended FROM ends GROUP BY ALL),
+covers AS (
+  SELECT c.query, c.key, sum((b.at - a.at + 1) / (b.inv - a.inv + 1 / a.w) / (1 + (c.ended - c.begun) - (b.at - a.at))) AS score
+  FROM cover c JOIN hits a ON a.query = c.query AND a.key = c.key AND a.pos = c.begun JOIN hits b ON b.query = c.query AND b.key = c.key AND b.pos = c.ended GROUP BY ALL)"""
+
+
+def positions_sql(relation: str, parts: list[tuple[float, str]]) -> str:
+    """SELECT key, pos, term, w of the parts (weight, array of terms) of a relation with a key, one after the other."""
+    terms = " || ".join(f"[{{'term': t, 'w': CAST({w} AS DOUBLE)}} FOR t IN {e}]" for w, e in parts)
+    return f"SELECT key, i - 1 AS pos, z[i].term AS term, z[i].w AS w FROM (SELECT key, z, unnest(range(1, len(z) + 1)) AS i FROM (SELECT key, {terms} AS z FROM {relation}))"
+
+
 SQL = {
     "candidate_scores": f"WITH {_TRACE}, {_CAND} SELECT * FROM cand",
     "hybrid_rank": f"WITH {_TRACE}, {_CAND}, {_RANK} SELECT query, chunk, round(lex_norm, 6) AS lex_norm, round(vec_norm, 6) AS vec_norm, round(final, 6) AS final, rank FROM ranked",
@@ -307,6 +410,81 @@ FROM (SELECT a.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAS
 WITH q AS (SELECT doc_id AS query, list_distinct({tokens_sql("title")}) AS terms FROM documents WHERE doc_id % 50 = 0 AND len({tokens_sql("title")}) > 0),
 i AS MATERIALIZED (SELECT doc_id AS key, list_distinct({tokens_sql(_DOCTEXT)}) AS terms FROM documents)
 SELECT query, key FROM q JOIN i ON list_has_all(i.terms, q.terms)""",
+    "fts_rank": f"""
+WITH q AS (SELECT doc_id AS query, list_distinct({tokens_sql("title")}) AS terms FROM documents WHERE doc_id % 50 = 0 AND len({tokens_sql("title")}) > 0),
+d AS MATERIALIZED (SELECT doc_id AS key, {tokens_sql("title")} AS a, {tokens_sql("array_to_string(labels, ' ')")} AS b, {tokens_sql("text")} AS c FROM documents),
+m AS MATERIALIZED (SELECT query, key, len(q.terms) AS n, q.terms FROM q JOIN d ON list_has_all(a || b || c, q.terms)),
+p AS ({positions_sql("d WHERE key IN (SELECT key FROM m)", [(1.0, "a"), (0.4, "b"), (0.2, "c")])}),
+hits0 AS (SELECT m.query, p.* FROM m JOIN p ON p.key = m.key AND list_contains(m.terms, p.term)), {cover_sql("m")}
+SELECT query, key, round(score, 6) AS score FROM covers""",
+    "candidate_fetch": f"""
+WITH {_CHUNKS}, {_VECTORS},
+owner AS (
+  SELECT chunk, tenant FROM (SELECT {hex_sql("chunk_id")} AS chunk, {hex_sql("tenant_id")} AS tenant, indexed_at, deleted_at FROM chunks WHERE trim(chunk_id) <> '')
+  QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY indexed_at DESC NULLS LAST, deleted_at DESC NULLS FIRST) = 1),
+docs AS (
+  SELECT document, tenant, min(doc_id) AS doc_id, arg_min(title, doc_id) AS title, arg_min(labels, doc_id) AS labels
+  FROM (SELECT {hex_sql("document_id")} AS document, {hex_sql("tenant_id")} AS tenant, doc_id, title, coalesce(array_to_string(labels, ' '), '') AS labels FROM documents)
+  WHERE document IS NOT NULL AND tenant IS NOT NULL GROUP BY 1, 2),
+owned AS MATERIALIZED (
+  SELECT c.*, o.tenant, d.doc_id, d.title, d.labels FROM chunk_rows c JOIN owner o ON o.chunk = c.chunk JOIN docs d ON d.document = c.document AND d.tenant = o.tenant WHERE c.text IS NOT NULL),
+q AS MATERIALIZED (SELECT doc_id AS query, tenant, list_distinct({tokens_sql("min(title)")}) AS terms FROM owned WHERE doc_id % 50 = 0 GROUP BY doc_id, tenant),
+d AS MATERIALIZED (SELECT chunk AS key, tenant, {tokens_sql("title")} AS a, {tokens_sql("labels")} AS b, {tokens_sql("coalesce(path, '')")} AS b2, {tokens_sql("text")} AS c FROM owned),
+m AS MATERIALIZED (SELECT query, key, len(q.terms) AS n, q.terms FROM q JOIN d ON d.tenant = q.tenant AND len(q.terms) > 0 AND list_has_all(a || b || b2 || c, q.terms)),
+p AS ({positions_sql("d WHERE key IN (SELECT key FROM m)", [(1.0, "a"), (0.4, "b"), (0.4, "b2"), (0.2, "c")])}),
+hits0 AS (SELECT m.query, p.* FROM m JOIN p ON p.key = m.key AND list_contains(m.terms, p.term)), {cover_sql("m")},
+lexical AS (SELECT query, key AS chunk, score AS lex FROM covers QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, key) <= 20),
+hydrated AS MATERIALIZED (SELECT o.tenant, o.chunk, o.document, o.ordinal, o.doc_id, v.v FROM owned o JOIN vectors v ON v.chunk = o.chunk),
+first AS (SELECT doc_id AS query, tenant, v FROM hydrated WHERE doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY doc_id, tenant ORDER BY ordinal NULLS FIRST, chunk) = 1),
+near AS (
+  SELECT f.query, h.chunk, round(list_distance(CAST(f.v AS DOUBLE[]), CAST(h.v AS DOUBLE[])), 9) AS distance FROM first f JOIN hydrated h ON h.tenant = f.tenant),
+vec AS (SELECT query, chunk, 1 / (1 + distance) AS vec FROM near QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, chunk) <= 20),
+cand AS (
+  SELECT query, chunk, lex, vec, h.tenant, h.document, h.ordinal
+  FROM (SELECT coalesce(l.query, v.query) AS query, coalesce(l.chunk, v.chunk) AS chunk, lex, vec FROM lexical l FULL JOIN vec v ON v.query = l.query AND v.chunk = l.chunk) u
+  JOIN hydrated h USING (chunk)), {_RANK}
+SELECT query, tenant, chunk, document, ordinal, round(coalesce(lex, 0), 6) AS lex, round(coalesce(vec, 0), 6) AS vec, round(final, 6) AS final FROM ranked""",
+    "boosted_rank": f"""
+WITH {_TRACE}, {_CAND}, {_RANK},
+n AS (SELECT conversation, cited_document AS document, chunk, used,
+             row_number() OVER (PARTITION BY conversation ORDER BY made DESC, concat_ws('/', query, lpad(CAST(pos AS VARCHAR), 6, '0'), chunk)) - 1 AS r
+      FROM trace WHERE conversation IS NOT NULL AND made IS NOT NULL),
+boosts AS (
+  SELECT conversation, document, chunk, max(CAST(0.12 AS DOUBLE) * greatest(CAST(0.3 AS DOUBLE), 1 - CAST(0.2 AS DOUBLE) * r)) AS boost FROM n WHERE used AND r < 20 GROUP BY 1, 2, 3),
+place AS (SELECT query, chunk, min(conversation) AS conversation, min(cited_document) AS document FROM trace WHERE conversation IS NOT NULL GROUP BY 1, 2),
+b AS (
+  SELECT r.query, r.chunk, least(CAST(0.12 AS DOUBLE), coalesce(x.boost, 0)) AS boost, round(r.final + least(CAST(0.12 AS DOUBLE), coalesce(x.boost, 0)), 9) AS final
+  FROM ranked r LEFT JOIN place p ON p.query = r.query AND p.chunk = r.chunk
+  LEFT JOIN boosts x ON x.conversation = p.conversation AND x.document = p.document AND x.chunk = r.chunk)
+SELECT query, chunk, round(boost, 6) AS boost, round(final, 6) AS final, row_number() OVER (PARTITION BY query ORDER BY b.final DESC, chunk) AS rank FROM b""",
+    "expand_doc_neighbour": f"""
+WITH {_TRACE}, {_CAND}, {_RANK}, {_CHUNKS}, {_ANCHORED},
+base AS (SELECT * FROM anchored WHERE rank <= 8),
+best AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY query, document ORDER BY score DESC, ordinal, chunk) = 1),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, document) AS document_rank FROM best QUALIFY document_rank <= 4),
+near AS (
+  SELECT b.query, c.chunk, c.document, c.ordinal, b.score * CAST(0.92 AS DOUBLE) AS score, b.document_rank
+  FROM chosen b JOIN chunk_rows c ON c.document = b.document AND c.ordinal BETWEEN b.ordinal - 1 AND b.ordinal + 1
+  WHERE (b.query, c.chunk) NOT IN (SELECT query, chunk FROM base)),
+few AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query, document ORDER BY ordinal, chunk) <= 6),
+added AS (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY query ORDER BY document_rank, ordinal, chunk) <= 12)
+SELECT b.query, b.chunk, b.document, b.ordinal, round(b.score, 6) AS score, TRUE AS is_base, c.document_rank
+FROM base b LEFT JOIN chosen c ON c.query = b.query AND c.document = b.document
+UNION ALL SELECT query, chunk, document, ordinal, round(score, 6), FALSE, document_rank FROM added""",
+    "context_with_margin": f"""
+WITH {_TRACE}, {_CAND}, {_RANK}, {_CHUNKS},
+s AS (SELECT r.query, r.chunk, r.final AS score, {words_sql("c.text")} AS w FROM ranked r JOIN chunk_rows c ON c.chunk = r.chunk WHERE c.text IS NOT NULL),
+t AS (SELECT *, greatest(1, CAST(round_even(w * CAST(1.33 AS DOUBLE), 0) AS INT)) AS tokens FROM s),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY query ORDER BY score DESC, chunk DESC ROWS UNBOUNDED PRECEDING) <= {CONTEXT_TOKENS - CONTEXT_MARGIN} AS fits,
+               row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS b FROM t),
+f AS (SELECT *, b = 1 AND NOT bool_or(fits) OVER (PARTITION BY query) AS cut FROM run),
+-- a text that is cut keeps its first words and a mark of one word
+c AS (SELECT *, CASE WHEN cut THEN least(w, {int((CONTEXT_TOKENS - CONTEXT_MARGIN) / 1.33)} + 1) ELSE w END AS w2 FROM f),
+e AS (SELECT *, greatest(1, CAST(round_even(w2 * CAST(1.33 AS DOUBLE), 0) AS INT)) AS tokens2 FROM c)
+SELECT query, count(*) AS n_before, count(*) - count(CASE WHEN fits AND NOT cut THEN 1 END) AS n_dropped, sum(tokens) AS initial_tokens,
+       sum(CASE WHEN fits OR cut THEN tokens2 END) AS final_tokens, greatest(0, sum(tokens) - sum(CASE WHEN fits OR cut THEN tokens2 END)) AS trimmed_tokens,
+       sum(w) AS words_before, sum(CASE WHEN fits OR cut THEN w2 END) AS words_after, bool_or(cut) AS truncated
+FROM e GROUP BY query""",
     "fts_postings": f"""
 SELECT term, part, count(DISTINCT doc_id) AS n_documents, count(*) AS n_occurrences FROM (
   SELECT doc_id, 'A' AS part, unnest({tokens_sql("title")}) AS term FROM documents

@@ -114,8 +114,69 @@ def test_match_all_and_cover(spark):
     index = docs.select("key", F.array_distinct(T.tokens("text")).alias("terms"))
     m = lexical.match_all(q, index)
     assert sorted((r["query"], r["key"]) for r in m.collect()) == [(10, 1), (10, 2)]
-    s = {r["key"]: r["score"] for r in lexical.cover_rank(m, q, docs).collect()}
-    assert s[1] == 1.0 and s[2] == 2 / 5
+    s = {r["key"]: r["score"] for r in lexical.cover_rank(m, q, lexical.weighted_terms(docs, "key", [("A", T.tokens("text"))])).collect()}
+    assert s[1] == 1.0 and s[2] == 1 / 4
+
+
+def brute_covers(terms, words, weights):
+    """Postgres-like cover density: all minimal stretches that hold every term."""
+    score, hits = 0.0, [i for i, w in enumerate(words) if w in terms]
+    for a in hits:
+        for b in hits:
+            inside = [i for i in hits if a <= i <= b]
+            smaller = ({words[i] for i in inside[1:]}, {words[i] for i in inside[:-1]})
+            if {words[i] for i in inside} == set(terms) and all(x != set(terms) for x in smaller):
+                score += len(inside) / sum(1 / weights[i] for i in inside) / (1 + (b - a) - (len(inside) - 1))
+    return score
+
+
+def test_cover_density_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.choice("abcx") for _ in range(rng.randrange(1, 4))], [rng.choice("abcxyz") for _ in range(rng.randrange(3, 14))]) for k in range(60)]
+    docs = spark.createDataFrame(rows, "key int, title array<string>, text array<string>")
+    queries = [(0, ["a"]), (1, ["a", "b"]), (2, ["c", "a", "x"])]
+    q = spark.createDataFrame(queries, "query int, terms array<string>")
+    m = lexical.match_all(q, docs.select("key", F.array_distinct(F.concat("title", "text")).alias("terms")))
+    got = lexical.cover_rank(m, q, lexical.weighted_terms(docs, "key", [("A", F.col("title")), ("C", F.col("text"))])).collect()
+    assert len(got) > 40
+    for r in got:
+        _, title, text = rows[r["key"]]
+        want = brute_covers(dict(queries)[r["query"]], title + text, [1.0] * len(title) + [0.2] * len(text))
+        assert abs(r["score"] - want) < 1e-9
+
+
+def test_vector_topk_keeps_groups_apart(spark):
+    rng = random.Random(6)
+    rows = [(f"c{i}", "t1" if i % 3 else "t2", [rng.random() for _ in range(5)]) for i in range(200)]
+    data = spark.createDataFrame(rows, "id string, tenant string, v array<double>")
+    q = data.where("id IN ('c0', 'c1')").withColumnRenamed("id", "query")
+    got = {}
+    for r in ranking.vector_topk(q, data, 4, by="tenant", blocks=(2, 3)).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["id"])
+    for k in ("c0", "c1"):
+        _, t, v = next(r for r in rows if r[0] == k)
+        want = sorted((round(sum((a - b) ** 2 for a, b in zip(v, w)) ** 0.5, 9), i) for i, u, w in rows if u == t)[:4]
+        assert got[k] == [i for _, i in want]
+
+
+def test_expansion_by_document_and_context(spark):
+    chunks = spark.createDataFrame([(f"{d}{i}", d, i) for d in "abcde" for i in range(9)], "chunk string, document string, ordinal int")
+    ranked = spark.createDataFrame([("q", "a4", "a", 4, 0.9, 1), ("q", "a5", "a", 5, 0.8, 2), ("q", "b0", "b", 0, 0.8, 3), ("q", "c8", "c", 8, 0.1, 4)], "query string, chunk string, document string, ordinal int, score double, rank int")
+    got = {r["chunk"]: (r["is_base"], r["document_rank"], round(r["score"], 6)) for r in context.expanded_by_document(ranked, chunks).collect()}
+    assert got == {"a4": (True, 1, 0.9), "a5": (True, 1, 0.8), "b0": (True, 2, 0.8), "c8": (True, 3, 0.1), "a3": (False, 1, 0.828), "b1": (False, 2, 0.736), "c7": (False, 3, 0.092)}
+    few = context.Config(expansion_docs=2, extra_total=1)
+    assert {r["chunk"] for r in context.expanded_by_document(ranked, chunks, few).collect() if not r["is_base"]} == {"a3"}
+    rows = spark.createDataFrame([("q", "x", 0.9, "w " * 300), ("q", "y", 0.1, "w " * 20), ("p", "z", 0.5, "v " * 50)], "query string, chunk string, score double, text string")
+    c = context.assembled_context(rows, 120, 20)
+    assert sorted((r["query"], r["chunk"], r["truncated"]) for r in c.collect()) == [("p", "z", False), ("q", "x", True)]
+    log = {r["query"]: r for r in context.context_log(rows, c).collect()}
+    assert log["q"]["n_dropped"] == 2 and log["q"]["initial_tokens"] == 399 + 27 and log["p"]["n_dropped"] == 0 and log["p"]["words_after"] == 50
+
+
+def test_boosts_are_capped_and_rank_again(spark):
+    r = spark.createDataFrame([("q", "a", 0.5, 1), ("q", "b", 0.45, 2), ("q", "c", 0.1, 3)], "query string, chunk string, final double, rank int")
+    b = spark.createDataFrame([("b", 0.12), ("c", 0.5)], "chunk string, boost double")
+    assert [(x["chunk"], x["final"], x["boost"]) for x in ranking.boosted(r, b, ["chunk"]).orderBy("rank").collect()] == [("b", 0.57, 0.12), ("a", 0.5, 0.0), ("c", 0.22, 0.12)]
 
 
 def test_neighbours_take_the_nearest_anchor(spark):
@@ -239,7 +300,9 @@ def test_merge_into_is_idempotent(spark, tmp_path):
 def test_lexical_overlap_counts_repeats(spark):
     rng = random.Random(8)
     rows = [([rng.choice("abcd") for _ in range(rng.randrange(0, 7))], [rng.choice("abcde") for _ in range(rng.randrange(0, 9))]) for _ in range(80)]
-    df = spark.createDataFrame(rows, "q array<string>, t array<string>").withColumn("r", ranking.term_counts(F.col("q")))
-    for r in df.withColumn("o", ranking.lexical_overlap(F.col("q"), F.col("r"), F.col("t"))).collect():
-        want = sum(min(r["q"].count(x), r["t"].count(x)) for x in set(r["q"])) / max(1, len(set(r["q"])))
-        assert r["o"] == want
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "query int, q array<string>, t array<string>").withColumn("chunk", F.col("query"))
+    got = ranking.term_overlap(df.select("query", "chunk"), df.select("query", F.col("q").alias("terms")), df.select("chunk", F.col("t").alias("terms"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        q, t = rows[r["query"]]
+        assert r["overlap"] == sum(min(q.count(x), t.count(x)) for x in set(q)) / max(1, len(set(q)))

@@ -100,6 +100,56 @@ def stable_id(*parts: Column | str) -> Column:
     return F.concat_ws("-", *cut)
 
 
+def iso_timestamp(c: Column | str) -> Column:
+    """A timestamp from ISO-8601 text, with Z or an offset (UTC without either); null for anything else."""
+    s = strip(c)
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(s))
+
+
+def iso_text(c: Column | str) -> Column:
+    """ISO-8601 text of a timestamp in UTC (of the session's zone), to microseconds; the empty string for null."""
+    return F.coalesce(F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.lit(""))
+
+
+def epoch_timestamp(c: Column | str) -> Column:
+    """A timestamp from seconds since 1970, fractions included."""
+    return F.timestamp_micros((col(c) * 1_000_000).cast("bigint"))
+
+
+def etag_checksum(c: Column | str) -> Column:
+    """The checksum that an ETag states: 32 hexadecimal digits, in lower case and without quotes; null for any other, as of uploads in parts."""
+    tag = F.lower(F.regexp_replace(strip(c), '^"|"$', ""))
+    return F.when(tag.rlike("^[0-9a-f]{32}$"), tag)
+
+
+def error_text(c: Column | str, length: int = 512) -> Column:
+    """The first characters of an error message; null for empty and blank ones."""
+    s = strip(c)
+    return F.when(s != "", F.substring(s, 1, length))
+
+
+def first_json_object(c: Column | str) -> Column:
+    """From the first { to the last } of a text, if that is a JSON object; else the empty object."""
+    inner = F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(inner).isNotNull() & (inner != ""), inner).otherwise(F.lit("{}"))
+
+
+def json_errors(c: Column | str, fields: dict[str, str]) -> Column:
+    """What a JSON object lacks, one error a field: "f: missing" or "f: not a <kind>"; ``fields`` name kinds as Spark's types (string, double, boolean, ...)."""
+    shape = ", ".join(f"`{f}` {kind}" for f, kind in fields.items())
+    typed = F.from_json(col(c), shape, {"mode": "PERMISSIVE"})
+    there = F.coalesce(F.json_object_keys(col(c)), F.array().cast("array<string>"))
+    wrong = [
+        F.when(~F.array_contains(there, f), F.lit(f"{f}: missing")).when(typed[f].isNull(), F.lit(f"{f}: not a {kind}")) for f, kind in fields.items()
+    ]
+    return F.array_compact(F.array(*wrong))
+
+
+def vector_literal(c: Column | str) -> Column:
+    """A vector as text with eight decimals, as vector databases read it."""
+    return F.concat(F.lit("["), F.array_join(F.transform(col(c), lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+
+
 def as_labels(c: Column | str) -> Column:
     """Labels from null, a JSON list, or any other text, which is one label."""
     s = col(c)

@@ -1,13 +1,18 @@
 """Markdown as rows of lines: normalising, structural blocks and chunks.
 
 Lines are exploded; fences, tables and blocks are runs of lines, found with
-window functions over the document; no document is parsed in Python. A
-document's lines stay together in one window partition, which sorts and
-spills like any other.
+window functions over the document, which sort and spill like any other. What
+depends on all that came before (the headings above a block, which chunk it
+goes to) is walked: the blocks of a document, numbers and headings only, are
+streamed in order through a task, which holds the open chunk and no more. All
+is linear in the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +21,24 @@ from loomspark.functions.unicode import SPACE, strip, token_count
 from loomspark.session import stored
 
 
+#: Characters that end a line once \\r\\n and \\r are \\n (fixed values).
+BREAKS = r"\n\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}"
+
+
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, t, at): the lines with the code point each starts at, line ends made \\n. Null and empty texts have none."""
+    """(key, line, t): the lines without their ends, which are \\n, \\r\\n or \\r. Null and empty texts have none."""
     parts = F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), "\n")
+    return df.where(F.col(text) != "").select(F.col(key), F.posexplode(parts).alias("line", "t"))
+
+
+def whole_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, t, at): the lines with their ends, any of BREAKS, and the code point each starts at, \\r\\n and \\r made \\n."""
+    parts = F.split(F.regexp_replace(text, r"\r\n|\r", "\n"), f"(?<=[{BREAKS}])")
     along = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.where(F.col(text) != "")
-        .select(F.col(key), F.posexplode(parts).alias("line", "t"))
-        .withColumn("at", F.coalesce(F.sum(F.length("t") + 1).over(along), F.lit(0)))
+        df.select(F.col(key), F.posexplode(parts).alias("line", "t"))
+        .where(F.col("t") != "")
+        .withColumn("at", F.coalesce(F.sum(F.length("t")).over(along), F.lit(0)))
     )
 
 
@@ -56,7 +71,7 @@ def typed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     along = Window.partitionBy(key).orderBy("line")
     ws = SPACE
     cell = rf"(?:[{ws}]*:?-{{3,}}:?[{ws}]*|[{ws}]*)"
-    rows = fenced(lines(df, key, text), key)
+    rows = fenced(whole_lines(df, key, text), key)
     rows = rows.withColumn("is_sep", (F.col("pipes") > 0) & F.col("s").rlike(rf"^[|]*{cell}(?:[|]{cell})*$"))
     piped = (F.col("pipes") >= 2) & ~F.col("code")
     next_sep = F.coalesce(F.lead(F.col("is_sep") & ~F.col("code")).over(along), F.lit(False))
@@ -85,21 +100,11 @@ def typed_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("_o", opens.cast("int")).withColumn("b", F.sum("_o").over(along))
 
 
-def heading_paths(rows: DataFrame, key: str) -> DataFrame:
-    """(key, line, path): the headings above each heading line; a heading of level n replaces those from the n-th on."""
-    level = F.length(F.regexp_extract("s", "^(#+)", 1))
-    heads = rows.where("kind = 'heading'").select(
-        key, "line", F.struct("line", level.alias("level"), strip(F.regexp_replace("s", "^#+", "")).alias("title")).alias("h")
-    )
-    upto = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    fold = lambda acc, h: F.concat(F.slice(acc, F.lit(1), h["level"] - 1), F.array(h["title"]))
-    return heads.withColumn("hs", F.collect_list("h").over(upto)).select(
-        key, "line", F.aggregate("hs", F.array().cast("array<string>"), fold).alias("path")
-    )
-
-
 def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, block, kind, line_from, line_to, char_start, char_end, tokens): runs of lines of one kind, blank lines and headings left out."""
+    """(key, block, kind, line_from, line_to, char_start, char_end, tokens): runs of lines of one kind, blank lines and headings left out.
+
+    A block ends where the next line starts: its offsets take in the end of its last line.
+    """
     return _blocks(typed_lines(df, key, text).withColumns({"w": F.length("t"), "n": token_count("t")}), key)
 
 
@@ -116,122 +121,139 @@ def _blocks(typed: DataFrame, key: str) -> DataFrame:
 
 
 def chunks(df: DataFrame, key: str, text: str, config: Config = DEFAULTS) -> DataFrame:
-    """(key, ordinal, kind, heading_path, char_start, char_end, tokens): blocks packed up to the target, larger blocks split.
+    """(key, ordinal, kind, heading_path, char_start, char_end, tokens, block_from, block_to): blocks packed up to the target, larger blocks split.
 
     A chunk is closed when it reaches the target, or when the next block
     would take it over the maximum and it has the minimum. Code is never
     split; tables, lists and quotes are split between lines; of paragraphs
     windows of the maximum with overlap are made. Offsets are code points of
-    the text with \\n line ends.
+    the text with \\n line ends; a chunk's text lies between them.
     """
-    # four steps below read the lines; they are typed once
+    # three steps below read the lines; they are typed once
     typed = stored(
         typed_lines(df, key, text).select(key, "line", "at", "kind", "b", F.length("t").alias("w"), token_count("t").alias("n"), F.when(F.col("kind") == "heading", F.col("s")).alias("s")),
         "markdown-lines",
     )
-    heads = heading_paths(typed, key).select(F.col(key).alias("_k"), F.col("line").alias("_h"), "path")
-    b = _blocks(typed, key)
-    above = F.max(F.when(F.col("_head"), F.col("line"))).over(Window.partitionBy(key).orderBy("line"))
-    marks = typed.select(key, "line", (F.col("kind") == "heading").alias("_head")).withColumn("_h", above)
-    b = (
-        b.join(marks.select(F.col(key).alias("_k2"), F.col("line").alias("_l2"), "_h"), (F.col(key) == F.col("_k2")) & (F.col("line_from") == F.col("_l2")))
-        .drop("_k2", "_l2")
-        .alias("b")
-        .join(heads.alias("h"), (F.col(key) == F.col("h._k")) & (F.col("b._h") == F.col("h._h")), "left")
-        .select("b.*", F.coalesce("h.path", F.array().cast("array<string>")).alias("path"))
-        .drop("_h")
+    b = stored(_placed(typed, key, config), "markdown-blocks")
+    big = b.where(F.col("tokens") > config.chunk_max)
+    return _ordered(_packed(b, key, config).unionByName(_windows(big, df, key, text, config)).unionByName(_lines_packed(big, typed, key, config)), key)
+
+
+def _streamed(rows: DataFrame, by: list[str], order: str, start: Callable, step: Callable, out: str, add: str) -> DataFrame:
+    """``rows`` in order within each group, with what ``step(state, row)`` gives for each as (new state, value or None); rows with None are left out.
+
+    The rows are spread by the first column of ``by`` and streamed; a task holds one state.
+    """
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state = object(), None
+        for pdf in batches:
+            values = []
+            for row in pdf.itertuples(index=False):
+                mine = tuple(getattr(row, c) for c in by)
+                if mine != group:
+                    group, state = mine, start()
+                state, value = step(state, row)
+                values.append(value)
+            pdf[out] = values
+            yield pdf[pdf[out].notna()]
+
+    return rows.repartition(by[0]).sortWithinPartitions(*by, order).mapInPandas(walk, f"{fields}, {add}")
+
+
+def _placed(typed: DataFrame, key: str, config: Config) -> DataFrame:
+    """The blocks with the headings above them and the chunk that each goes to: (c, path). A block above the maximum stands alone.
+
+    A heading of level n replaces those from the n-th on.
+    """
+    level = F.length(F.regexp_extract("s", "^(#+)", 1))
+    heads = typed.where("kind = 'heading'").select(
+        F.col(key).alias("key"), F.col("line").alias("line_from"), level.alias("level"), strip(F.regexp_replace("s", "^#+", "")).alias("title")
     )
-    small = _packed(b, key, config)
-    return _ordered(small.unionByName(_windows(b, df, key, text, config)).unionByName(_lines_packed(b, typed, key, config)), key)
+    b = _blocks(typed, key).withColumnRenamed(key, "key").withColumns({"level": F.lit(0), "title": F.lit(None).cast("string")})
+    zero = {c: F.lit(0).cast(b.schema[c].dataType) for c in ("block", "line_to", "char_start", "char_end", "tokens")}
+    heads = heads.withColumns(zero | {"kind": F.lit("heading"), "b": F.lit(0).cast(b.schema["b"].dataType)})
+    most, least, target = config.chunk_max, config.chunk_min, config.chunk_target
+
+    def step(state, row):
+        path, c, n = state
+        if row.level:
+            return ([*path[: row.level - 1], row.title], c, n), None
+        big = row.tokens > most
+        if n and (big or (n + row.tokens > most and n >= least)):
+            c, n = c + 1, 0
+        mine, n = c, n + row.tokens
+        if big or n >= target:
+            c, n = c + 1, 0
+        return (path, c, n), {"c": mine, "path": "/".join(path)}
+
+    out = _streamed(b.unionByName(heads), ["key"], "line_from", lambda: ([], 0, 0), step, "at", "at struct<c: bigint, path: string>")
+    return out.select(F.col("key").alias(key), "block", "kind", "line_from", "line_to", "char_start", "char_end", "tokens", "at.c", "at.path")
 
 
 def _packed(b: DataFrame, key: str, config: Config) -> DataFrame:
-    """Packs consecutive blocks; a block above the maximum stands alone (code as it is, others go to the splitters)."""
-    item = F.struct("block", F.col("tokens").cast("bigint").alias("tokens"), "kind", "char_start", "char_end", "path")
-    arr = b.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("bs"))
-    # state: the number of the open chunk and its tokens; out: the chunk of each block
-    zero = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc, x):
-        big = x["tokens"] > config.chunk_max
-        close = (acc["n"] > 0) & (big | ((acc["n"] + x["tokens"] > config.chunk_max) & (acc["n"] >= config.chunk_min)))
-        c = F.when(close, acc["c"] + 1).otherwise(acc["c"])
-        n = F.when(close, F.lit(0)).otherwise(acc["n"]) + x["tokens"]
-        full = big | (n >= config.chunk_target)
-        return F.struct(
-            F.when(full, c + 1).otherwise(c).alias("c"), F.when(full, F.lit(0).cast("bigint")).otherwise(n).alias("n"), F.concat(acc["out"], F.array(c)).alias("out")
-        )
-
-    placed = arr.select(key, "bs", F.aggregate("bs", zero, step, lambda a: a["out"]).alias("cs"))
-    rows = placed.select(key, F.explode(F.arrays_zip("bs", "cs")).alias("z")).select(key, F.col("z.cs").alias("c"), F.col("z.bs.*"))
-    g = rows.where((F.col("tokens") <= config.chunk_max) | (F.col("kind") == "code")).groupBy(key, "c").agg(
-        F.when(F.count_distinct("kind") == 1, F.first("kind")).otherwise("mixed").alias("kind"),
-        F.array_join(F.min_by("path", "block"), "/").alias("heading_path"),
+    """The chunks of whole blocks; of those above the maximum only code."""
+    return b.where((F.col("tokens") <= config.chunk_max) | (F.col("kind") == "code")).groupBy(key, "c").agg(
+        F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("mixed").alias("kind"),
+        F.min_by("path", "block").alias("heading_path"),
         F.min("char_start").alias("char_start"),
         F.max("char_end").alias("char_end"),
         F.sum("tokens").alias("tokens"),
-    )
-    return g.drop("c")
+        F.min("block").alias("block_from"),
+        F.max("block").alias("block_to"),
+    ).drop("c")
 
 
-def _windows(b: DataFrame, df: DataFrame, key: str, text: str, config: Config) -> DataFrame:
+def _windows(big: DataFrame, df: DataFrame, key: str, text: str, config: Config) -> DataFrame:
     """Oversized paragraphs: windows of the maximum, each starting max - overlap words after the one before; a closed form."""
-    step = config.chunk_max - config.chunk_overlap
-    big = b.where((F.col("tokens") > config.chunk_max) & (F.col("kind") == "paragraph"))
+    most, step = config.chunk_max, config.chunk_max - config.chunk_overlap
     src = df.select(F.col(key).alias("_k"), F.regexp_replace(text, r"\r\n|\r", "\n").alias("_t"))
-    joined = big.join(src, F.col(key) == F.col("_k")).withColumn("_p", F.expr("substring(_t, int(char_start) + 1, int(char_end - char_start))"))
-    # the words and the gaps before them give every word's place
+    joined = big.where("kind = 'paragraph'").join(src, F.col(key) == F.col("_k")).withColumn("_p", F.expr("substring(_t, int(char_start) + 1, int(char_end - char_start))"))
+    # the words with the gaps before them give every word's place
     gaps = F.regexp_extract_all("_p", F.lit(f"(?:^|[{SPACE}])[{SPACE}]*[^{SPACE}]+"), F.lit(0))
-    ends = F.aggregate(
-        F.transform(gaps, F.length), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out")), lambda a: a["out"],
-    )
-    widths = F.transform(gaps, lambda g: F.length(F.regexp_replace(g, f"^[{SPACE}]+", "")))
-    w = joined.select(key, "path", "char_start", ends.alias("ends"), widths.alias("widths")).withColumn("n", F.size("ends"))
-    last = F.greatest(F.lit(0), F.ceil((F.col("n") - config.chunk_max) / step)).cast("int")
-    w = w.withColumn("i", F.explode(F.sequence(F.lit(0), last)))
-    a, z = F.col("i") * step, F.least(F.col("i") * step + config.chunk_max, F.col("n"))
-    return w.select(
-        key,
-        F.lit("mixed").alias("kind"),
-        F.array_join("path", "/").alias("heading_path"),
-        (F.col("char_start") + F.get("ends", a) - F.get("widths", a)).alias("char_start"),
-        (F.col("char_start") + F.get("ends", z - 1)).alias("char_end"),
-        (z - a).cast("bigint").alias("tokens"),
+    words = joined.select(key, "block", "path", "char_start", "tokens", F.posexplode(gaps).alias("i", "g"))
+    along = Window.partitionBy(key, "block").orderBy("i")
+    words = words.withColumn("end", F.sum(F.length("g")).over(along)).withColumn("start", F.col("end") - F.length(F.regexp_replace("g", f"^[{SPACE}]+", "")))
+    last = F.greatest(F.lit(0), F.ceil((F.col("tokens") - most) / step)).cast("int")
+    # a word starts the window of its number, if that is a multiple of the step, and ends the one that is full with it, or the last
+    opens = F.when((F.col("i") % step == 0) & (F.col("i") / step <= last), (F.col("i") / step).cast("int"))
+    closes = F.when(F.col("i") == F.col("tokens") - 1, last).when((F.col("i") + 1 >= most) & ((F.col("i") + 1 - most) % step == 0), ((F.col("i") + 1 - most) / step).cast("int"))
+    ends = words.select(key, "block", "path", "char_start", "i", "start", "end", F.explode(F.array(F.struct(opens.alias("w"), F.lit(True).alias("open")), F.struct(closes.alias("w"), F.lit(False).alias("open")))).alias("e"))
+    pick = lambda c, is_open: F.max(F.when(F.col("e.open") == is_open, F.col(c)))
+    w = ends.where("e.w IS NOT NULL").groupBy(key, "block", "path", "char_start", "e.w").agg(
+        pick("start", True).alias("s"), pick("end", False).alias("z"), (pick("i", False) - pick("i", True) + 1).cast("bigint").alias("tokens")
     )
+    return w.select(
+        key, F.lit("mixed").alias("kind"), F.col("path").alias("heading_path"), (F.col("char_start") + F.col("s")).alias("char_start"), (F.col("char_start") + F.col("z")).alias("char_end"),
+        "tokens", F.col("block").alias("block_from"), F.col("block").alias("block_to"),
+    )
 
 
-def _lines_packed(b: DataFrame, typed: DataFrame, key: str, config: Config) -> DataFrame:
+def _lines_packed(big: DataFrame, typed: DataFrame, key: str, config: Config) -> DataFrame:
     """Oversized tables, lists and quotes: lines packed up to the maximum; a table's header stays with its separator."""
-    big = b.where((F.col("tokens") > config.chunk_max) & F.col("kind").isin("table", "list", "quote")).select(
-        F.col(key).alias("_k"), "block", F.col("kind").alias("_kind"), "line_from", "line_to", "path"
+    wide = big.where(F.col("kind").isin("table", "list", "quote")).select(F.col(key).alias("_k"), "block", F.col("kind").alias("of"), "line_from", "line_to", "path")
+    rows = wide.join(typed, (F.col("_k") == F.col(key)) & F.col("line").between(F.col("line_from"), F.col("line_to"))).select(
+        F.col("_k").alias("key"), "block", "of", "path", "line_from", "line", "at", "w", "n"
     )
-    rows = typed.join(big, (F.col(key) == F.col("_k")) & F.col("line").between(F.col("line_from"), F.col("line_to"))).select(
-        key, "block", "_kind", "path", "line_from", "line", "at", "w", F.col("n").cast("bigint").alias("n")
-    )
-    arr = rows.groupBy(key, "block").agg(
-        F.first("_kind").alias("kind"), F.first("path").alias("path"), F.first("line_from").alias("line_from"),
-        F.array_sort(F.collect_list(F.struct("line", "at", "w", "n"))).alias("ls"),
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("out"))
+    most = config.chunk_max
 
-    def step(acc, x):
-        close = (acc["n"] > 0) & (acc["n"] + x["n"] > config.chunk_max) & ~((F.col("kind") == "table") & (x["line"] == F.col("line_from") + 1))
-        c = F.when(close, acc["c"] + 1).otherwise(acc["c"])
-        return F.struct(c.alias("c"), (F.when(close, F.lit(0)).otherwise(acc["n"]) + x["n"]).alias("n"), F.concat(acc["out"], F.array(c)).alias("out"))
+    def step(state, row):
+        c, n = state
+        if n and n + row.n > most and not (row.of == "table" and row.line == row.line_from + 1):
+            c, n = c + 1, 0
+        return (c, n + row.n), c
 
-    placed = arr.select(key, "block", "kind", "path", "ls", F.aggregate("ls", zero, step, lambda a: a["out"]).alias("cs"))
-    out = placed.select(key, "block", "kind", "path", F.explode(F.arrays_zip("ls", "cs")).alias("z"))
-    g = out.groupBy(key, "block", F.col("z.cs").alias("c")).agg(
-        F.first("kind").alias("kind"),
-        F.array_join(F.first("path"), "/").alias("heading_path"),
-        F.min("z.ls.at").alias("char_start"),
-        F.max(F.col("z.ls.at") + F.col("z.ls.w")).alias("char_end"),
-        F.sum("z.ls.n").alias("tokens"),
+    g = _streamed(rows, ["key", "block"], "line", lambda: (0, 0), step, "c", "c bigint").groupBy(F.col("key").alias(key), "block", "c").agg(
+        F.first("of").alias("kind"),
+        F.first("path").alias("heading_path"),
+        F.min("at").alias("char_start"),
+        F.max(F.col("at") + F.col("w")).alias("char_end"),
+        F.sum("n").alias("tokens"),
     )
-    return g.drop("block", "c")
+    return g.select(key, "kind", "heading_path", "char_start", "char_end", "tokens", F.col("block").alias("block_from"), F.col("block").alias("block_to"))
 
 
 def _ordered(c: DataFrame, key: str) -> DataFrame:
     by = Window.partitionBy(key).orderBy("char_start", "char_end")
-    return c.select(key, (F.row_number().over(by) - 1).alias("ordinal"), "kind", "heading_path", "char_start", "char_end", "tokens")
+    return c.select(key, (F.row_number().over(by) - 1).alias("ordinal"), "kind", "heading_path", "char_start", "char_end", "tokens", "block_from", "block_to")

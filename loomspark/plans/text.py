@@ -113,11 +113,18 @@ _HIT = "regexp_matches(x, '(?i){}')"
 _TOOL = _HIT.format("|".join(f"(?:{p})" for p in T.TOOL_PATTERNS))
 _OVER = _HIT.format("|".join(f"(?:{p})" for p in T.OVERRIDE_PATTERNS))
 
-_LINES = rf"""
+#: The lines with their ends, as blocks see them.
+_WHOLE = rf"""
 lines AS (
-  SELECT item_id, i - 1 AS line, parts[i] AS t, coalesce(sum(length(parts[i]) + 1) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  SELECT item_id, i - 1 AS line, parts[i] AS t, coalesce(sum(length(parts[i])) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i
-        FROM (SELECT item_id, string_split(regexp_replace(markdown, '\r\n|\r', chr(10), 'g'), chr(10)) AS parts FROM source_items WHERE markdown <> ''))),
+        FROM (SELECT item_id, regexp_extract_all(regexp_replace(markdown, '\r\n|\r', chr(10), 'g'), '[^{M.BREAKS}]*[{M.BREAKS}]|[^{M.BREAKS}]+') AS parts FROM source_items WHERE markdown <> ''))),"""
+_PLAIN = r"""
+lines AS (
+  SELECT item_id, i - 1 AS line, parts[i] AS t
+  FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT item_id, string_split(regexp_replace(markdown, '\r\n|\r', chr(10), 'g'), chr(10)) AS parts FROM source_items WHERE markdown <> ''))),"""
+_FENCED = f"""
 fenced AS (
   SELECT *, {strip_sql("t")} AS s, starts_with({strip_sql("t")}, '```') AS fence,
          coalesce(sum(CASE WHEN starts_with({strip_sql("t")}, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY line), 0) AS fences,
@@ -157,7 +164,7 @@ SELECT DISTINCT chunk_id,
        CASE WHEN len(w) <= 30 THEN chunk_text ELSE array_to_string(w[1:30], ' ') || chr(10) || '[TRUNCATED_BY_TOKEN_BUDGET]' END AS short_text
 FROM (SELECT *, regexp_extract_all(chunk_text, '[^{WS}]+') AS w FROM chunks WHERE chunk_text IS NOT NULL)""",
     "normalized_markdown": f"""
-WITH {_LINES},
+WITH {_PLAIN} {_FENCED},
 done AS (
   SELECT item_id, line,
          CASE WHEN fence OR (fences % 2 = 1) THEN t
@@ -166,7 +173,7 @@ done AS (
   FROM fenced)
 SELECT item_id, sha256(m) AS checksum, length(m) AS n_chars FROM (SELECT item_id, string_agg(t, chr(10) ORDER BY line) AS m FROM done GROUP BY item_id)""",
     "markdown_blocks": f"""
-WITH {_LINES},
+WITH {_WHOLE} {_FENCED},
 sep AS (
   SELECT *, regexp_full_match(s, '[|]*(?:[{WS}]*:?-{{3,}}:?[{WS}]*|[{WS}]*)(?:[|](?:[{WS}]*:?-{{3,}}:?[{WS}]*|[{WS}]*))*') AND pipes > 0 AS is_sep,
          fence OR fences % 2 = 1 AS code

@@ -41,6 +41,20 @@ def test_text_functions(spark):
     assert one(spark, "pip install x", T.sanitized)["text"] == "[sanitized user request]" and one(spark, None, T.sanitized)["text"] == ""
 
 
+def test_parsers(spark):
+    assert one(spark, "2025-01-02T03:04:05Z", T.iso_timestamp) == one(spark, "2025-01-02T05:04:05+02:00", T.iso_timestamp) is not None
+    assert one(spark, "yesterday", T.iso_timestamp) is None and one(spark, None, T.iso_timestamp) is None and one(spark, "2025-13-41", T.iso_timestamp) is None
+    assert one(spark, None, lambda c: T.iso_text(T.iso_timestamp(c))) == "" and one(spark, "2025-01-02", lambda c: T.iso_text(T.iso_timestamp(c))) == "2025-01-02T00:00:00.000000Z"
+    assert one(spark, "1.5", lambda c: T.iso_text(T.epoch_timestamp(F.col(c).cast("double")))) == "1970-01-01T00:00:01.500000Z"
+    assert one(spark, '"' + "AB" * 16 + '"', T.etag_checksum) == "ab" * 16 and one(spark, '"' + "ab" * 16 + '-7"', T.etag_checksum) is None
+    assert one(spark, " x" * 600, T.error_text) == (" x" * 600).strip()[:512] and one(spark, " ", T.error_text) is None
+    assert one(spark, 'so: {"a": {"b": 1}} ok', T.first_json_object) == '{"a": {"b": 1}}' and one(spark, "no {json}", T.first_json_object) == one(spark, None, T.first_json_object) == "{}"
+    shape = {"name": "string", "n": "int"}
+    assert one(spark, '{"name": "x", "n": "y"}', lambda c: T.json_errors(c, shape)) == ["n: not a int"]
+    assert one(spark, '{"n": 3}', lambda c: T.json_errors(c, shape)) == ["name: missing"] and one(spark, "[", lambda c: T.json_errors(c, shape)) == ["name: missing", "n: missing"]
+    assert spark.createDataFrame([([1.0, -0.25],)], "x array<float>").select(T.vector_literal("x")).first()[0] == "[1.00000000,-0.25000000]"
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"))
     n = bloom.blocks_for(5000)
@@ -254,7 +268,9 @@ def test_markdown_blocks_and_chunks(spark):
     assert [r["kind"] for r in b if r["k"] == 1] == ["paragraph", "list", "table", "code", "quote"]
     assert [r["kind"] for r in b if r["k"] == 4] == ["code"]
     first = next(r for r in b if r["k"] == 1 and r["kind"] == "table")
-    assert MD[first["char_start"] : first["char_end"]] == "| h | i |\n| --- | --- |\n| 1 | 2 |"
+    assert MD[first["char_start"] : first["char_end"]] == "| h | i |\n| --- | --- |\n| 1 | 2 |\n"
+    tail = next(r for r in b if r["k"] == 1 and r["kind"] == "quote")
+    assert tail["char_end"] == len(MD)
     c = markdown.chunks(df, "k", "md").where("k = 1").collect()
     assert len(c) == 1 and c[0]["kind"] == "mixed" and c[0]["heading_path"] == "Top"
 
@@ -269,7 +285,26 @@ def test_markdown_chunks_split_what_is_too_large(spark):
     assert [r["tokens"] for r in mixed] == [900, 900, 860] and all(len(text[r["char_start"] : r["char_end"]].split()) == r["tokens"] for r in mixed)
     assert all(r["tokens"] <= 900 for r in c) and {r["heading_path"] for r in c} == {"A", "A/B"}
     lists = [r for r in c if r["kind"] == "list"]
-    assert "\n".join(text[r["char_start"] : r["char_end"]] for r in lists) == rows
+    assert "".join(text[r["char_start"] : r["char_end"]] for r in lists) == rows + "\n"
+    assert {r["block_from"] for r in lists} == {r["block_to"] for r in lists} == {1} and {r["block_from"] for r in mixed} == {0}
+
+
+def test_all_line_breaks_and_skipped_heading_levels(spark):
+    text = "# A\u2028one\x0btwo\x85- x\r\n- y\r### C\nthree\n### D\nfour\n## E\nfive"
+    flat = text.replace("\r\n", "\n").replace("\r", "\n")
+    df = spark.createDataFrame([(1, text, "clash")], "k int, md string, title string")
+    b = markdown.blocks(df, "k", "md").orderBy("block").collect()
+    assert [flat[r["char_start"] : r["char_end"]] for r in b] == ["one\x0btwo\x85", "- x\n- y\n", "three\n", "four\n", "five"]
+    c = markdown.chunks(df, "k", "md", markdown.Config(chunk_target=1, chunk_min=1)).orderBy("ordinal").collect()
+    assert [r["heading_path"] for r in c] == ["A", "A", "A/C", "A/C/D", "A/E"]
+
+
+def test_a_paragraph_of_many_words_in_linear_time(spark):
+    n = 300_000
+    df = spark.createDataFrame([(1, "w " * n)], "k int, md string")
+    c = markdown.chunks(df, "k", "md").orderBy("ordinal").collect()
+    assert len(c) == -(-(n - 900) // 820) + 1 and all(r["tokens"] == 900 for r in c[:-1])
+    assert [r["char_start"] for r in c] == [1640 * i for i in range(len(c))] and c[-1]["char_end"] == 2 * n - 1
 
 
 def test_normalized_keeps_code_and_tables(spark):

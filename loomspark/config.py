@@ -19,6 +19,7 @@ class Config:
     expansion_base: int = 8
     expansion_docs: int = 4
     extra_total: int = 12
+    link_depth: float = 1.5
     extra_per_document: int = 6
     fetch_lexical: int = 20
     fetch_vector: int = 20

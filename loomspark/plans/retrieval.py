@@ -258,6 +258,33 @@ def expand_doc_neighbour(spark: SparkSession, d: str) -> DataFrame:
     return C.expanded_by_document(_anchored(spark, d), c).withColumn("score", F.round("score", 6))
 
 
+def context_order(spark: SparkSession, d: str) -> DataFrame:
+    """The expanded candidates of each turn in the order of a context: by the rank of their document, document, place and chunk."""
+    rows = expand_doc_neighbour(spark, d)
+    last = F.coalesce("document_rank", F.lit(DEFAULTS.expansion_docs + 1))
+    at = F.row_number().over(Window.partitionBy("query").orderBy(last, "document", "ordinal", "chunk"))
+    return rows.select("query", "chunk", at.alias("position"))
+
+
+def document_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Documents among the best candidates of each turn, chunks a chosen document, the best document, and whether links would be followed."""
+    base = _anchored(spark, d).where(F.col("rank") <= DEFAULTS.expansion_base)
+    docs = base.groupBy("query", "document").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "document")
+    chosen = docs.withColumn("r", F.row_number().over(order))
+    first = F.col("r") <= DEFAULTS.expansion_docs
+    g = chosen.groupBy("query").agg(
+        F.count("*").alias("n_documents"), F.avg(F.when(first, F.col("n"))).alias("depth"), F.min_by("document", "r").alias("top_document"), F.count_if(first).alias("n_chosen")
+    )
+    follow = (F.col("depth") < DEFAULTS.link_depth) | (F.col("n_documents") > F.col("n_chosen"))
+    return g.select("query", "n_documents", F.round("depth", 6).alias("depth"), "top_document", follow.alias("follows_links"))
+
+
+def vector_literals(spark: SparkSession, d: str) -> DataFrame:
+    """The newest vector of each chunk as text, hashed."""
+    return _vectors(spark, d).select("chunk", F.md5(T.vector_literal("v")).alias("literal_hash"))
+
+
 def context_with_margin(spark: SparkSession, d: str) -> DataFrame:
     """What becomes of each turn's candidates in a context of few tokens with a margin: dropped, kept, cut."""
     c = chunk_rows(spark, d).where("text IS NOT NULL").select("chunk", "text")
@@ -275,9 +302,9 @@ def citation_grounding(spark: SparkSession, d: str) -> DataFrame:
 def answer_support(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of each answer and how many of them its used chunks support."""
     used = trace(spark, d).where("used").select(F.col("query").alias("answer"), "chunk").distinct()
-    e = used.join(chunk_rows(spark, d).where("text IS NOT NULL").select("chunk", "text"), "chunk").select("answer", "text")
+    e = chunk_rows(spark, d).where("text IS NOT NULL").select(F.col("chunk").alias("source"), "text")
     a = turn_texts(spark, d).select(F.col("query").alias("answer"), F.col("question").alias("text")).join(used.select("answer").distinct(), "answer", "left_semi")
-    return G.sentence_support(a, e)
+    return G.sentence_support(a, used.withColumnRenamed("chunk", "source"), e)
 
 
 def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -300,7 +327,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         candidate_scores, hybrid_rank, question_overlap, vector_topk, topic_resets, fts_match, fts_rank, fts_postings, neighbour_chunks, expanded_context,
-        candidate_fetch, boosted_rank, expand_doc_neighbour, context_with_margin, context_budget, budget_select, redundancy_filter, memory_boosts, citation_grounding, answer_support, missing_vectors, hydrated_counts,
+        candidate_fetch, boosted_rank, context_order, document_depth, vector_literals, expand_doc_neighbour, context_with_margin, context_budget, budget_select, redundancy_filter, memory_boosts, citation_grounding, answer_support, missing_vectors, hydrated_counts,
     )
 }
 
@@ -366,6 +393,20 @@ vectors AS MATERIALIZED (
 _DOCTEXT = "concat_ws(' ', title, array_to_string(labels, ' '), text)"
 
 
+_EXPAND = """
+base AS (SELECT * FROM anchored WHERE rank <= 8),
+best AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY query, document ORDER BY score DESC, ordinal, chunk) = 1),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, document) AS document_rank FROM best QUALIFY document_rank <= 4),
+near AS (
+  SELECT b.query, c.chunk, c.document, c.ordinal, b.score * CAST(0.92 AS DOUBLE) AS score, b.document_rank
+  FROM chosen b JOIN chunk_rows c ON c.document = b.document AND c.ordinal BETWEEN b.ordinal - 1 AND b.ordinal + 1
+  WHERE (b.query, c.chunk) NOT IN (SELECT query, chunk FROM base)),
+few AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query, document ORDER BY ordinal, chunk) <= 6),
+added AS (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY query ORDER BY document_rank, ordinal, chunk) <= 12),
+expanded AS (
+  SELECT b.query, b.chunk, b.document, b.ordinal, b.score, TRUE AS is_base, c.document_rank FROM base b LEFT JOIN chosen c ON c.query = b.query AND c.document = b.document
+  UNION ALL SELECT query, chunk, document, ordinal, score, FALSE, document_rank FROM added)"""
+
 
 def cover_sql(matches: str) -> str:
     """CTEs from ``hits0`` (query, key, pos, term, w) of the relation ``matches`` (query, key, n) to ``covers`` (query, key, score)."""
@@ -457,20 +498,20 @@ b AS (
   FROM ranked r LEFT JOIN place p ON p.query = r.query AND p.chunk = r.chunk
   LEFT JOIN boosts x ON x.conversation = p.conversation AND x.document = p.document AND x.chunk = r.chunk)
 SELECT query, chunk, round(boost, 6) AS boost, round(final, 6) AS final, row_number() OVER (PARTITION BY query ORDER BY b.final DESC, chunk) AS rank FROM b""",
-    "expand_doc_neighbour": f"""
+    "vector_literals": f"""
+WITH {_VECTORS} SELECT chunk, md5('[' || array_to_string([printf('%.8f', CAST(x AS DOUBLE)) FOR x IN v], ',') || ']') AS literal_hash FROM vectors""",
+    "document_depth": f"""
 WITH {_TRACE}, {_CAND}, {_RANK}, {_CHUNKS}, {_ANCHORED},
-base AS (SELECT * FROM anchored WHERE rank <= 8),
-best AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY query, document ORDER BY score DESC, ordinal, chunk) = 1),
-chosen AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, document) AS document_rank FROM best QUALIFY document_rank <= 4),
-near AS (
-  SELECT b.query, c.chunk, c.document, c.ordinal, b.score * CAST(0.92 AS DOUBLE) AS score, b.document_rank
-  FROM chosen b JOIN chunk_rows c ON c.document = b.document AND c.ordinal BETWEEN b.ordinal - 1 AND b.ordinal + 1
-  WHERE (b.query, c.chunk) NOT IN (SELECT query, chunk FROM base)),
-few AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query, document ORDER BY ordinal, chunk) <= 6),
-added AS (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY query ORDER BY document_rank, ordinal, chunk) <= 12)
-SELECT b.query, b.chunk, b.document, b.ordinal, round(b.score, 6) AS score, TRUE AS is_base, c.document_rank
-FROM base b LEFT JOIN chosen c ON c.query = b.query AND c.document = b.document
-UNION ALL SELECT query, chunk, document, ordinal, round(score, 6), FALSE, document_rank FROM added""",
+docs AS (SELECT query, document, count(*) AS n, max(score) AS score FROM anchored WHERE rank <= 8 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, document) AS r FROM docs),
+g AS (SELECT query, count(*) AS n_documents, avg(CASE WHEN r <= 4 THEN n END) AS depth, arg_min(document, r) AS top_document, count(CASE WHEN r <= 4 THEN 1 END) AS c FROM r GROUP BY 1)
+SELECT query, n_documents, round(depth, 6) AS depth, top_document, depth < 1.5 OR n_documents > c AS follows_links FROM g""",
+    "context_order": f"""
+WITH {_TRACE}, {_CAND}, {_RANK}, {_CHUNKS}, {_ANCHORED}, {_EXPAND}
+SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY coalesce(document_rank, 5), document, ordinal, chunk) AS position FROM expanded""",
+    "expand_doc_neighbour": f"""
+WITH {_TRACE}, {_CAND}, {_RANK}, {_CHUNKS}, {_ANCHORED}, {_EXPAND}
+SELECT query, chunk, document, ordinal, round(score, 6) AS score, is_base, document_rank FROM expanded""",
     "context_with_margin": f"""
 WITH {_TRACE}, {_CAND}, {_RANK}, {_CHUNKS},
 s AS (SELECT r.query, r.chunk, r.final AS score, {words_sql("c.text")} AS w FROM ranked r JOIN chunk_rows c ON c.chunk = r.chunk WHERE c.text IS NOT NULL),

@@ -101,11 +101,24 @@ def client_meta(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.get_json_object("meta", "$.client").alias("client")).groupBy("client").agg(F.count("*").alias("n_turns"))
 
 
+def parsed_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata and dates of source versions through the parsers: the first JSON object of a noisy text, ISO text and back, seconds, ETags."""
+    v = table(spark, d, "source_versions").distinct()
+    noisy = F.concat(F.lit("metadata: "), F.coalesce("metadata_json", F.lit("")), F.lit(" (end)"))
+    iso = T.iso_text("discovered_at")
+    seconds = F.unix_micros("discovered_at") / 1_000_000
+    return v.select(
+        "source_version_id", "version_label", T.first_json_object(noisy).alias("metadata"), iso.alias("discovered"), (T.iso_timestamp(iso) == F.col("discovered_at")).alias("same"),
+        F.abs(F.unix_micros(T.epoch_timestamp(seconds)) - F.unix_micros("discovered_at")).cast("bigint").alias("off"),
+        T.etag_checksum(F.concat(F.lit('"'), F.md5("checksum"), F.lit('"'))).alias("etag"), T.error_text("version_label", 3).alias("short_label"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_counts, text_hashes, link_targets, sentence_counts, sanitized_turns, stable_ids, chunk_inputs, normalized_markdown,
-        markdown_blocks, markdown_chunks, client_meta,
+        markdown_blocks, markdown_chunks, client_meta, parsed_versions,
     )
 }
 
@@ -200,6 +213,12 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY b) - 1 AS block
 FROM (SELECT item_id, b, any_value(kind) AS kind, min(line) AS line_from, max(line) AS line_to, min(pos) AS char_start, max(pos + length(t)) AS char_end,
              sum({words_sql("t")}) AS tokens
       FROM numbered WHERE kind NOT IN ('blank', 'heading') GROUP BY item_id, b)""",
+    "parsed_versions": f"""
+SELECT source_version_id, version_label, coalesce(metadata_json, '{{}}') AS metadata,
+       coalesce(strftime(discovered_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%f') || 'Z', '') AS discovered,
+       CASE WHEN discovered_at IS NOT NULL THEN TRUE END AS same, CASE WHEN discovered_at IS NOT NULL THEN 0 END AS off, md5(checksum) AS etag,
+       CASE WHEN {strip_sql("version_label")} <> '' THEN substr({strip_sql("version_label")}, 1, 3) END AS short_label
+FROM (SELECT DISTINCT source_version_id, version_label, metadata_json, discovered_at, checksum, source_id, s3_raw_uri, s3_markdown_uri, deleted_at FROM source_versions)""",
     "client_meta": """
 SELECT json_extract_string(meta, '$.client') AS client, count(*) AS n_turns FROM (SELECT DISTINCT * FROM conversation_turns) GROUP BY 1""",
 }

@@ -38,10 +38,28 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = No
     return os.path.join(folder, name)
 
 
+#: The largest vocabulary file that is sent to the executors.
+MOST_BYTES = 16 << 20
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """The rank of each token's bytes, from lines of base64 and rank."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return parsed_ranks(f.read())
+
+
+def parsed_ranks(lines: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+
+
+def shared_vocabulary(df: DataFrame, path: str | None):
+    """The vocabulary file, read by the driver and broadcast: executors need no copy of it on their disks."""
+    path = path or vocabulary_path()
+    size = os.path.getsize(path)
+    if size > MOST_BYTES:
+        raise ValueError(f"a vocabulary of {size} bytes is too large to be broadcast")
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 class Encoder:
@@ -170,22 +188,23 @@ class Encoder:
         return out + self._unit(pending) if pending else out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[int, str], Encoder] = {}
 
 
-def encoder(path: str, pattern: str = PATTERN) -> Encoder:
-    """The encoder of a vocabulary file, made once for a Python worker."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(read_ranks(path), pattern)
-    return _encoders[path, pattern]
+def encoder(lines: bytes, pattern: str = PATTERN) -> Encoder:
+    """The encoder of a vocabulary (the bytes of its file), made once for a Python worker."""
+    key = (hash(lines), pattern)
+    if key not in _encoders:
+        _encoders[key] = Encoder(parsed_ranks(lines), pattern)
+    return _encoders[key]
 
 
 def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, ids): the token ids of each row's text; null and empty texts have the empty list."""
-    path = path or vocabulary_path()
+    shared = shared_vocabulary(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shared.value)
         for batch in batches:
             ids = [enc.encode(t) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
@@ -197,10 +216,10 @@ def encode_column(df: DataFrame, key: str, text: str, path: str | None = None) -
 
 def token_sizes(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, n_tokens): the number of tokens of each row's text; 0 for null and empty texts."""
-    path = path or vocabulary_path()
+    shared = shared_vocabulary(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(shared.value)
         for batch in batches:
             n = [len(enc.encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])

@@ -147,8 +147,9 @@ def json_errors(c: Column | str, fields: dict[str, str]) -> Column:
 
 def vector_literal(c: Column | str) -> Column:
     """A vector as text with eight decimals, halves rounded to even, as vector databases read it; null where a number has more than 20 digits before the point."""
-    number = lambda x: F.bround(x.cast("double").try_cast("decimal(38,18)"), 8).cast("string")
-    return F.concat(F.lit("["), F.array_join(F.transform(col(c), number), ","), F.lit("]"))
+    rounded = lambda x: F.bround(F.abs(x.cast("double")).try_cast("decimal(38,18)"), 8).cast("string")
+    sign = lambda x: F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(F.lit("["), F.array_join(F.transform(col(c), lambda x: F.concat(sign(x), rounded(x))), ","), F.lit("]"))
 
 
 def as_labels(c: Column | str) -> Column:

@@ -49,8 +49,9 @@ GRAPH_K, LABELS = 32, 12
 #: Rounds of the refinement among all parts, and of the scaling in each of them that keeps the sizes.
 REFINED, SCALED = 12, 6
 #: Queries whose neighbours are found by brute force to choose the number of parts, the recall that these need (less two
-#: standard errors), that of neighbours above a stated similarity, and the growth of the number from try to try.
-MEASURED, RECALL, CLOSE_RECALL, GROWTH = 1024, 0.9, 0.995, 1.125
+#: standard errors), that of neighbours above a stated similarity, and the growth of the number from try to try. Few queries
+#: have such close neighbours, so the number that finds those of the sample is multiplied by CLOSE_MARGIN.
+MEASURED, RECALL, CLOSE_RECALL, GROWTH, CLOSE_MARGIN = 1024, 0.9, 0.995, 1.125, 2
 #: Entries of the table of subparts that a router fills at once.
 ROUTED_AT_ONCE = 4_000_000
 
@@ -393,15 +394,14 @@ def choose_probes(routing: Routing, vectors: DataFrame, dim: int, k: int, least:
         return 1, 1.0
     x, row, near = true_neighbours(vectors, dim, k, least, seed)
     enough = RECALL if least <= -1 else CLOSE_RECALL
-    if not len(row):
-        return PROBES, 1.0
+    margin = 1 if least <= -1 else CLOSE_MARGIN
     every = routing.first.w[3].size * (MOST_SUBPARTS if routing.within else 1)
     probes = min(PROBES, every)
     while True:
-        share = found_share(routing, x, row, near, probes)
+        share = found_share(routing, x, row, near, probes) if len(row) else np.ones(1)
         if probes == every or share.mean() - 2 * share.std() / np.sqrt(len(share)) >= enough:
             log.info("%d of at most %d parts a query, recall@%d of %d queries %.3f", probes, every, k, len(share), share.mean())
-            return probes, float(share.mean())
+            return min(every, probes * margin), float(share.mean())
         probes = min(every, int(np.ceil(probes * GROWTH)))
 
 

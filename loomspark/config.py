@@ -20,6 +20,8 @@ class Config:
     expansion_docs: int = 4
     extra_total: int = 12
     link_depth: float = 1.5
+    link_docs: int = 1
+    link_chunks: int = 2
     extra_per_document: int = 6
     fetch_lexical: int = 20
     fetch_vector: int = 20

@@ -26,11 +26,22 @@ def hashed(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embedded(df: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], dim: int, batch: int = BATCH) -> DataFrame:
+def embedded(df: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray], dim: int, batch: int = BATCH, retries: int = 2) -> DataFrame:
     """(key, v, n_words): unit vectors of ``dim`` numbers; a zero vector stays zero; null texts are empty ones.
 
-    The model gets at most ``batch`` texts at once; a result of another shape is an error.
+    The model gets at most ``batch`` texts at once and is asked again up to
+    ``retries`` times when it raises; a result of another shape is an error.
     """
+
+    def asked(texts: list[str]) -> np.ndarray:
+        for left in range(retries, -1, -1):
+            try:
+                return np.asarray(model(texts), float)
+            except Exception:
+                if not left:
+                    raise
+        raise AssertionError
+
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,7 +49,7 @@ def embedded(df: DataFrame, key: str, text: str, model: Callable[[list[str]], np
             for i in range(0, len(pdf), batch):
                 part = pdf.iloc[i : i + batch]
                 texts = [t or "" for t in part["text"]]
-                v = np.asarray(model(texts), float)
+                v = asked(texts)
                 if v.shape != (len(texts), dim):
                     raise ValueError(f"the model gave {v.shape}, not {(len(texts), dim)}")
                 norm = np.linalg.norm(v, axis=1, keepdims=True)

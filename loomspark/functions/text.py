@@ -66,6 +66,18 @@ def links(c: Column | str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(r"\[[^\]]+\]\(([^)]+)\)"), F.lit(1))
 
 
+def urls(c: Column | str) -> Column:
+    """Bare web addresses outside of markdown links, without marks at their end, in order, repeats kept."""
+    bare = F.regexp_replace(col(c), r"\[[^\]]+\]\(([^)]+)\)", " ")
+    return F.regexp_extract_all(bare, F.lit(r"https?://[^\s<>()\[\]\"]*[^\s<>()\[\]\".,;:!?]"), F.lit(0))
+
+
+def first_words(c: Column | str, n: int) -> Column:
+    """At most the first ``n`` words, joined by single blanks where any are cut."""
+    w = words(c)
+    return F.when(F.size(w) <= n, col(c)).otherwise(F.array_join(F.slice(w, 1, n), " "))
+
+
 def truncated(c: Column | str, budget: int, marker: str = TRUNCATED, factor: float = 1.33) -> Column:
     """The first words that a token budget allows, then a marker; shorter texts come out as they are."""
     n = max(1, int(budget / factor))

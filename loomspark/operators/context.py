@@ -84,6 +84,24 @@ def expanded_by_document(ranked: DataFrame, chunks: DataFrame, config: Config =
     return both.join(ranks, ["query", "document"], "left").select("query", "chunk", "document", "ordinal", "score", "is_base", "document_rank")
 
 
+def document_depth(ranked: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """(query, n_documents, depth, top_document, follows_links): the documents of the best candidates.
+
+    Depth is the mean number of candidates of a chosen document. Links are
+    followed where it is small or where not all documents are chosen.
+    """
+    base = ranked.where(F.col("rank") <= config.expansion_base)
+    docs = base.groupBy("query", "document").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "document")
+    chosen = docs.withColumn("r", F.row_number().over(order))
+    first = F.col("r") <= config.expansion_docs
+    g = chosen.groupBy("query").agg(
+        F.count("*").alias("n_documents"), F.avg(F.when(first, F.col("n"))).alias("depth"), F.min_by("document", "r").alias("top_document"), F.count_if(first).alias("n_chosen")
+    )
+    follow = (F.col("depth") < config.link_depth) | (F.col("n_documents") > F.col("n_chosen"))
+    return g.select("query", "n_documents", "depth", "top_document", follow.alias("follows_links"))
+
+
 def assembled_context(rows: DataFrame, max_tokens: int, margin: int, factor: float = DEFAULTS.words_to_tokens) -> DataFrame:
     """(query, chunk, text, tokens, truncated): the context of each query within ``max_tokens`` less the margin.
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.config import DEFAULTS, Config
+from loomspark.session import small, stored
 
 
 def rate_limited(events: DataFrame, config: Config = DEFAULTS) -> DataFrame:
@@ -50,3 +51,34 @@ def rate_limited(events: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     # runs are streamed through a task in order; its state is one window of one user
     long = sized.where(~short).repartition("user", "run").sortWithinPartitions("user", "run", "ts", "event_id")
     return plain.unionByName(long.select("event_id", "user", "run", "ts").mapInPandas(decide, "event_id bigint, user string, allowed boolean"))
+
+
+def exact_quantile(df: DataFrame, key: str, value: str, q: float, accuracy: int = 10_000) -> DataFrame:
+    """(key, quantile): the interpolated quantile of the values of each key; null where it has no value.
+
+    A sketch gives two values between which the quantile must lie; counted
+    are the values below, and only what lies between is sorted, equal values
+    as one row. So a hot key is never sorted or held as a whole.
+    """
+    v = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"))
+    e = 3 / accuracy
+    bounds = stored(v.groupBy("_k").agg(
+        F.count("_v").alias("_n"), F.percentile_approx("_v", F.lit(max(0.0, q - e)), F.lit(accuracy)).alias("_lo"),
+        F.percentile_approx("_v", F.lit(min(1.0, q + e)), F.lit(accuracy)).alias("_hi"),
+    ), "bounds")
+    limits = bounds.select(F.col("_k").alias("_r"), "_lo", "_hi")
+    near = v.join(small(limits), F.col("_k").eqNullSafe(F.col("_r")))
+    side = F.when(F.col("_v") < F.col("_lo"), -1).when(F.col("_v") > F.col("_hi"), 1).otherwise(0)
+    near = near.where("_v IS NOT NULL").withColumns({"_side": side, "_x": F.when(side == 0, F.col("_v"))})
+    # what lies below or above is one row with its number and the value next to the bounds
+    counted = near.groupBy("_k", "_side", "_x").agg(F.count("*").alias("_c"), F.max("_v").alias("_most"), F.min("_v").alias("_least"))
+    at = F.when(F.col("_side") > 0, F.col("_least")).otherwise(F.col("_most"))
+    upto = F.sum("_c").over(Window.partitionBy("_k").orderBy("_side", "_x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.select("_k", at.alias("_at"), upto.alias("_upto"))
+    place = (F.col("_n") - 1) * F.lit(q)
+    j = bounds.join(ranked.withColumnRenamed("_k", "_r"), F.col("_k").eqNullSafe(F.col("_r")), "left")
+    # values are in order, so the smallest of those that reach a place stands there
+    low = F.min(F.when(F.col("_upto") >= F.floor(place) + 1, F.col("_at")))
+    high = F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, F.col("_at")))
+    out = j.groupBy("_k", "_n").agg(low.alias("_a"), high.alias("_b"))
+    return out.select(F.col("_k").alias(key), (F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))).alias("quantile"))

@@ -13,6 +13,13 @@ def write_immutable(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def write_mutable(df: DataFrame, path: str, key: str) -> None:
+    """Replaces what lies at the key, but a raw version (four parts, the last ``raw.bin``) is written once."""
+    parts = [p for p in key.split("/") if p]
+    raw = len(parts) == 4 and parts[-1] == "raw.bin"
+    df.write.mode("errorifexists" if raw else "overwrite").parquet(f"{path}/{'/'.join(parts)}")
+
+
 def verified_contents(df: DataFrame, content: str = "content", checksum: str = "checksum") -> DataFrame:
     """Adds ``intact``: whether the content has the checksum that it should have. A null checksum or content isn't intact."""
     return df.withColumn("intact", F.coalesce(F.sha2(content, 256) == F.lower(checksum), F.lit(False)))

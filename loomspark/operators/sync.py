@@ -45,3 +45,29 @@ def survivors(df: DataFrame, keys: list[str], id_column: str, *order: Column) ->
     """(id, keep_id): every row's id and the id of the first row of its key; rows are relinked through this mapping."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.select(F.col(id_column).alias("id"), F.first(id_column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("keep_id"))
+
+
+def inserted(current: DataFrame, new: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """Adds ``kept_id`` and ``created`` to the rows of ``new`` (keys, id): insert if the key is new, else the id that is there.
+
+    Of new rows with one key the smallest id is inserted. Keys are compared
+    with nulls equal; ``current`` (keys, id) may hold a key several times, the
+    smallest id counts. Both sides are aggregated to one row for each key, so
+    a hot key meets one row. New rows without an id are left out where their key has none.
+    """
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    mine = [f"_k{i}" for i in range(len(keys))]
+    # the stored ids count before the new ones
+    both = current.select(*named, F.col(id_column).alias("_old"), F.lit(None).cast(new.schema[id_column].dataType).alias("_new")).unionByName(
+        new.select(*named, F.lit(None).cast(new.schema[id_column].dataType).alias("_old"), F.col(id_column).alias("_new"))
+    )
+    kept = both.groupBy(*mine).agg(F.min("_old").alias("_old"), F.min("_new").alias("_new")).where("_new IS NOT NULL")
+    same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, mine, strict=True)]
+    rows = new.join(kept, same).withColumn("kept_id", F.coalesce("_old", "_new"))
+    return rows.withColumn("created", F.col("_old").isNull() & (F.col(id_column) == F.col("_new"))).drop(*mine, "_old", "_new")
+
+
+def without_duplicates(df: DataFrame, mapping: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """Rows less those that a mapping (keys, id, keep_id) replaces by another."""
+    gone = mapping.where("id <> keep_id").select(*keys, F.col("id").alias(id_column))
+    return df.join(gone, [*keys, id_column], "left_anti")

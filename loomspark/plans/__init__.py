@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("integrity", "text", "retrieval", "dialogue", "sync", "ops", "projections")
+MODULES = ("integrity", "text", "retrieval", "dialogue", "sync", "ops", "projections", "hydration")
 
 
 def collect() -> tuple[dict, dict]:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.config import DEFAULTS
 from loomspark.functions import text as T
 from loomspark.functions.keys import hex_key
 from loomspark.functions.unicode import strip
 from loomspark.operators import dialogue as D
 from loomspark.plans.retrieval import hex_sql, trace
-from loomspark.plans.text import WS, strip_sql
+from loomspark.plans.text import WS, strip_sql, words_sql
 from loomspark.session import small, table
 
 
@@ -59,7 +60,19 @@ def asked_before(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).withColumn("question_index", q).where("role = 'assistant'").select("conversation", "idx", "question_index")
 
 
-QUERIES = {f.__name__: f for f in (conversation_state, unused_runs, trimmed_history, idle_sessions, asked_before)}
+def conversation_digests(spark: SparkSession, d: str) -> DataFrame:
+    """What a summary of each conversation starts from: its newest 12 turns that aren't blank, cut to 240 characters, as hashed lines; and the masked form."""
+    newest = Window.partitionBy("conversation").orderBy(F.col("idx").desc())
+    t = turns(spark, d).withColumn("r", F.row_number().over(newest)).where(F.col("r") <= DEFAULTS.summary_turns).withColumn("said", T.strip("text"))
+    role = F.coalesce("role", F.lit("unknown"))
+    rows = t.where("said <> ''").select("conversation", "idx", role.alias("role"), F.substring("said", 1, 240).alias("said"))
+    g = rows.groupBy("conversation").agg(F.array_sort(F.collect_list(F.struct("idx", "role", "said"))).alias("t"))
+    lines = F.array_join(F.transform("t", lambda x: F.concat(F.lit("- "), x["role"], F.lit(": "), x["said"])), "\n")
+    topics = F.array_join(F.slice(F.transform("t", lambda x: F.concat(x["role"], F.lit(":topic"))), 1, 6), ", ")
+    return g.select("conversation", F.size("t").alias("n_turns"), F.md5(lines).alias("lines_hash"), topics.alias("masked"), T.token_count(T.first_words(lines, 120)).alias("n_words"))
+
+
+QUERIES = {f.__name__: f for f in (conversation_state, unused_runs, trimmed_history, idle_sessions, asked_before, conversation_digests)}
 
 _T = f"""
 turns AS (
@@ -68,6 +81,12 @@ turns AS (
   WHERE trim(conversation_id) <> '' AND turn_index IS NOT NULL GROUP BY 1, 2)"""
 
 SQL = {
+    "conversation_digests": f"""
+WITH {_T}, n AS (SELECT conversation, idx, coalesce(role, 'unknown') AS role, {strip_sql("text")} AS said FROM turns QUALIFY row_number() OVER (PARTITION BY conversation ORDER BY idx DESC) <= 12),
+s AS (SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY idx) AS k FROM n WHERE said <> ''),
+g AS (SELECT conversation, count(*) AS n_turns, string_agg('- ' || role || ': ' || substr(said, 1, 240), chr(10) ORDER BY idx) AS lines,
+             string_agg(role || ':topic', ', ' ORDER BY idx) FILTER (k <= 6) AS masked FROM s GROUP BY 1)
+SELECT conversation, n_turns, md5(lines) AS lines_hash, masked, least(120, {words_sql("lines")}) AS n_words FROM g""",
     "conversation_state": f"""
 WITH {_T}
 SELECT conversation, max(idx) + 1 AS next_index, arg_max_null(role, idx) AS last_role, count(*) AS n_turns, max(CASE WHEN role = 'user' THEN idx END) AS last_user_index,

@@ -25,7 +25,7 @@ def metric_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def stage_p95(spark: SparkSession, d: str) -> DataFrame:
     """The 95th percentile of each kind of event, interpolated."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.coalesce(F.percentile("value", 0.95), F.lit(0.0)), 6).alias("p95"))
+    return O.exact_quantile(table(spark, d, "events"), "event_type", "value", 0.95).select("event_type", F.round(F.coalesce("quantile", F.lit(0.0)), 6).alias("p95"))
 
 
 def budget_breaches(spark: SparkSession, d: str) -> DataFrame:

@@ -268,16 +268,7 @@ def context_order(spark: SparkSession, d: str) -> DataFrame:
 
 def document_depth(spark: SparkSession, d: str) -> DataFrame:
     """Documents among the best candidates of each turn, chunks a chosen document, the best document, and whether links would be followed."""
-    base = _anchored(spark, d).where(F.col("rank") <= DEFAULTS.expansion_base)
-    docs = base.groupBy("query", "document").agg(F.count("*").alias("n"), F.max("score").alias("score"))
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "document")
-    chosen = docs.withColumn("r", F.row_number().over(order))
-    first = F.col("r") <= DEFAULTS.expansion_docs
-    g = chosen.groupBy("query").agg(
-        F.count("*").alias("n_documents"), F.avg(F.when(first, F.col("n"))).alias("depth"), F.min_by("document", "r").alias("top_document"), F.count_if(first).alias("n_chosen")
-    )
-    follow = (F.col("depth") < DEFAULTS.link_depth) | (F.col("n_documents") > F.col("n_chosen"))
-    return g.select("query", "n_documents", F.round("depth", 6).alias("depth"), "top_document", follow.alias("follows_links"))
+    return C.document_depth(_anchored(spark, d)).withColumn("depth", F.round("depth", 6))
 
 
 def vector_literals(spark: SparkSession, d: str) -> DataFrame:

@@ -71,7 +71,28 @@ def document_lives(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (fetch_decisions, tombstones, version_survivors, relinked_documents, upserted_sources, document_lives)}
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "source_versions").select(hex_key("source_version_id").alias("version"), hex_key("source_id").alias("source"), "checksum", "discovered_at")
+    return v.where("version IS NOT NULL AND source IS NOT NULL AND checksum IS NOT NULL").groupBy("version", "source", "checksum").agg(F.max("discovered_at").alias("at"))
+
+
+def version_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of the last month put into those before: which are created, and which find their content there."""
+    v = _versions(spark, d)
+    month = F.lit(v.agg(F.date_trunc("month", F.max("at"))).first()[0])
+    old = F.coalesce(F.col("at") < month, F.lit(True))
+    return S.inserted(v.where(old).select("source", "checksum", "version"), v.where(~old).select("source", "checksum", "version"), ["source", "checksum"], "version")
+
+
+def deduplicated_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The versions that are left when those with the content of a newer one are deleted."""
+    v = _versions(spark, d)
+    w = Window.partitionBy("source", "checksum").orderBy(F.col("at").desc_nulls_last(), "version")
+    m = v.select("source", "checksum", F.col("version").alias("id"), F.first("version").over(w).alias("keep_id"))
+    return S.without_duplicates(v, m, ["source", "checksum"], "version").select("version", "source", "checksum")
+
+
+QUERIES = {f.__name__: f for f in (fetch_decisions, tombstones, version_survivors, relinked_documents, upserted_sources, document_lives, version_inserts, deduplicated_versions)}
 
 _D = """
 d AS (
@@ -103,6 +124,13 @@ AND (tenant_id, source_type, external_ref) NOT IN (SELECT tenant_id, f.source_ty
 WITH {_V}, k AS (SELECT id, min(keep_id) AS keep_id FROM m GROUP BY 1)
 SELECT source, count(*) AS n_documents, count(DISTINCT version) AS n_versions, count(DISTINCT coalesce(keep_id, version)) AS n_linked
 FROM (SELECT {hex_sql("source_id")} AS source, {hex_sql("source_version_id")} AS version FROM documents) x LEFT JOIN k ON k.id = x.version GROUP BY 1""",
+    "version_inserts": f"""
+WITH {_V}, b AS (SELECT date_trunc('month', max(t)) AS m FROM v), x AS (SELECT v.*, coalesce(t < (SELECT m FROM b), TRUE) AS old FROM v),
+g AS (SELECT source, checksum, min(CASE WHEN old THEN version END) AS was, min(CASE WHEN NOT old THEN version END) AS first FROM x GROUP BY 1, 2)
+SELECT x.source, x.checksum, x.version, coalesce(was, first) AS kept_id, was IS NULL AND x.version = first AS created
+FROM x JOIN g ON g.source = x.source AND g.checksum = x.checksum WHERE NOT old""",
+    "deduplicated_versions": f"""
+WITH {_V} SELECT version, source, checksum FROM v QUALIFY row_number() OVER (PARTITION BY source, checksum ORDER BY t DESC NULLS LAST, version) = 1""",
     "upserted_sources": f"WITH {_D} SELECT tenant_id, source_type, external_ref, item_id, checksum FROM d WHERE r = 1",
     "document_lives": f"""
 SELECT document, count(DISTINCT chunk) AS n_chunks, count(DISTINCT CASE WHEN deleted_at IS NULL THEN chunk END) AS n_living, count(*) AS n_lives

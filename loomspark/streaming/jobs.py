@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,38 +33,34 @@ def windowed_metrics(events: DataFrame, at: str, kind: str, value: str, width: s
 def sync_stream(spark: SparkSession, items: DataFrame, base: str, checkpoint: str, keys: list[str], order: str, unique: str):
     """Keeps the newest item of each key in versioned Parquet below ``base``; returns the query.
 
-    The number of the current version is committed with the micro-batch that
-    made it, so a batch that is delivered again replaces its own version.
+    Micro-batch n writes version n + 1 over version n, so a batch that is
+    delivered again replaces its own version, and the stream's checkpoint,
+    which belongs to this folder, is all the state there is.
     """
-    pointer = os.path.join(base, "current.json")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        state = json.load(open(pointer)) if os.path.exists(pointer) else {"version": 0, "batch": -1}
-        if batch_id <= state["batch"]:
-            return
         changes = latest(batch, keys, F.col(order).desc_nulls_last(), F.col(unique).desc())
-        version = state["version"]
-        if version:
+        if batch_id:
             # an item that is older than the one already kept doesn't replace it
-            old = spark.read.parquet(f"{base}/v{version}").select(*keys, F.col(order).alias("_kept"))
+            old = spark.read.parquet(f"{base}/v{batch_id}").select(*keys, F.col(order).alias("_kept"))
             changes = changes.join(old, keys, "left").where(F.col("_kept").isNull() | (F.col(order) >= F.col("_kept"))).drop("_kept")
-        version = merge_into(spark, base, version, changes, keys)
-        with open(pointer + ".new", "w") as f:
-            json.dump({"version": version, "batch": batch_id}, f)
-        os.replace(pointer + ".new", pointer)
+        merge_into(spark, base, batch_id, changes, keys)
 
-    os.makedirs(base, exist_ok=True)
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_limit_stream(events: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+def rate_limit_stream(events: DataFrame, config: Config = DEFAULTS, idle_s: int = 3_600) -> DataFrame:
     """(event_id, user, allowed) of a stream (event_id, user, ts in seconds): the rate limiter with state per user.
 
     The state is the times of the events allowed in the last window; within
-    a micro-batch a user's events are taken in order of time.
+    a micro-batch a user's events are taken in order of time. A user who
+    sends nothing for ``idle_s`` seconds (of the clock) is forgotten.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         verdicts = []
@@ -77,10 +71,11 @@ def rate_limit_stream(events: DataFrame, config: Config = DEFAULTS) -> DataFrame
                 times.append(t)
             verdicts.append(ok)
         state.update((times,))
+        state.setTimeoutDuration(idle_s * 1000)
         yield pdf[["event_id"]].assign(user=key[0], allowed=verdicts)[["event_id", "user", "allowed"]]
 
     return events.groupBy("user").applyInPandasWithState(
-        decide, "event_id bigint, user string, allowed boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout
+        decide, "event_id bigint, user string, allowed boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

@@ -3,12 +3,15 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from loomspark.functions import embed
 from loomspark.functions import text as T
 from loomspark.functions.keys import hex_key
 from loomspark.functions.unicode import is_blank, token_count
-from loomspark.operators import bloom, context, lexical, markdown, ops, orphans, ranking, sinks, sync
+from loomspark.operators import bloom, context, lexical, links, markdown, ops, orphans, ranking, sinks, sync
 
 UTC = dt.timezone.utc
 
@@ -341,3 +344,85 @@ def test_lexical_overlap_counts_repeats(spark):
     for r in got:
         q, t = rows[r["query"]]
         assert r["overlap"] == sum(min(q.count(x), t.count(x)) for x in set(q)) / max(1, len(set(q)))
+
+
+def test_insert_if_new_and_delete_duplicates(spark):
+    old = spark.createDataFrame([("s", "x", "v2"), ("s", "x", "v1"), ("s", None, "v3")], "source string, checksum string, version string")
+    new = spark.createDataFrame([("s", "x", "w1"), ("s", None, "w2"), ("s", "y", "w4"), ("s", "y", "w3"), (None, "y", "w5")], old.schema)
+    got = {r["version"]: (r["kept_id"], r["created"]) for r in sync.inserted(old, new, ["source", "checksum"], "version").collect()}
+    assert got == {"w1": ("v1", False), "w2": ("v3", False), "w3": ("w3", True), "w4": ("w3", False), "w5": ("w5", True)}
+    assert sync.inserted(old, new.limit(0), ["source", "checksum"], "version").count() == 0
+    m = spark.createDataFrame([("s", "x", "v1", "v2"), ("s", "x", "v2", "v2")], "source string, checksum string, id string, keep_id string")
+    assert sorted(r["version"] for r in sync.without_duplicates(old, m, ["source", "checksum"], "version").collect()) == ["v2", "v3"]
+
+
+def test_exact_quantile_against_numpy(spark):
+    rng = random.Random(11)
+    rows = [("many", rng.random()) for _ in range(20_000)] + [("ties", float(rng.randrange(3))) for _ in range(5_000)]
+    rows += [(f"n{n}", rng.random()) for n in range(1, 25) for _ in range(n)] + [("none", None), ("n5", None), (None, 2.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q, accuracy in ((0.95, 10_000), (0.5, 100), (0.0, 100), (1.0, 100)):
+        got = {r["k"]: r["quantile"] for r in ops.exact_quantile(df, "k", "v", q, accuracy).collect()}
+        assert got.pop("none") is None
+        want = {k: float(np.quantile([v for x, v in rows if x == k and v is not None], q)) for k in got}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert ops.exact_quantile(df.limit(0), "k", "v", 0.5).count() == 0
+
+
+def test_document_links(spark):
+    docs = spark.createDataFrame(
+        [("a", "see [b](https://h/b#top) and https://h/b#top, or <https://h/c>"), ("b", None), ("c", ""), ("d", "[x](attachment:f.txt) [y](https://h/none)")], "document string, text string"
+    )
+    targets = spark.createDataFrame([("b2", "https://h/b"), ("b", "https://h/b"), ("c", "https://h/c"), ("d", None), ("e", "")], "document string, url string")
+    got = {(r["from_document"], r["link_url"]): (r["n_mentions"], r["to_document"]) for r in links.document_links(docs, targets).collect()}
+    assert got == {
+        ("a", "https://h/b#top"): (2, "b"), ("a", "https://h/c"): (1, "c"), ("d", "attachment:f.txt"): (1, None), ("d", "https://h/none"): (1, None),
+    }
+
+
+def test_expansion_follows_links_behind_the_gate(spark):
+    chunks = spark.createDataFrame([(f"{d}{i}", d, i) for d in "abxy" for i in range(4)], "chunk string, document string, ordinal int")
+    ranked = spark.createDataFrame(
+        [("q", "a1", "a", 1, 0.9, 1), ("p", "b1", "b", 1, 0.9, 1), ("p", "b2", "b", 2, 0.8, 2)], "query string, chunk string, document string, ordinal int, score double, rank int"
+    )
+    linked = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", None), ("b", "x")], "from_document string, to_document string")
+    vectors = spark.createDataFrame([(f"{d}{i}", [float(i), 0.0]) for d in "xy" for i in range(4)], "chunk string, v array<double>")
+    asked = spark.createDataFrame([("q", [2.0, 0.0]), ("p", [2.0, 0.0])], "query string, v array<double>")
+    got = links.expanded_with_links(ranked, chunks, linked, asked, vectors)
+    by = {(r["query"], r["chunk"]): (r["added_by"], round(r["score"], 6)) for r in got.collect() if r["added_by"] == "link"}
+    # p's document has two candidates, so its gate is closed; q follows its first target, nearest chunks first
+    assert by == {("q", "x2"): ("link", 1.0), ("q", "x1"): ("link", 0.5)}
+    full = links.expanded_with_links(ranked, chunks, linked, asked, vectors, context.Config(extra_total=3))
+    assert sorted(r["chunk"] for r in full.where("query = 'q' AND NOT is_base").collect()) == ["a0", "a2", "x2"]
+
+
+def test_writes_that_must_not_be_replaced(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x")], "content string, checksum string")
+    sinks.write_immutable(df, str(tmp_path / "v1"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_immutable(df, str(tmp_path / "v1"))
+    for _ in range(2):
+        sinks.write_mutable(df, str(tmp_path), "t/s/notes.md")
+    sinks.write_mutable(df, str(tmp_path), "t/s/v1/raw.bin")
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_mutable(df, str(tmp_path), "t/s/v1/raw.bin")
+    sinks.write_artifacts(df, str(tmp_path / "art"))
+    assert spark.read.json(str(tmp_path / "art")).first()["content"] == "a"
+    c = spark.createDataFrame([("a",), ("b",), (None,)], "content string").withColumn("checksum", F.upper(F.sha2(F.lit("a"), 256)))
+    assert {r["content"]: r["intact"] for r in sinks.verified_contents(c).collect()} == {"a": True, "b": False, None: False}
+
+
+def test_embedding_asks_again(spark):
+    calls = []
+
+    def model(texts):
+        calls.append(len(texts))
+        if len(calls) % 3:
+            raise RuntimeError("busy")
+        return np.ones((len(texts), 4))
+
+    df = spark.createDataFrame([(i, "a b" if i else None) for i in range(5)], "k int, t string").coalesce(1)
+    got = embed.embedded(df, "k", "t", model, 4, batch=2).collect()
+    assert len(got) == 5 and all(abs(sum(x * x for x in r["v"]) - 1) < 1e-9 for r in got) and sum(r["n_words"] for r in got) == 8
+    with pytest.raises(Exception, match="busy"):
+        embed.embedded(df, "k", "t", model, 4, retries=0).collect()

@@ -80,3 +80,34 @@ def test_rate_limit_stream_matches_batch(spark, tmp_path):
     s = jobs.rate_limit_stream(jobs.stream_table(spark, str(tmp_path / "in")))
     got = {r["event_id"]: r["allowed"] for r in jobs.run_to_memory(s, "limited").collect()}
     assert got == {r["event_id"]: r["allowed"] for r in ops.rate_limited(df).collect()}
+
+
+def test_html_tables_with_spans_and_within_cells():
+    page = "<table><tr><th rowspan=2>a</th><th colspan='2'>b</th></tr><tr><td>c<td>d</tr><tr><td colspan=x>e</td><td><table><tr><td>f</td><td>g</td></tr></table>h</td></tr></table>"
+    assert to_markdown(page) == "| a | b | b |\n| --- | --- | --- |\n| a | c | d |\n| e | f g h |  |"
+    assert to_markdown("<table><tr><td>1</td><td rowspan=9>2</td></tr><tr><td>3</td></tr></table>").split("\n") == ["| Column 1 | Column 2 |", "| --- | --- |", "| 1 | 2 |", "| 3 | 2 |"]
+    assert to_markdown("<p>x</p><table><tr><th>open") == "x\n\n| open |\n| --- |"
+    assert to_markdown("<table></table>y</td>") == "y"
+
+
+def test_html_macros_and_code_languages():
+    code = "<ac:structured-macro ac:name='code'><ac:parameter ac:name='language'>py</ac:parameter><ac:plain-text-body><![CDATA[if a < b:\n  c > d]]></ac:plain-text-body></ac:structured-macro>"
+    assert to_markdown(code) == "```py\nif a < b:\n  c > d\n```"
+    note = "<ac:structured-macro ac:name='note'><ac:rich-text-body><p>one</p><p>two</p></ac:rich-text-body></ac:structured-macro>"
+    assert to_markdown(f"<p>x</p>{note}<p>y</p>") == "x\n\n> **NOTE:** one\n> two\n\ny"
+    more = "<ac:structured-macro ac:name='expand'><ac:parameter ac:name='title'>T</ac:parameter><ac:rich-text-body><p>in</p></ac:rich-text-body></ac:structured-macro>"
+    assert to_markdown(more) == "#### T\n\nin"
+    assert to_markdown("<ac:structured-macro ac:name='toc'/>z") == "[macro:toc]\n\nz"
+    assert to_markdown("<pre><code class='language-sql'>SELECT  1</code></pre>") == "```sql\nSELECT  1\n```"
+
+
+def test_sync_stream_of_a_batch_delivered_again(spark, tmp_path):
+    src, base, ck = (str(tmp_path / x) for x in ("src", "base", "ck"))
+    rows = spark.createDataFrame([("a", 1, dt.datetime(2025, 1, 1))], "k string, item bigint, at timestamp")
+    rows.write.parquet(src)
+    jobs.sync_stream(spark, jobs.stream_table(spark, src), base, ck, ["k"], "at", "item").awaitTermination()
+    # the stream without its commit of the batch runs it once more
+    for f in (tmp_path / "ck" / "commits").iterdir():
+        f.unlink()
+    jobs.sync_stream(spark, jobs.stream_table(spark, src), base, ck, ["k"], "at", "item").awaitTermination()
+    assert [tuple(r)[:2] for r in spark.read.parquet(f"{base}/v1").collect()] == [("a", 1)] and not (tmp_path / "base" / "v2").exists()

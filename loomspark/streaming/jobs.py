@@ -49,12 +49,14 @@ def sync_stream(spark: SparkSession, items: DataFrame, base: str, checkpoint: st
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rate_limit_stream(events: DataFrame, config: Config = DEFAULTS, idle_s: int = 3_600) -> DataFrame:
+def rate_limit_stream(events: DataFrame, config: Config = DEFAULTS, late: str = "1 day") -> DataFrame:
     """(event_id, user, allowed) of a stream (event_id, user, ts in seconds): the rate limiter with state per user.
 
     The state is the times of the events allowed in the last window; within
-    a micro-batch a user's events are taken in order of time. A user who
-    sends nothing for ``idle_s`` seconds (of the clock) is forgotten.
+    a micro-batch a user's events are taken in order of time. A user's
+    state goes once the watermark has passed the last event by a window, when
+    it can't decide anything any more; events later than ``late`` and events
+    without a time have no row.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,11 +73,14 @@ def rate_limit_stream(events: DataFrame, config: Config = DEFAULTS, idle_s: int
                 times.append(t)
             verdicts.append(ok)
         state.update((times,))
-        state.setTimeoutDuration(idle_s * 1000)
+        state.setTimeoutTimestamp(int((max(pdf["ts"].iloc[-1], *times, 0.0) + config.rate_window_s) * 1000) + 1)
         yield pdf[["event_id"]].assign(user=key[0], allowed=verdicts)[["event_id", "user", "allowed"]]
 
-    return events.groupBy("user").applyInPandasWithState(
-        decide, "event_id bigint, user string, allowed boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    # a stream's first watermark is 1970; what isn't later would be late
+    at = F.greatest(F.timestamp_seconds("ts"), F.timestamp_seconds(F.lit(0.001)))
+    timed = events.where("ts IS NOT NULL").withColumn("at", at).withWatermark("at", late)
+    return timed.groupBy("user").applyInPandasWithState(
+        decide, "event_id bigint, user string, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -14,6 +14,10 @@
    increased until the routing finds enough of them.
 4. Parts are split into blocks of rows, queries and index alike, so that no
    task holds a whole part; the best of all blocks are merged per query.
+5. A vector travels to each of its parts. So that the disk need not hold all
+   of these copies, the search goes in waves of parts, each of about as many
+   rows as there are vectors; only the best found so far outlast a wave, and
+   every table of vectors is deleted once nothing reads it.
 
 The sample, and with it the network, is bounded by documented parameters; the
 number of parts follows the number of vectors; parts that stay too large get
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.keys import hex_key
-from loomspark.session import stored
+from loomspark.session import discard, stored_lean
 
 DIM, K = 64, 5
 #: Vectors a part should index, the most parts, and vectors of the sample for each part; so the sample has at most 16,384 vectors.
@@ -44,6 +48,8 @@ PART_ROWS, MOST_PARTS, SAMPLE_PER_PART, MOST_SAMPLE = 700, 512, 256, 16_384
 MOST_SUBPARTS, MOST_SUBSAMPLE, SUBHIDDEN = 64, 4096, 64
 #: Parts that a query is sent to at least, rows of a block of queries and of a block of the index.
 PROBES, QUERY_BLOCK, INDEX_BLOCK = 2, 32_768, 8192
+#: Rows that a wave of the search shuffles at least, however few vectors there are.
+WAVE_ROWS = 1_000_000
 #: Neighbours of a node of the graph, and those among them whose parts are a vector's labels.
 GRAPH_K, LABELS = 32, 12
 #: Rounds of the refinement among all parts, and of the scaling in each of them that keeps the sizes.
@@ -315,7 +321,7 @@ def fit_routing(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS
                 top = shared.value.top(matrix(b.column(1), dim), 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.astype(np.int32))], names=["key", "vec", "part"])
 
-    at_home = stored(vectors.mapInArrow(home, "key string, vec binary, part int"), "parts")
+    at_home = stored_lean(vectors.mapInArrow(home, "key string, vec binary, part int"), "parts")
     sizes = at_home.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > part_rows)  # at most MOST_PARTS rows
     by_hash = Window.partitionBy("part").orderBy(F.xxhash64("key", F.lit(seed)))
     sample = at_home.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= MOST_SUBSAMPLE).join(F.broadcast(sizes), "part")
@@ -332,11 +338,13 @@ def fit_routing(vectors: DataFrame, n: int, dim: int, part_rows: int = PART_ROWS
         r = _trained(x, near, subparts, seed, hidden=SUBHIDDEN)
         return pa.table({"part": t.column("part")[:1], "router": pa.array([pickle.dumps(r.w)], pa.binary())})
 
+    routers = stored_lean(sample.groupBy("part").applyInArrow(fit, "part int, router binary"), "routers")
     within = {}
-    for row in sample.groupBy("part").applyInArrow(fit, "part int, router binary").toLocalIterator():
+    for row in routers.toLocalIterator():
         r = Router.__new__(Router)
         r.w = pickle.loads(bytes(row["router"]))
         within[row["part"]] = r
+    discard(at_home)
     return Routing(router, within)
 
 
@@ -487,8 +495,9 @@ def similar_vectors(
     CLOSE_RECALL among neighbours at ``least`` or more.
     """
     spark = vectors.sparkSession
-    members = stored(_classes(vectors, dim), "vectors")
-    reps = members.where("key = cls").select("key", "vec")
+    tagged = stored_lean(with_direction(vectors, dim), "tagged")
+    reps, copied = _classes(tagged)
+    discard(tagged)
     n = reps.count()
     routing = fit_routing(reps, n, dim, part_rows, seed)
     if probes is None:
@@ -503,41 +512,92 @@ def similar_vectors(
             top = r.top(matrix(b.column(1), dim), probes)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["key", "vec", "parts"])
 
-    routed = stored(reps.mapInArrow(route, "key string, vec binary, parts array<int>"), "routed")
-    routed = routed.withColumn("parts", F.filter("parts", lambda p: p >= 0))
+    routed = stored_lean(
+        reps.mapInArrow(route, "key string, vec binary, parts array<int>").withColumn("parts", F.filter("parts", lambda p: p >= 0)), "routed"
+    )
+    discard(reps)
     # at most MOST_PARTS * MOST_SUBPARTS rows
     held = {r["p"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}
     asked = {r["p"]: r["n"] for r in routed.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
-    sizes = spark.createDataFrame(
-        [(p, -(-held.get(p, 0) // INDEX_BLOCK), -(-asked[p] // QUERY_BLOCK)) for p in asked], "part int, n_index int, n_query int"
-    )
+    # without a bar every row of a wave may find k others, which are shuffled as well
+    waves = _waves(held, asked, max(WAVE_ROWS, n if least > -1 else n // 2))
+    best = None
+    for wave in waves:
+        found = _cells(routed, wave).groupBy("part", "ib", "qb").applyInArrow(
+            lambda t: _search(t, dim, k, least), "query string, key string, cosine double"
+        )
+        before, found = best, found if best is None else found.unionByName(_spelled(best))
+        best = stored_lean(
+            found.groupBy("query").agg(
+                F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), F.col("key")))), 1, k).alias("best")
+            ),
+            "best",
+        )
+        if before is not None:
+            discard(before)
+    discard(routed)
+    if best is None:
+        return spark.createDataFrame([], "query string, key string, cosine double, rank int")
+    return _with_copies(copied, _spelled(best), k)
+
+
+def _spelled(best: DataFrame) -> DataFrame:
+    """(query, key, cosine), a row for each of the best that were found."""
+    return best.select("query", F.explode("best").alias("b")).select("query", F.col("b.key").alias("key"), (-F.col("b.c")).alias("cosine"))
+
+
+def _waves(held: dict[int, int], asked: dict[int, int], rows: float) -> list[list[tuple[int, int, int, int, int]]]:
+    """Of each wave (part, blocks of its index, blocks of its queries, first cell, last cell); every cell is in one wave.
+
+    Cells of a part are numbered by block of the index, then of queries. A
+    wave shuffles at most ``rows``, or one cell. Parts are in the order of
+    their numbers.
+    """
+    waves, room = [], 0.0
+    for p in sorted(asked):
+        n_index, n_query = -(-held.get(p, 0) // INDEX_BLOCK), -(-asked[p] // QUERY_BLOCK)
+        if not n_index:
+            continue
+        cell, at = held[p] / n_index + asked[p] / n_query, 0
+        while at < n_index * n_query:
+            if room < cell:
+                waves.append([])
+                room = rows
+            take = min(n_index * n_query - at, max(1, int(room // cell)))
+            waves[-1].append((p, n_index, n_query, at, at + take - 1))
+            room -= take * cell
+            at += take
+    return waves
+
+
+def _cells(routed: DataFrame, wave: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """(key, vec, part, ib, qb, is_query): the index and the queries of the cells of a wave."""
+    to = F.broadcast(routed.sparkSession.createDataFrame(wave, "part int, n_index int, n_query int, first int, last int"))
+    low, high = wave[0][0], wave[-1][0]
     block = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
-    to = F.broadcast(sizes)
-    index = routed.select("key", "vec", F.col("parts")[0].alias("part")).join(to, "part").select(
-        "key", "vec", "part", block("n_index").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)).alias("qb"), F.lit(False).alias("is_query")
-    )
-    queries = routed.select("key", "vec", F.explode("parts").alias("part")).join(to.where("n_index > 0"), "part").select(
-        "key", "vec", "part", F.explode(F.sequence(F.lit(0), F.col("n_index") - 1)).alias("ib"), block("n_query").alias("qb"), F.lit(True).alias("is_query")
-    )
-    cells = index.unionByName(queries)
-    found = cells.groupBy("part", "ib", "qb").applyInArrow(
-        lambda t: _search(t, dim, k, least), "query string, key string, cosine double"
-    )
-    best = found.groupBy("query").agg(
-        F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), F.col("key")))), 1, k).alias("best")
-    )
-    pairs = best.select("query", F.explode("best").alias("b")).select("query", F.col("b.key").alias("key"), (-F.col("b.c")).alias("cosine"))
-    return _with_copies(members, pairs, k, least)
-
-
-def _classes(vectors: DataFrame, dim: int) -> DataFrame:
-    """Adds ``cls``, the smallest key among vectors of one direction (its own key where there is no copy)."""
-    v = with_direction(vectors, dim)
-    copies = v.groupBy("dir").agg(F.min("key").alias("cls"), F.count("*").alias("_n")).where("_n > 1").select(F.col("dir").alias("_d"), "cls")
-    return v.join(copies, F.col("dir") == F.col("_d"), "left").select("key", "vec", F.coalesce("cls", "key").alias("cls"))
-
-
-def _with_copies(members: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    numbers = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    here = lambda ib, qb: (ib * F.col("n_query") + qb).between(F.col("first"), F.col("last"))
+    index = (
+        routed.select("key", "vec", F.col("parts")[0].alias("part")).where(F.col("part").between(low, high)).join(to, "part")
+        .select("key", "vec", "part", block("n_index").alias("ib"), "n_query", "first", "last")
+        .select("key", "vec", "part", "ib", F.explode(F.filter(numbers("n_query"), lambda qb: here(F.col("ib"), qb))).alias("qb"), F.lit(False).alias("is_query"))
+    )
+    queries = (
+        routed.select("key", "vec", F.explode(F.filter("parts", lambda p: p.between(low, high))).alias("part")).join(to, "part")
+        .select("key", "vec", "part", block("n_query").alias("qb"), "n_index", "n_query", "first", "last")
+        .select("key", "vec", "part", F.explode(F.filter(numbers("n_index"), lambda ib: here(ib, F.col("qb")))).alias("ib"), "qb", F.lit(True).alias("is_query"))
+    )
+    return index.unionByName(queries)
+
+
+def _classes(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of vectors with their directions: (key, vec) of the smallest key of each direction, and (key, cls), all keys of directions that have several with the smallest."""
+    reps = stored_lean(tagged.groupBy("dir").agg(F.min(F.struct("key", "vec")).alias("r")).select("r.key", "r.vec"), "vectors")
+    several = tagged.groupBy("dir").agg(F.min("key").alias("cls"), F.count("*").alias("_n")).where("_n > 1").select("dir", "cls")
+    return reps, stored_lean(tagged.select("key", "dir").join(several, "dir").select("key", "cls"), "copied")
+
+
+def _with_copies(copied: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Turns neighbours between classes into neighbours between keys.
 
     Of each class at most k + 1 keys, the smallest, can be among anybody's k
@@ -545,25 +605,28 @@ def _with_copies(members: DataFrame, pairs: DataFrame, k: int, least: float) ->
     Copies agree in six decimals of their directions, so their cosine differs
     from 1 by less than 1e-10 and is given as 1.
     """
-    copied = members.where("key <> cls").select("cls").distinct()
     salt = F.pmod(F.xxhash64("key"), F.lit(32)).alias("s")
     smallest = Window.partitionBy("cls", "s").orderBy("key")
-    few = (
-        members.join(copied, "cls")
-        .select("cls", "key", salt)
+    few = stored_lean(
+        copied.select("cls", "key", salt)
         .withColumn("_r", F.row_number().over(smallest))
         .where(F.col("_r") <= k + 1)
         .groupBy(F.col("cls").alias("c"))
-        .agg(F.slice(F.sort_array(F.collect_list("key")), 1, k + 1).alias("keys"))
+        .agg(F.slice(F.sort_array(F.collect_list("key")), 1, k + 1).alias("keys")),
+        "few",
     )
     wide = pairs.join(few, F.col("key") == F.col("c"), "left").select(
-        "query", "cosine", F.explode(F.coalesce("keys", F.array("key"))).alias("key")
+        "query", "cosine", F.explode(F.coalesce("keys", F.array("key"))).alias("key"), F.lit(False).alias("own")
     )
-    own = few.select(F.col("c").alias("query"), F.lit(1.0).alias("cosine"), F.explode("keys").alias("key"))
-    lists = wide.unionByName(own).groupBy("query").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "key"))), 1, k + 1).alias("best")
+    own = few.select(F.col("c").alias("query"), F.lit(1.0).alias("cosine"), F.explode("keys").alias("key"), F.lit(True).alias("own"))
+    lists = stored_lean(
+        wide.unionByName(own).groupBy("query").agg(
+            F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "key"))), 1, k + 1).alias("best"), F.max("own").alias("several")
+        ),
+        "lists",
     )
-    out = members.select(F.col("key").alias("me"), "cls").join(lists, F.col("cls") == F.col("query"))
+    alone = lists.where("not several").select(F.col("query").alias("me"), "best")
+    out = alone.unionByName(copied.select(F.col("key").alias("me"), "cls").join(lists.where("several"), F.col("cls") == F.col("query")).select("me", "best"))
     mine = F.slice(F.filter("best", lambda b: b["key"] != F.col("me")), 1, k)
     return out.select("me", F.posexplode(mine).alias("r", "b")).select(
         F.col("me").alias("query"), F.col("b.key").alias("key"), (-F.col("b.c")).alias("cosine"), (F.col("r") + 1).alias("rank")

@@ -80,17 +80,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a DataFrame once as Parquet in the shared folder and read it back.
 
     Like ``checkpointed``, but columnar and compressed: later steps read only
-    the columns they use, and a lost executor loses nothing.
+    the columns they use, and a lost executor loses nothing. ``options`` are
+    those of the writer.
     """
     path = f"{scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting to remove the shuffle files of a query as soon as it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored_lean(df: DataFrame, label: str) -> DataFrame:
+    """``stored`` for large tables: packed more densely, and the shuffle files of the write don't stay until the driver collects its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return stored(df, label, compression="zstd")
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` or ``stored_lean`` returned; nothing that is still to be computed may read it."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folders = {jvm.org.apache.hadoop.fs.Path(f).getParent() for f in df.inputFiles()[:1]}
+    for folder in folders:
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if folder.getParent() == files.makeQualified(jvm.org.apache.hadoop.fs.Path(scratch(spark))):
+            files.delete(folder, True)
+
+
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """The side of a join, to be broadcast if it is found to have at most so many rows; else Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

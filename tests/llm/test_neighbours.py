@@ -1,11 +1,15 @@
 """Learned partitions against brute force."""
 
 import datetime as dt
+import threading
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from loomspark.llm import neighbours as N
+from loomspark.session import scratch, stored
 
 SCHEMA = "chunk_id string, updated_at timestamp, embedding array<float>, key string, vec int"
 
@@ -151,3 +155,65 @@ def test_few_parts_find_close_neighbours(spark):
     close, close_recall = N.choose_probes(routing, v, 64, 5, 0.85)
     print(f"{parts} parts: {every} parts a query, recall {recall:.3f}; at 0.85 or more {close}, recall {close_recall:.3f}")
     assert max(close, every) < parts and recall >= N.RECALL and close_recall >= N.CLOSE_RECALL
+
+
+def test_waves_cover_every_cell_once(monkeypatch):
+    monkeypatch.setattr(N, "INDEX_BLOCK", 100)
+    monkeypatch.setattr(N, "QUERY_BLOCK", 300)
+    held, asked = {0: 950, 2: 90, 3: 120, 7: 100}, {0: 2000, 2: 400, 3: 310, 5: 60, 7: 100}
+    for rows in (10, 700, 1500, 1e9):
+        waves = N._waves(held, asked, rows)
+        cells = [(p, c) for w in waves for p, _, _, first, last in w for c in range(first, last + 1)]
+        want = {(p, c) for p in held for c in range(-(-held[p] // 100) * -(-asked[p] // 300))}
+        assert len(cells) == len(want) and set(cells) == want
+        for w in waves:
+            size = sum((last - first + 1) * (held[p] / ni + asked[p] / nq) for p, ni, nq, first, last in w)
+            assert size <= rows or sum(last - first + 1 for _, _, _, first, last in w) == 1
+
+
+def test_waves_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(N, "INDEX_BLOCK", 100)
+    monkeypatch.setattr(N, "QUERY_BLOCK", 300)
+    x = clustered(1500, 12)
+    x[1400:] = x[:100] * 2  # copies
+    v = N.usable_vectors(spark.createDataFrame(rows_of(x), SCHEMA))
+    ask = lambda least: sorted(N.similar_vectors(v, 5, least, probes=3, part_rows=100).collect())
+    one = [ask(-2.0), ask(0.85)]
+    monkeypatch.setattr(N, "WAVE_ROWS", 100)
+    assert [ask(-2.0), ask(0.85)] == one and len(one[0]) == 5 * len(x)
+
+
+def test_disk_does_not_hold_a_copy_for_every_part(spark, monkeypatch):
+    """Shuffle files and tables stay within four times the vectors, with a vector sent to 16 parts."""
+    monkeypatch.setattr(N, "WAVE_ROWS", 1000, raising=False)
+    x = np.random.default_rng(13).standard_normal((12000, 64)).astype(np.float32)
+    v = stored(N.usable_vectors(spark.createDataFrame(rows_of(x), SCHEMA)), "test-vectors")
+    kept = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [kept.localDirsString()[i] for i in range(len(kept.localDirsString()))] + [scratch(spark).removeprefix("file:")]
+
+    def used():
+        total = 0
+        for folder in folders:
+            for f in Path(folder).rglob("*"):
+                try:
+                    total += f.stat().st_size if f.suffix in (".data", ".parquet") else 0
+                except OSError:  # just deleted
+                    pass
+        return total
+
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
+    start, most, over = used(), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not over.wait(0.02):
+            most = max(most, used() - start)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    N.similar_pairs(v, probes=16, part_rows=375).count()
+    over.set()
+    watcher.join()
+    print(f"{most / x.nbytes:.2f} times the vectors")
+    assert most <= 4 * x.nbytes

@@ -15,9 +15,11 @@
 4. Parts are split into blocks of rows, queries and index alike, so that no
    task holds a whole part; the best of all blocks are merged per query.
 5. A vector travels to each of its parts. So that the disk need not hold all
-   of these copies, the search goes in waves of parts, each of about as many
-   rows as there are vectors; only the best found so far outlast a wave, and
-   every table of vectors is deleted once nothing reads it.
+   of these copies, the search goes in waves, each of about as many rows as
+   there are vectors: the queries in turns, as the lists of their parts fill
+   the disk too, and in a turn one range of parts after another. Only the best
+   found so far outlast a wave, and every table of vectors is deleted once
+   nothing reads it.
 
 The sample, and with it the network, is bounded by documented parameters; the
 number of parts follows the number of vectors; parts that stay too large get
@@ -50,6 +52,8 @@ MOST_SUBPARTS, MOST_SUBSAMPLE, SUBHIDDEN = 64, 4096, 64
 PROBES, QUERY_BLOCK, INDEX_BLOCK = 2, 32_768, 8192
 #: Rows that a wave of the search shuffles at least, however few vectors there are.
 WAVE_ROWS = 1_000_000
+#: Parts for each vector that are listed at once: with more parts a query, the queries take turns.
+LISTED = 32
 #: Neighbours of a node of the graph, and those among them whose parts are a vector's labels.
 GRAPH_K, LABELS = 32, 12
 #: Rounds of the refinement among all parts, and of the scaling in each of them that keeps the sizes.
@@ -386,7 +390,7 @@ def true_neighbours(vectors: DataFrame, dim: int, k: int, least: float = -2.0, s
 def found_share(routing: Routing, x: np.ndarray, row: np.ndarray, near: np.ndarray, probes: int) -> np.ndarray:
     """For each query that has any, the share of its true neighbours that meet it in a part, from either side."""
     mine, other = routing.top(x, probes)[row], routing.top(near, probes)
-    met = (mine == other[:, :1]).any(1) | (other == mine[:, :1]).any(1)
+    met = (mine == routing.top(near, 1)).any(1) | (other == routing.top(x, 1)[row]).any(1)
     n = np.bincount(row, minlength=len(x))
     return (np.bincount(row, met, len(x)) / np.maximum(n, 1))[n > 0]
 
@@ -504,38 +508,47 @@ def similar_vectors(
         probes, _ = choose_probes(routing, reps, dim, k, least, seed)
     shared = spark.sparkContext.broadcast(routing)
 
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                part = shared.value.top(matrix(b.column(1), dim), 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32))], names=["key", "vec", "part"])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            top = r.top(matrix(b.column(1), dim), probes)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["key", "vec", "parts"])
+            if b.num_rows:
+                top = shared.value.top(matrix(b.column(1), dim), probes)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["key", "vec", "parts"])
 
-    routed = stored_lean(
-        reps.mapInArrow(route, "key string, vec binary, parts array<int>").withColumn("parts", F.filter("parts", lambda p: p >= 0)), "routed"
-    )
+    # in the order of the parts, so that a wave skips most of what it doesn't index
+    index = stored_lean(reps.mapInArrow(home, "key string, vec binary, part int").sortWithinPartitions("part"), "index")
     discard(reps)
     # at most MOST_PARTS * MOST_SUBPARTS rows
-    held = {r["p"]: r["n"] for r in routed.groupBy(F.col("parts")[0].alias("p")).agg(F.count("*").alias("n")).collect()}
-    asked = {r["p"]: r["n"] for r in routed.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    held = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
     # without a bar every row of a wave may find k others, which are shuffled as well
-    waves = _waves(held, asked, max(WAVE_ROWS, n if least > -1 else n // 2))
+    most = max(WAVE_ROWS, n if least > -1 else n // 2)
+    turns = -(-probes // LISTED)
     best = None
-    for wave in waves:
-        found = _cells(routed, wave).groupBy("part", "ib", "qb").applyInArrow(
-            lambda t: _search(t, dim, k, least), "query string, key string, cosine double"
-        )
-        before, found = best, found if best is None else found.unionByName(_spelled(best))
-        best = stored_lean(
-            found.groupBy("query").agg(
-                F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), F.col("key")))), 1, k).alias("best")
-            ),
-            "best",
-        )
-        if before is not None:
-            discard(before)
-    discard(routed)
+    for turn in range(turns):
+        mine = index.where(F.pmod(F.xxhash64("key", F.lit(seed + 2)), F.lit(turns)) == turn).select("key", "vec")
+        routed = mine.mapInArrow(route, "key string, vec binary, parts array<int>").withColumn("parts", F.filter("parts", lambda p: p >= 0))
+        routed = stored_lean(routed, "routed")
+        asked = {r["p"]: r["n"] for r in routed.select(F.explode("parts").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+        for wave in _waves(held, asked, most):
+            found = _cells(index, routed, wave).groupBy("part", "ib", "qb").applyInArrow(
+                lambda t: _search(t, dim, k, least), "query string, key string, cosine double"
+            )
+            before, found = best, found if best is None else found.unionByName(_spelled(best))
+            best = stored_lean(
+                found.groupBy("query").agg(
+                    F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), F.col("key")))), 1, k).alias("best")
+                ),
+                "best",
+            )
+            if before is not None:
+                discard(before)
+        discard(routed)
+    discard(index)
     if best is None:
         return spark.createDataFrame([], "query string, key string, cosine double, rank int")
     return _with_copies(copied, _spelled(best), k)
@@ -570,15 +583,15 @@ def _waves(held: dict[int, int], asked: dict[int, int], rows: float) -> list[lis
     return waves
 
 
-def _cells(routed: DataFrame, wave: list[tuple[int, int, int, int, int]]) -> DataFrame:
+def _cells(home: DataFrame, routed: DataFrame, wave: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """(key, vec, part, ib, qb, is_query): the index and the queries of the cells of a wave."""
-    to = F.broadcast(routed.sparkSession.createDataFrame(wave, "part int, n_index int, n_query int, first int, last int"))
+    to = F.broadcast(home.sparkSession.createDataFrame(wave, "part int, n_index int, n_query int, first int, last int"))
     low, high = wave[0][0], wave[-1][0]
     block = lambda c: F.pmod(F.xxhash64("key"), F.col(c)).cast("int")
     numbers = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     here = lambda ib, qb: (ib * F.col("n_query") + qb).between(F.col("first"), F.col("last"))
     index = (
-        routed.select("key", "vec", F.col("parts")[0].alias("part")).where(F.col("part").between(low, high)).join(to, "part")
+        home.where(F.col("part").between(low, high)).join(to, "part")
         .select("key", "vec", "part", block("n_index").alias("ib"), "n_query", "first", "last")
         .select("key", "vec", "part", "ib", F.explode(F.filter(numbers("n_query"), lambda qb: here(F.col("ib"), qb))).alias("qb"), F.lit(False).alias("is_query"))
     )
